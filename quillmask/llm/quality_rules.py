@@ -26,8 +26,9 @@ SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Rows of the sample on which cost and selectivity are estimated.
+#: Rows of the sample on which cost and selectivity are estimated, and the longest text in it.
 SAMPLE_ROWS = 400
+SAMPLE_CHARS = 100_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -137,8 +138,13 @@ def rules(text: str = "text") -> dict[str, Column]:
 
 
 def rule_order(docs: DataFrame, checks: dict[str, Column], sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[str]:
-    """Names of the rules by falling rejection per cost, measured on a sample of at most ``sample_rows`` rows."""
-    sample = measure(docs.select(text).limit(sample_rows), text).persist()
+    """Names of the rules by falling rejection per cost, measured on a sample of at most ``sample_rows`` rows.
+
+    The sample is taken from the first partitions that have enough rows, so it costs the same at any size.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)
+    taken = docs.select(body).filter(F.length(text) <= SAMPLE_CHARS).limit(sample_rows).toArrow()
+    sample = measure(docs.sparkSession.createDataFrame(taken), text).persist()
     try:
         n = sample.count()
         if not n:
