@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmask.llm.sentencepieces import decode_texts, encode_texts
 from quillmask.llm.token_counts import token_counts
 
 LIMIT_TOKENS = 2048
@@ -18,5 +19,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT_TOKENS)
 
 
-QUERIES = {"op10_token_counts": op10_token_counts}
+def op2_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, a digest of their ids (joined by blanks), and whether decoding gives the text again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    both = decode_texts(encode_texts(docs, path), path)
+    return both.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join(F.col("piece_ids").cast("array<string>"), " ")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+QUERIES = {"op2_sentencepieces": op2_sentencepieces, "op10_token_counts": op10_token_counts}
 ORACLE_SQL: dict[str, str] = {}
