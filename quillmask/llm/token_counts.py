@@ -8,7 +8,8 @@ both sides:
 
 * ``.json`` whose normaliser turns runs of white space into one space and
   whose splitter drops it: at every blank or line feed. There the batch is
-  further cut into words, so that each distinct word is encoded once;
+  further cut into words, words into a core and the signs after it, and each
+  distinct core is encoded once, many to a text where they are letters only;
 * ``.json`` with a byte-level splitter that keeps one blank before a word, and
   ``.model``: before a single blank between two ASCII letters;
 * any other file: texts stay whole.
@@ -33,8 +34,11 @@ from pyspark.sql import types as T
 from quillmask.llm.columns import blocks, buffers
 
 BATCH_BYTES = 4 << 20
-PART_BYTES = 1 << 20
-MEMO_WORDS = 300_000
+PART_BYTES = 4 << 20
+MEMO_WORDS = 400_000
+JOINED_WORDS = 64
+#: Signs that end a word; after an ASCII letter or digit the splitter always cuts before them.
+_TRAIL = ".,!?;:%&*$#|"
 _LETTER_GAP = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
@@ -59,7 +63,12 @@ class Counter:
             tokenizer.no_truncation()
             tokenizer.no_padding()
             self.mode, self.lead = _boundary(spec), " "
-            self.lengths = lambda xs: [len(x.ids) for x in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
+            self.encode = lambda xs: tokenizer.encode_batch_fast(xs, add_special_tokens=False)
+            self.lengths = lambda xs: [len(x.ids) for x in self.encode(xs)]
+            suffix = spec["model"].get("end_of_word_suffix")
+            self.ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+            if suffix:
+                self.ends_word[[i for w, i in tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each row."""
@@ -78,18 +87,40 @@ class Counter:
         total = np.zeros(len(column), np.int64)
         for starts, words in lists:
             coded = words.flatten().dictionary_encode()
-            known = self._known(coded.dictionary.to_pylist())
+            known = self._known(coded.dictionary)
             sums = np.concatenate([[0], np.cumsum(known[coded.indices.to_numpy()])])
             edges = words.offsets.to_numpy()
             np.add.at(total, np.searchsorted(offsets, starts, "right") - 1, sums[edges[1:]] - sums[edges[:-1]])
         return total
 
-    def _known(self, words: list[str]) -> np.ndarray:
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Tokens of distinct words: those of the core and those of the signs that end it."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        low = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
+        core = pc.utf8_rtrim(low, characters=_TRAIL)
+        safe = pc.and_(pc.match_substring_regex(core, "[a-z0-9]$"), pc.invert(pc.match_substring(words, "<")))
+        core = pc.if_else(safe, core, low)
+        tail = pa.array([w[len(c) :] for w, c in zip(low.to_pylist(), core.to_pylist(), strict=True)], pa.large_string())
+        total = np.zeros(len(words), np.int64)
+        for part in (core, tail):
+            coded = part.dictionary_encode()
+            total += self._memoized(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        return total
+
+    def _memoized(self, words: list[str]) -> np.ndarray:
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        memo.update(zip(new, self.lengths(new), strict=True))
+        new = list({w for w in words if w not in memo})
+        plain = [w for w in new if w.isalpha()]
+        texts = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+        odd = [w for w in new if not w.isalpha()]
+        for group, encoded in zip(texts, self.encode([" ".join(g) for g in texts]), strict=True):
+            ends = np.flatnonzero(self.ends_word[encoded.ids])
+            if len(ends) == len(group) and ends[-1] == len(encoded.ids) - 1:
+                memo.update(zip(group, np.diff(ends, prepend=-1).tolist(), strict=True))
+            else:  # a word that the splitter cuts in itself, or a file whose tokens don't show where words end
+                odd += group
+        memo.update(zip(odd, self.lengths(odd), strict=True))
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
     def _by_part(self, column: pa.Array) -> np.ndarray:
