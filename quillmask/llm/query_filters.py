@@ -1,9 +1,11 @@
-"""Queries of the document filters: quality rules."""
+"""Queries of the document filters: quality rules and classifier."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillmask.llm import quality_classifier as classifier
 from quillmask.llm.quality_rules import quality_rules
 
 
@@ -16,6 +18,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents are predicted good from this score on.
+GOOD_SCORE = 0.3
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that aren't held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.score(docs, model).select(
+        "doc_id",
+        classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= GOOD_SCORE, 1).otherwise(0).alias("predicted"),
+    )
+
+
 #: {docs} is the name of the table.
 OP1_MEASURES_SQL = r"""
 d AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS body FROM {docs}),
@@ -38,7 +56,7 @@ v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
              OR 2 * letters < length(body) AS ruled FROM q)
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op8_quality_classifier": op8_quality_classifier}
 
 ORACLE_SQL = {
     "op1_quality_rules": "WITH " + OP1_MEASURES_SQL.replace("{docs}", "documents") + """
