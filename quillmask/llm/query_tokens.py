@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmask.llm.packing import pack
 from quillmask.llm.sentencepieces import decode_texts, encode_texts
 from quillmask.llm.token_counts import token_counts
 
@@ -33,5 +34,18 @@ def op2_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_sentencepieces": op2_sentencepieces, "op10_token_counts": op10_token_counts}
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of packed documents, with a digest of their ids."""
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=LIMIT_TOKENS)
+    return pieces.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 2048 tokens."""
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+QUERIES = {"op6_packing": op6_packing, "op2_sentencepieces": op2_sentencepieces, "op10_token_counts": op10_token_counts}
 ORACLE_SQL: dict[str, str] = {}
