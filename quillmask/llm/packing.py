@@ -35,8 +35,8 @@ SIZE = 2048
 END_ID = 1
 CHUNK_TOKENS = 400_000
 SENTENCE_PENALTY = 2.0
-ANY_PENALTY = 64.0
-ANY_STEP = 128
+ANY_PENALTY = 8.0
+ANY_STEP = 16
 PART_CHARS = 1 << 20
 _GAP = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 #: Beyond these characters two libraries may hold different versions of Unicode.
