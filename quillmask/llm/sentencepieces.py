@@ -39,7 +39,7 @@ from quillmask.llm.columns import STEP_KEYS, U64, blocks, mix
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 LONG_WORD = 256
 GROUP_CELLS = 1 << 20
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -160,17 +160,25 @@ class Pieces:
                 best[better, end], back[better, end], piece[better, end] = total[better], start, found[better]
         return back, piece
 
-    def merges(self, words: list[str]) -> np.ndarray:
-        """For words of one length: where the symbol that starts at a place ends, after all merges."""
+    def merges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For words of one length, after all merges: the piece that starts at each place (-1: none), and where symbols start."""
         sums, n, g = self._sums(words), len(words[0]), len(words)
         ends = np.tile(np.arange(1, n + 1), (g, 1))
         before = np.tile(np.arange(-1, n - 1), (g, 1))
+        alive = np.ones((g, n), bool)
         score = np.full((g, n), -np.inf, np.float32)
-        place = np.arange(n - 1)
-        if n > 1:
-            r, s = np.repeat(np.arange(g), n - 1), np.tile(place, g)
-            found = self.find(sums, r, s, s + 2)
+        pair = np.full((g, n), -1)
+
+        def probe(r: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+            found = self.find(sums, r, s, e)
+            pair[r, s] = found
             score[r, s] = np.where(found >= 0, self.scores[found], -np.inf)
+
+        r = np.repeat(np.arange(g), n)
+        s = np.tile(np.arange(n), g)
+        piece = self.find(sums, r, s, s + 1).reshape(g, n)
+        inner = s < n - 1
+        probe(r[inner], s[inner], s[inner] + 2)
         rows = np.arange(g)
         while len(rows):
             at = np.argmax(score[rows], axis=1)
@@ -181,18 +189,18 @@ class Pieces:
             middle = ends[rows, at]
             end = ends[rows, middle]
             ends[rows, at] = end
+            piece[rows, at] = pair[rows, at]
+            alive[rows, middle] = False
             score[rows, middle] = -np.inf
             inside = end < n
             before[rows[inside], end[inside]] = at[inside]
             score[rows[~inside], at[~inside]] = -np.inf
             r, s = rows[inside], at[inside]
-            found = self.find(sums, r, s, ends[r, end[inside]])
-            score[r, s] = np.where(found >= 0, self.scores[found], -np.inf)
+            probe(r, s, ends[r, end[inside]])
             previous = before[rows, at]
-            r, s, e = rows[previous >= 0], previous[previous >= 0], end[previous >= 0]
-            found = self.find(sums, r, s, e)
-            score[r, s] = np.where(found >= 0, self.scores[found], -np.inf)
-        return ends
+            some = previous >= 0
+            probe(rows[some], previous[some], end[some])
+        return piece, alive
 
     def _single(self, parts: list[str]) -> list[str]:
         """The merges of one word with a heap; ``parts`` are its symbols, those of several characters are frozen."""
@@ -255,13 +263,13 @@ class Pieces:
             for a in range(0, len(group), step):
                 part = group[a : a + step]
                 if self.kind == BPE:
-                    ends = self.merges(part).tolist()
-                    for w, e in zip(part, ends, strict=True):
-                        symbols, i = [], 0
-                        while i < n:
-                            symbols.append(w[i : e[i]])
-                            i = e[i]
-                        self.memo[w] = self._ids(symbols)
+                    piece, alive = self.merges(part)
+                    flat, first = piece[alive].tolist(), np.concatenate([[0], np.cumsum(alive.sum(axis=1))]).tolist()
+                    odd = np.any(alive & (piece < 0), axis=1)
+                    self.memo.update(zip(part, (flat[i:j] for i, j in zip(first[:-1], first[1:], strict=True)), strict=True))
+                    for k in np.flatnonzero(odd).tolist():
+                        starts = [*np.flatnonzero(alive[k]).tolist(), n]
+                        self.memo[part[k]] = self._ids([part[k][i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)])
                 else:
                     back, _ = self.viterbi(part)
                     for w, b in zip(part, back.tolist(), strict=True):
@@ -285,7 +293,7 @@ class Pieces:
             self.memo.clear()
         words = [_WORD.findall(self.normalize(t)) for t in texts]
         new = set().union(*words) - self.memo.keys() if words else set()
-        self.encode_words(sorted(new))
+        self.encode_words(list(new))
         memo, flat, first = self.memo, [], [0]
         for ws in words:
             for w in ws:
