@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding in numpy, for whole Arrow batches.
 
 The pieces and scores of a ``.model`` file are read from its bytes. Texts are
-cut into words (blanks, then anything else; no piece reaches over the border),
+cut into words (blanks, then anything else, and characters that are in no
+piece; no piece reaches over the borders),
 each distinct word of a batch is encoded once, and words of equal length
 advance together. A substring is found by its hash among the sorted hashes of
 all pieces; hashes of all substrings come from prefix sums.
@@ -31,18 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillmask.llm.columns import STEP_KEYS, U64, blocks, mix
+from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, mix
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO_WORDS = 400_000
 LONG_WORD = 256
+BATCH_BYTES = 4 << 20
 GROUP_CELLS = 1 << 20
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BASE = U64(STEP_KEYS[7])
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
@@ -85,7 +87,7 @@ class Pieces:
             model = f.read()
         pieces, kinds, scores = [], [], []
         self.kind, self.dummy, self.trim, charsmap = UNIGRAM, True, True, b""
-        self.memo: dict[str, list[int]] = {}
+        self._forget()
         for number, value in fields(model):
             if number == 1:
                 piece = dict(fields(value))
@@ -116,10 +118,31 @@ class Pieces:
         self.keys, self.ids = hashes[order], np.array(known, np.int64)[order]
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have one hash")
+        inside = set("".join(pieces[i] for i in known))
+        #: ASCII bytes that are in no piece, so no piece reaches over them.
+        self.breaks = np.array([b < 128 and b != 32 and chr(b) not in inside for b in range(256)])
         self.widest = max(len(pieces[i]) for i in known)
         self.low = np.float32(min((self.scores[i] for i in known if kinds[i] == NORMAL), default=0) - 10)
         self._decoding()
 
+    def _forget(self) -> None:
+        """Words already encoded: the slot of each, and the slots' ids one after another."""
+        self.memo: dict[str, int] = {}
+        self.slot_ends, self.store = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.slot_ends[-1])
+        if used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(ids)), np.uint32)])
+        self.store[used : used + len(ids)] = ids
+        first = len(self.slot_ends) - 1
+        self.memo.update(zip(words, range(first, first + len(words)), strict=True))
+        self.slot_ends = np.concatenate([self.slot_ends, used + np.cumsum(lengths)])
+
+    def ids_of(self, word: str) -> list[int]:
+        k = self.memo[word]
+        return self.store[self.slot_ends[k] : self.slot_ends[k + 1]].tolist()
+
     @staticmethod
     def _hash(piece: str) -> int:
         codes = _codes(np.frombuffer(piece.encode("utf-32-le"), np.uint32))
@@ -135,7 +158,8 @@ class Pieces:
     def _sums(self, words: list[str]) -> np.ndarray:
         """Prefix sums of the substring hash for words of one length."""
         n = len(words[0])
-        codes = _codes(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n))
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
+        codes = _codes(np.where(chars == 32, ord(BLANK), chars))
         up = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n, _BASE, U64)]))
         self.down = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n, _INVERSE, U64)]))
         sums = np.zeros((len(words), n + 1), U64)
@@ -245,61 +269,84 @@ class Pieces:
         return out
 
     def encode_words(self, words: list[str]) -> None:
-        """Puts the ids of new words into the memo."""
-        by_length = defaultdict(list)
+        """Puts the ids of new words, whose blanks may be spaces, into the memo."""
+        by_length, single = defaultdict(list), []
         for w in words:
-            if self.kind == BPE and self.frozen_re and self.frozen_re.search(w):
-                parts, at = [], 0
-                for m in self.frozen_re.finditer(w):
-                    parts += [*w[at : m.start()], m[0]]
-                    at = m.end()
-                self.memo[w] = self._ids(self._single([*parts, *w[at:]]))
-            elif self.kind == BPE and len(w) > LONG_WORD:
-                self.memo[w] = self._ids(self._single(list(w)))
+            if self.kind == BPE and (len(w) > LONG_WORD or (self.frozen_re and self.frozen_re.search(w.replace(" ", BLANK)))):
+                single.append(w)
             else:
                 by_length[len(w)].append(w)
+        for w in single:
+            text = w.replace(" ", BLANK)
+            parts, at = [], 0
+            for m in self.frozen_re.finditer(text) if self.frozen_re else ():
+                parts += [*text[at : m.start()], m[0]]
+                at = m.end()
+            self._symbols([w], [self._single([*parts, *text[at:]])])
         for n, group in by_length.items():
             step = max(1, GROUP_CELLS // (n + 1))
             for a in range(0, len(group), step):
                 part = group[a : a + step]
                 if self.kind == BPE:
                     piece, alive = self.merges(part)
-                    flat, first = piece[alive].tolist(), np.concatenate([[0], np.cumsum(alive.sum(axis=1))]).tolist()
                     odd = np.any(alive & (piece < 0), axis=1)
-                    self.memo.update(zip(part, (flat[i:j] for i, j in zip(first[:-1], first[1:], strict=True)), strict=True))
-                    for k in np.flatnonzero(odd).tolist():
-                        starts = [*np.flatnonzero(alive[k]).tolist(), n]
-                        self.memo[part[k]] = self._ids([part[k][i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)])
+                    if odd.any():
+                        starts = [[*np.flatnonzero(x).tolist(), n] for x in alive[odd]]
+                        strange = [w for w, o in zip(part, odd.tolist(), strict=True) if o]
+                        self._symbols(strange, [[w[i:j].replace(" ", BLANK) for i, j in zip(c[:-1], c[1:], strict=True)] for w, c in zip(strange, starts, strict=True)])
+                        part = [w for w, o in zip(part, odd.tolist(), strict=True) if not o]
+                        piece, alive = piece[~odd], alive[~odd]
+                    self._remember(part, piece[alive], alive.sum(axis=1))
                 else:
                     back, _ = self.viterbi(part)
+                    found = []
                     for w, b in zip(part, back.tolist(), strict=True):
                         symbols, i = [], n
                         while i > 0:
-                            symbols.append(w[b[i] : i])
+                            symbols.append(w[b[i] : i].replace(" ", BLANK))
                             i = b[i]
-                        self.memo[w] = self._ids(symbols[::-1])
+                        found.append(symbols[::-1])
+                    self._symbols(part, found)
 
-    def normalize(self, text: str) -> str:
+    def _symbols(self, words: list[str], symbols: list[list[str]]) -> None:
+        ids = [self._ids(x) for x in symbols]
+        self._remember(words, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def normalized(self, column: pa.Array) -> pa.Array:
+        """The texts as the model sees them, with spaces for its blanks."""
         if self.normalizer is not None:
-            return self.normalizer.normalize(text)
+            return pa.array([self.normalizer.normalize(t).replace(BLANK, " ") for t in column.to_pylist()], pa.large_string())
+        if pc.any(pc.match_substring(column, BLANK)).as_py():
+            column = pc.replace_substring(column, BLANK, " ")
         if self.trim:
-            text = re.sub(" +", " ", text.strip(" "))
-        text = text.replace(" ", BLANK)
-        return BLANK + text if self.dummy and text else text
+            column = pc.replace_substring_regex(pc.utf8_trim(column, " "), " +", " ")
+        if self.dummy:
+            column = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(pa.scalar("", pa.large_string()), column, pa.scalar(" ", pa.large_string())))
+        return column
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order (uint32), and how many stand before each text (texts + 1)."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        words = [_WORD.findall(self.normalize(t)) for t in texts]
-        new = set().union(*words) - self.memo.keys() if words else set()
-        self.encode_words(list(new))
-        memo, flat, first = self.memo, [], [0]
-        for ws in words:
-            for w in ws:
-                flat += memo[w]
-            first.append(len(flat))
-        return np.array(flat, np.uint32), np.array(first)
+            self._forget()
+        offsets, data = buffers(self.normalized(column))
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        alone = self.breaks[data]
+        begins |= alone
+        begins[1:] |= alone[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        self.encode_words([w for w in known if w not in self.memo])
+        slots = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        begin = self.slot_ends[slots]
+        size = self.slot_ends[slots + 1] - begin
+        places = np.concatenate([[0], np.cumsum(size)])
+        return self.store[np.repeat(begin - places[:-1], size) + np.arange(places[-1])], places[np.searchsorted(starts, offsets)]
 
     def _decoding(self) -> None:
         parts = []
@@ -328,8 +375,8 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "pie
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
-            for rows, column in blocks(batch, text):
-                found, first = pieces.encode(column.to_pylist())
+            for rows, column in blocks(batch, text, BATCH_BYTES):
+                found, first = pieces.encode(column)
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, ids])
 
