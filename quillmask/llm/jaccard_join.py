@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillmask.llm.columns import blocks, shingle_sets
 from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, candidates, frequent, signatures
-from quillmask.llm.tables import components, written
+from quillmask.llm.tables import components, may_hold, written
 
 #: Sets that one task verifies against one centre.
 CENTRE_SETS = 2048
@@ -211,7 +211,8 @@ def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PAR
     lists = written(candidates(blocks_of(shingle_sets), docs.filter("doc_id IS NOT NULL"), int(total), often, hot, per_part), "lists")
 
     def texts(asked: DataFrame) -> DataFrame:
-        return asked.join(classes.select("sig", "doc_id"), "sig").join(docs, "doc_id")
+        wanted = written(asked.join(classes.select("sig", "doc_id"), "sig"), "wanted")
+        return wanted.join(docs.filter(may_hold(wanted, "doc_id")(F.col("doc_id"))), "doc_id")
 
     pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
     groups = lists.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", F.col("m").alias("at")).groupBy("g", "id", "n").agg(F.min("at").alias("at"))

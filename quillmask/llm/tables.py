@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.session import shared_checkpoint_dir
@@ -37,3 +40,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if found == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = found
+
+
+#: Bits of the filter that says which ids may be asked for: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test that is true for all ids of a column and for few others, to thin out rows before a join on it.
+
+    A Bloom filter of fixed size: with too many ids it only gets true more often.
+    """
+
+    def places(c: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (0, 1)]
+
+    at = ids.select(F.explode(F.array(*places(F.col(column).cast("long")))).alias("p"))
+    words = at.groupBy(F.expr("p DIV 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("m")).toPandas()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    held = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = np.ones(len(a), bool)
+        for x in (a.to_numpy(np.int64), b.to_numpy(np.int64)):
+            found &= (held.value[x // 64] >> (x % 64).astype(np.uint64) & np.uint64(1)) == 1
+        return pd.Series(found)
+
+    return lambda c: test(*places(c))
