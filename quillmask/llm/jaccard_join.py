@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.columns import blocks, shingle_sets
-from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, candidates, frequent, signatures
+from quillmask.llm.set_index import BIT_LONGS, HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, Rarity, TokenCounters, bit_patterns, candidates, frequent, signatures, summed
 from quillmask.llm.tables import components, may_hold, written
 
 #: Sets that one task verifies against one centre.
@@ -51,27 +51,42 @@ def rows_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
-SURVEY_SCHEMA = "kind int, a long, sig long, n long"
+SURVEY_SCHEMA = "kind int, a long, sig long, n long, bits array<long>, counts binary"
 
 
 def survey(docs: DataFrame, sets_of: SetsOf = shingle_sets) -> DataFrame:
-    """Rows of kind 0: doc_id (a), name of its set (sig) and its size (n); of kind 1: a frequent token (a) and its count in a task (n)."""
+    """Rows of kind 0: doc_id (a), name of its set (sig) and its size (n); of kinds 1 and 2 what :func:`rarity_of` needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = FrequentTokens()
+        often, counters = FrequentTokens(), TokenCounters()
+        names = ["kind", "a", "sig", "n", "bits", "counts"]
         for batch in batches:
             for part, column in blocks(batch, "text"):
                 offsets, tokens = rows_of(sets_of(column))
                 often.add(tokens)
+                counters.add(tokens)
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(signatures(offsets, tokens)), pa.array(np.diff(offsets))], ["kind", "a", "sig", "n"])
-        tokens, counts = often.result()
-        n = len(tokens)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(tokens.view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(counts)], ["kind", "a", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(signatures(offsets, tokens)), pa.array(np.diff(offsets)), bit_patterns(offsets, tokens), pa.nulls(n, pa.binary())], names)
+        for kind, a, n, counts in tallies(often, counters):
+            yield pa.RecordBatch.from_arrays([kind, a, pa.array(np.zeros(len(a), np.int64)), n, pa.nulls(len(a), pa.list_(pa.int64())), counts], names)
 
     return docs.mapInArrow(run, SURVEY_SCHEMA)
 
 
+def tallies(often: FrequentTokens, counters: TokenCounters) -> Iterator[tuple[pa.Array, ...]]:
+    """Columns kind, a, n, counts: of kind 1 a frequent token (a) and its count (n); of kind 2 a chunk (a) of counters."""
+    tokens, counts = often.result()
+    yield pa.array(np.ones(len(tokens), np.int32)), pa.array(tokens.view(np.int64)), pa.array(counts), pa.nulls(len(tokens), pa.binary())
+    chunks = counters.chunks()
+    yield pa.array(np.full(len(chunks), 2, np.int32)), pa.array(np.arange(len(chunks))), pa.array(np.zeros(len(chunks), np.int64)), pa.array(chunks, pa.binary())
+
+
+def rarity_of(surveyed: DataFrame) -> Rarity:
+    """The order of tokens from a survey."""
+    often = frequent(surveyed.filter("kind = 1").select(F.col("a").alias("token"), "n"))
+    return Rarity(summed(surveyed.filter("kind = 2").select(F.col("a").cast("int").alias("chunk"), "counts")), *often)
+
+
 def blocks_of(sets_of: SetsOf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -132,11 +147,11 @@ def compatible(n: Column, m: Column) -> Column:
     return (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
 
 
-def pairs_in_groups(groups: DataFrame, keep: Column, extra: Column | None = None) -> DataFrame:
-    """Pairs of rows (prefixes x_ and y_) of one group under ``keep``, found by bands of size so that far sizes never meet."""
+def pairs_in_groups(x: DataFrame, y: DataFrame, keep: Column) -> DataFrame:
+    """Pairs of rows of one group (column g) under ``keep``; columns get the prefixes x_ and y_. Bands of size keep far sizes from meeting."""
     band = lambda c: F.floor(F.log(c) / float(np.log(DEN / NUM))).cast("int")
-    x = groups.select(*(F.col(c).alias(f"x_{c}") for c in groups.columns)).withColumn("band", F.explode(F.sequence(band(F.col("x_n")) - 1, band(F.col("x_n")) + 1)))
-    y = groups.select(*(F.col(c).alias(f"y_{c}") for c in groups.columns)).withColumn("band", band(F.col("y_n")))
+    x = x.select(*(F.col(c).alias(f"x_{c}") for c in x.columns)).withColumn("band", F.explode(F.sequence(band(F.col("x_n")) - 1, band(F.col("x_n")) + 1)))
+    y = y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns)).withColumn("band", band(F.col("y_n")))
     return x.join(y, (F.col("x_g") == F.col("y_g")) & (x["band"] == y["band"]) & keep & compatible(F.col("x_n"), F.col("y_n")))
 
 
@@ -146,69 +161,106 @@ def within_positions() -> Column:
     return (NUM + DEN) * left >= NUM * (F.col("x_n") + F.col("y_n"))
 
 
-def similarity_components(pairs: DataFrame, groups: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_sets) -> DataFrame:
-    """(node, root) of every set that is linked to another, from candidate pairs (a, b, lists) and groups (g, id, n, at)."""
-    best = pairs.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    first = written(verified(best, texts, sets_of), "first")
-    link = linked(F.col("both"), F.col("n"), F.col("m"))
-    links = first.filter(link)
-    roots = written(components(links), "roots")
-    known = roots.join(links.select(F.col("a").alias("node"), F.col("b").alias("centre"), distance(F.col("both"), F.col("n"), F.col("m")).alias("d")), "node", "left")
-    known = written(known.select(F.col("node").alias("id"), "root", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d")), "known")
+def within_bits(x_bits: Column, y_bits: Column, n: Column, m: Column) -> Column:
+    """The bit patterns do not differ in more places than similar sets can differ in tokens."""
+    differing = F.bit_count(x_bits[0].bitwiseXOR(y_bits[0]))
+    for i in range(1, BIT_LONGS):
+        differing = differing + F.bit_count(x_bits[i].bitwiseXOR(y_bits[i]))
+    # n + m - 2 * overlap needed; no division, and at most the real bound rounded down
+    return (NUM + DEN) * differing <= (DEN - NUM) * (n + m)
+
+
+#: Rounds in which sets look for a link to one set of another component, before all pairs left are looked at.
+ROUNDS = 3
 
-    def informed(rows: DataFrame, column: str, prefix: str = "") -> DataFrame:
-        """The rows with root, centre and distance of a set; of one that is not linked yet, itself and 0."""
-        own = known.select(F.col("id").alias(column), *(F.col(c).alias(f"{prefix}{c}") for c in ("root", "centre", "d")))
+
+def best_of(found: DataFrame) -> DataFrame:
+    """Of rows (a, b, lists) the b with most lists for each a."""
+    return found.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
+class Relations:
+    """What is known of sets: verified pairs, components, and each linked set's nearest centre."""
+
+    def __init__(self, done: DataFrame):
+        self.done = done
+        self.link = linked(F.col("both"), F.col("n"), F.col("m"))
+        links = done.filter(self.link)
+        self.roots = written(components(links), "roots")
+        nearest = links.groupBy("a").agg(F.min(F.struct(distance(F.col("both"), F.col("n"), F.col("m")).alias("d"), "b")).alias("x"))
+        known = self.roots.join(nearest.select(F.col("a").alias("node"), F.col("x.b").alias("centre"), F.col("x.d").alias("d")), "node", "left")
+        self.known = written(known.select(F.col("node").alias("id"), "root", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d")), "known")
+
+    def informed(self, rows: DataFrame, column: str, prefix: str = "") -> DataFrame:
+        """The rows with root, centre and distance of a set; of one that is not linked, itself and 0."""
+        own = self.known.select(F.col("id").alias(column), *(F.col(c).alias(f"{prefix}{c}") for c in ("root", "centre", "d")))
         return rows.join(own, column, "left").withColumns({f"{prefix}root": F.coalesce(f"{prefix}root", column), f"{prefix}centre": F.coalesce(f"{prefix}centre", column), f"{prefix}d": F.coalesce(f"{prefix}d", F.lit(0.0))})
 
-    open_pairs = informed(informed(pairs.select(F.col("a").alias("x_id"), F.col("b").alias("y_id")), "x_id", "x_"), "y_id", "y_").filter("x_root <> y_root")
-    open_pairs = written(open_pairs.select("x_id", "y_id", "x_centre", "y_centre", "x_d", "y_d", "x_root", "y_root"), "pairs")
-    members = informed(groups, "id")
-    mixed = members.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
-    members = written(members.join(mixed, "g", "left_semi"), "mixed")
-
-    ordered = lambda df: df.select(F.least("x_centre", "y_centre").alias("b"), F.greatest("x_centre", "y_centre").alias("a")).filter("a <> b")
-    # one row per group, centre and size band; the least position stands for all of them
-    band = F.floor(F.log("n") / float(np.log(DEN / NUM))).cast("int")
-    few = members.groupBy("g", "root", "centre", "n").agg(F.min("at").alias("at")).withColumn("band_", band)
-    met = pairs_in_groups(few.drop("band_"), (F.col("x_root") < F.col("y_root")) & within_positions())
-    centres = ordered(met).union(ordered(open_pairs)).distinct()
-    done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = written(verified(centres.join(done, ["a", "b"], "left_anti"), texts, sets_of), "second")
-    both = first.unionByName(second)
-    links = both.filter(link).select("a", "b")
-    roots = written(components(links), "roots")
-
-    # pairs of sets whose centres are not linked, and near enough for the sets to be
-    reach = known.groupBy("centre").agg(F.max("d").alias("reach"))
-    apart = both.filter(~link).select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q"), distance(F.col("both"), F.col("n"), F.col("m")).alias("apart"))
-    for c in ("p", "q"):
-        apart = apart.join(reach.select(F.col("centre").alias(c), F.col("reach").alias(f"{c}_reach")), c, "left")
+    def mixed(self, groups: DataFrame) -> DataFrame:
+        """The groups that hold sets of several components, with what is known of each set."""
+        members = self.informed(groups.select("g", "id", "n", "at", "bits"), "id")
+        several = members.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+        return written(members.join(several, "g", "left_semi"), "mixed")
+
+    def new(self, asked: DataFrame) -> DataFrame:
+        """Pairs (a, b) that are not verified in either direction."""
+        both = self.done.select("a", "b").union(self.done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return asked.distinct().join(both, ["a", "b"], "left_anti")
+
+
+def similarity_components(pairs: DataFrame, groups: DataFrame, bits: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_sets) -> DataFrame:
+    """(node, root) of every set that is linked to another, from candidate pairs (a, b, lists), groups (g, id, n, at) and patterns (id, bits)."""
+
+    def verify(asked: DataFrame, name: str) -> DataFrame:
+        return written(verified(asked, texts, sets_of), name)
+
+    known = Relations(verify(best_of(pairs), "first"))
+    members = known.mixed(groups.join(bits, "id"))
+    for k in range(ROUNDS):
+        # one set stands for each group; by chance it is mostly of the largest component there
+        stands = members.groupBy("g").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n", "bits")).alias("rep"))
+        met = members.join(stands, "g").filter((F.col("root") != F.col("rep.root")) & compatible(F.col("n"), F.col("rep.n")) & within_bits(F.col("bits"), F.col("rep.bits"), F.col("n"), F.col("rep.n")))
+        met = met.groupBy(F.col("id").alias("a"), F.col("rep.id").alias("b")).agg(F.count("*").alias("lists"))
+        asked = written(known.new(best_of(met)), "asked")
+        tried = asked.count()
+        found = verify(asked, "round")
+        hits = found.filter(known.link).count() if tried else 0
+        if tried:
+            known = Relations(known.done.unionByName(found))
+            members = known.mixed(members)
+        if hits * 20 <= tried:
+            break
+
+    # all pairs left of different components; of a group's largest component only against others
+    largest = members.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("top")).select("g", F.col("top.root").alias("top"))
+    members = members.join(largest, "g")
+    rest = members.filter("root <> top")
+    met = pairs_in_groups(rest, members, (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("x_top")) | (F.col("x_root") < F.col("y_root"))) & within_positions() & within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n")))
+    columns = ["x_id", "y_id", "x_centre", "y_centre", "x_d", "y_d"]
+    between = known.informed(known.informed(pairs.select(F.col("a").alias("x_id"), F.col("b").alias("y_id")), "x_id", "x_"), "y_id", "y_").filter("x_root <> y_root")
+    open_ = written(met.select(*columns).union(between.select(*columns)).distinct(), "open")
+    # first the centres, whose answers stand for those of the sets near them
+    both = lambda df: df.select(F.greatest("x_centre", "y_centre").alias("a"), F.least("x_centre", "y_centre").alias("b")).filter("a <> b")
+    known = Relations(known.done.unionByName(verify(known.new(both(open_)), "centres")))
+    apart = known.done.select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q"), distance(F.col("both"), F.col("n"), F.col("m")).alias("apart")).distinct()
+    left = open_.withColumns({"p": F.greatest("x_centre", "y_centre"), "q": F.least("x_centre", "y_centre")}).join(apart, ["p", "q"], "left")
     limit = float(1 - THRESHOLD) + 1e-9
-    near = written(apart.filter(F.col("apart") - F.coalesce("p_reach", F.lit(0.0)) - F.coalesce("q_reach", F.lit(0.0)) <= limit).select("p", "q", "apart").distinct(), "near")
-    if near.isEmpty():
-        return roots
-    found = pairs_in_groups(members, (F.col("x_root") < F.col("y_root")) & within_positions()).select(*open_pairs.columns).union(open_pairs)
-    found = found.withColumns({"p": F.greatest("x_centre", "y_centre"), "q": F.least("x_centre", "y_centre")}).join(near, ["p", "q"])
-    found = found.filter((F.col("apart") - F.col("x_d") - F.col("y_d") <= limit) & ~((F.col("x_id") == F.col("x_centre")) & (F.col("y_id") == F.col("y_centre"))))
-    now = roots.select(F.col("node").alias("x_id"), F.col("root").alias("x_now"))
-    found = found.select("x_id", "y_id").join(now, "x_id", "left").join(now.toDF("y_id", "y_now"), "y_id", "left")
-    found = found.filter(F.coalesce("x_now", "x_id") != F.coalesce("y_now", "y_id")).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
-    third = written(verified(found, texts, sets_of), "third")
-    return written(components(links.union(third.filter(link).select("a", "b"))), "roots")
+    left = left.filter(F.coalesce(F.col("apart"), F.lit(0.0)) - F.col("x_d") - F.col("y_d") <= limit).select("x_id", "y_id")
+    left = known.informed(known.informed(left, "x_id", "x_"), "y_id", "y_").filter("x_root <> y_root").select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b"))
+    return Relations(known.done.unionByName(verify(known.new(left), "last"))).roots
 
 
 def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     surveyed = written(survey(docs), "survey")
-    often = frequent(surveyed.filter("kind = 1").select(F.col("a").alias("token"), "n"))
+    rarity = rarity_of(surveyed)
     sets = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "sig", "n")
-    named = sets.filter("doc_id IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
+    named = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "sig", "n", "bits").filter("doc_id IS NOT NULL AND n > 0")
+    classes = written(named.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     # a posting for each row, as copies are dropped only in the lists
     total = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
-    lists = written(candidates(blocks_of(shingle_sets), docs.filter("doc_id IS NOT NULL"), int(total), often, hot, per_part), "lists")
+    lists = written(candidates(blocks_of(shingle_sets), docs.filter("doc_id IS NOT NULL"), int(total), rarity, hot, per_part), "lists")
 
     def texts(asked: DataFrame) -> DataFrame:
         wanted = written(asked.join(classes.select("sig", "doc_id"), "sig"), "wanted")
@@ -216,7 +268,7 @@ def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PAR
 
     pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
     groups = lists.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", F.col("m").alias("at")).groupBy("g", "id", "n").agg(F.min("at").alias("at"))
-    roots = similarity_components(pairs, groups, texts)
+    roots = similarity_components(pairs, groups, classes.select(F.col("sig").alias("id"), "bits"), texts)
     placed = classes.select("sig", "doc_id").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = placed.select("sig", "root").join(least, "root").select("sig", "component_id")

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmask.llm.columns import blocks, buffers, shingle_sets, word_hashes
-from quillmask.llm.jaccard_join import linked, pairs_in_groups, rows_of, verified, within_positions
-from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, candidates, frequent, signatures
+from quillmask.llm.jaccard_join import linked, pairs_in_groups, rarity_of, rows_of, tallies, verified, within_bits, within_positions
+from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, TokenCounters, bit_patterns, candidates, signatures
 from quillmask.llm.tables import may_hold, written
 
 MIN_WORDS = 5
@@ -63,29 +63,29 @@ def line_sets(lines: pa.Array, min_words: int) -> list[np.ndarray]:
     return [s[:0] if few else s for s, few in zip(shingle_sets(lines), short.tolist(), strict=True)]
 
 
-SURVEY_SCHEMA = "kind int, a long, line int, sig long, n long"
+SURVEY_SCHEMA = "kind int, a long, line int, sig long, n long, bits array<long>, counts binary"
 
 
 def survey(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows of kind 0: doc_id (a), line, name of its set and size; of kind 1: a frequent token (a) and its count (n)."""
+    """Rows of kind 0: doc_id (a), line, name of its set and size; of kinds 1 and 2 what the order of tokens needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = FrequentTokens()
-        names = ["kind", "a", "line", "sig", "n"]
+        often, counters = FrequentTokens(), TokenCounters()
+        names = ["kind", "a", "line", "sig", "n", "bits", "counts"]
         for batch in batches:
             for part, column in blocks(batch, "text"):
                 lines, row = lines_of(column)
                 offsets, tokens = rows_of(line_sets(lines, min_words))
                 often.add(tokens)
+                counters.add(tokens)
                 size = np.diff(offsets)
                 keep = size > 0
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 n = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids[row[keep]], pa.int64()), pa.array(place[keep].astype(np.int32)), pa.array(signatures(offsets, tokens)[keep]), pa.array(size[keep])], names)
-        tokens, counts = often.result()
-        n = len(tokens)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(tokens.view(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(counts)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids[row[keep]], pa.int64()), pa.array(place[keep].astype(np.int32)), pa.array(signatures(offsets, tokens)[keep]), pa.array(size[keep]), bit_patterns(offsets, tokens).filter(pa.array(keep)), pa.nulls(n, pa.binary())], names)
+        for kind, a, n, counts in tallies(often, counters):
+            yield pa.RecordBatch.from_arrays([kind, a, pa.array(np.zeros(len(a), np.int32)), pa.array(np.zeros(len(a), np.int64)), n, pa.nulls(len(a), pa.list_(pa.int64())), counts], names)
 
     return docs.mapInArrow(run, SURVEY_SCHEMA)
 
@@ -93,9 +93,9 @@ def survey(docs: DataFrame, min_words: int) -> DataFrame:
 def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
     """(doc_id, line) of every line with an earlier match, in docs (doc_id long, text string) with ids."""
     surveyed = written(survey(docs, min_words), "lines")
-    often = frequent(surveyed.filter("kind = 1").select(F.col("a").alias("token"), "n"))
-    lines = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "line", "sig", "n")
-    classes = written(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n")), "classes")
+    rarity = rarity_of(surveyed)
+    lines = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "line", "sig", "n", "bits")
+    classes = written(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     total = lines.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -112,7 +112,7 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
                         names = names[first]
                     yield names, offsets, tokens
 
-    lists = written(candidates(blocks_of, docs, int(total), often, hot, per_part), "lists")
+    lists = written(candidates(blocks_of, docs, int(total), rarity, hot, per_part), "lists")
     pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
     groups = lists.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", F.col("m").alias("at")).groupBy("g", "id", "n").agg(F.min("at").alias("at"))
 
@@ -142,11 +142,11 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     second = written(placed(verified(open_.select(F.col("x").alias("a"), F.col("least.x").alias("b")).distinct(), texts)), "second")
     gone = written(gone.union(later(second.filter(link))).distinct(), "gone")
     # 3: all earlier candidates of what is left
-    members = groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos")), "id").join(gone.select(F.col("sig").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    members = groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos"), "bits"), "id").join(gone.select(F.col("sig").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     least = members.groupBy("g").agg(F.min("pos").alias("least"))
     live = members.filter(~F.col("out")).join(least, "g").filter(F.col("pos") > F.col("least")).select("g").distinct()
     members = written(members.join(live, "g", "left_semi"), "members")
-    met = pairs_in_groups(members, ~F.col("x_out") & (F.col("y_pos") < F.col("x_pos")) & within_positions()).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    met = pairs_in_groups(members.filter(~F.col("out")), members, (F.col("y_pos") < F.col("x_pos")) & within_positions() & within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n"))).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
     rest = placed(pairs.select("a", "b")).select(F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a_at") > F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("b"))
     rest = rest.join(gone.withColumnRenamed("sig", "a"), "a", "left_anti").select("a", "b")
     known = first.select("a", "b").union(second.select("a", "b"))

@@ -1,6 +1,7 @@
 """Candidates for exact set-similarity joins: prefixes by rarity, dealt out as blocks of postings and read list by list.
 
-A set's tokens are ordered by rarity (frequent tokens last, the rest by hash).
+A set's tokens are ordered by rarity: by how many tokens fall into the same of
+a fixed number of counters, then by hash. All tokens of all sets are counted.
 Two sets of ``n`` and ``m`` tokens with Jaccard similarity ``t`` or more share
 one of the first ``n - ceil(t n) + 1`` tokens of the one and of the other. A
 posting is (token, set, size, position). Mappers sort postings by part and
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 from quillmask.llm.columns import U64, mix
 
 THRESHOLD = Fraction(3, 4)
-#: Frequent tokens that are told apart; all others count as rare.
+#: Counters of tokens; each is sent in chunks.
+COUNTERS = 1 << 21
+CHUNKS = 128
+#: Tokens that may be in so many sets that their lists are salted.
 FREQUENT = 65_536
 KEPT_IN_TASK = 20_000
 #: Sets in one salted part of a token's list.
@@ -53,6 +57,24 @@ def signatures(offsets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(U64)).view(np.int64)
 
 
+#: Longs of the bit pattern of a set.
+BIT_LONGS = 8
+
+
+def bit_patterns(offsets: np.ndarray, tokens: np.ndarray) -> pa.Array:
+    """For each set 512 bits: bit i is whether an odd number of its tokens hash to i.
+
+    Where two patterns differ, the sets differ in at least one token of that
+    hash, so the number of differing bits is at most the number of tokens that
+    only one of the sets has.
+    """
+    n, width = len(offsets) - 1, BIT_LONGS * 64
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    odd = np.bincount(row * width + (mix(tokens + U64(7)) % U64(width)).astype(np.int64), minlength=n * width) & 1
+    longs = np.packbits(odd.astype(np.uint8).reshape(n, width), axis=1, bitorder="little").view(np.int64).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BIT_LONGS), pa.array(longs))
+
+
 class FrequentTokens:
     """Counts tokens of all sets that pass; tokens seen once in a block are dropped as rare."""
 
@@ -85,23 +107,70 @@ def frequent(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.n
     return tokens[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def rarity(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """How often each token counts as seen; 0 if it isn't frequent."""
-    known, counts = often
-    if not len(known):
-        return np.zeros(len(tokens), np.int64)
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    return np.where(known[at] == tokens, counts[at], 0)
+class Rarity:
+    """Orders tokens by the counters they fall into, and knows the most frequent ones; of fixed size."""
+
+    def __init__(self, counters: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
+        self.counters, self.tokens, self.counts = counters, tokens, counts
+        self.shift = U64(64 - (len(counters).bit_length() - 1))
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.counters[(tokens >> self.shift).astype(np.int64)]
+
+    def sets(self, tokens: np.ndarray) -> np.ndarray:
+        """In how many sets a frequent token was counted; 0 for all others."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.counts[at], 0)
+
+
+class TokenCounters:
+    """Counts all tokens that pass into a fixed number of counters."""
+
+    def __init__(self, n: int = COUNTERS):
+        self.total, self.held, self.size = np.zeros(n, np.uint32), [], 0
+        self.shift = U64(64 - (n.bit_length() - 1))
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.held.append((tokens >> self.shift).astype(np.uint32))
+        self.size += len(tokens)
+        if self.size > 2 * len(self.total):
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total)).astype(np.uint32)
+        self.held, self.size = [], 0
+
+    def chunks(self) -> list[bytes]:
+        self._flush()
+        return [c.tobytes() for c in np.split(self.total, CHUNKS)] if self.total.any() else []
+
+
+def summed(chunks: DataFrame, n: int = COUNTERS) -> np.ndarray:
+    """The sum of (chunk, counts) rows, as one array of ``n`` counters: added up on the executors, chunk by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(data.as_buffer(), np.uint32).astype(np.uint64)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    out = np.zeros(n, np.int64)
+    for row in chunks.repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect():
+        out.reshape(CHUNKS, -1)[row["chunk"]] += np.frombuffer(row["counts"], np.uint64).astype(np.int64)
+    return out
 
 
-def postings(ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def postings(ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, rarity: Rarity) -> np.ndarray:
     """The prefix postings of sets (rows of distinct tokens that are sorted by hash)."""
     sizes = np.diff(offsets)
-    seen = rarity(tokens, often)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    if seen.any():
-        order = np.lexsort((seen, row))  # stable: of equal counts the hash decides
-        tokens = tokens[order]
+    tokens = tokens[np.lexsort((rarity.of(tokens), row))]  # stable: of equal counts the hash decides
     at = np.arange(len(tokens)) - np.repeat(offsets[:-1], sizes)
     keep = at < np.repeat(prefix(sizes), sizes)
     out = np.empty(int(keep.sum()), POSTING)
@@ -109,17 +178,17 @@ def postings(ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, often: tu
     return out
 
 
-def salts(tokens: np.ndarray, ids: np.ndarray, often: tuple[np.ndarray, np.ndarray], hot: int) -> np.ndarray:
+def salts(tokens: np.ndarray, ids: np.ndarray, rarity: Rarity, hot: int) -> np.ndarray:
     """The salt of each posting: 0 unless its token is in more than ``hot`` sets."""
-    seen = rarity(tokens, often)
+    seen = rarity.sets(tokens)
     if not (seen > hot).any():
         return np.zeros(len(tokens), np.int64)
     return np.where(seen > hot, (mix(ids.view(U64)) % np.maximum(-(-seen // hot), 1).astype(U64)).astype(np.int64), 0)
 
 
-def deal(found: np.ndarray, parts: int, often: tuple[np.ndarray, np.ndarray], hot: int) -> pa.RecordBatch:
+def deal(found: np.ndarray, parts: int, rarity: Rarity, hot: int) -> pa.RecordBatch:
     """Postings as blocks by part."""
-    salt = salts(found["token"], found["id"], often, hot)
+    salt = salts(found["token"], found["id"], rarity, hot)
     part = (mix(found["token"] + salt.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, found = part[order], found[order]
@@ -133,10 +202,10 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
 
 
-def read_lists(found: np.ndarray, often: tuple[np.ndarray, np.ndarray], hot: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+def read_lists(found: np.ndarray, rarity: Rarity, hot: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of one part's postings: pairs (set, centre, sizes of both, lists they share) and groups (name, set, size, position)."""
     found = found[np.argsort(found["token"], kind="stable")]
-    salted = rarity(found["token"], often) > hot
+    salted = rarity.sets(found["token"]) > hot
     edges = _runs(found["token"])
     found = found[np.repeat(np.diff(edges) > 1, np.diff(edges)) | salted]
     found = found[np.lexsort((found["id"], found["size"], found["token"]))]
@@ -163,7 +232,7 @@ def read_lists(found: np.ndarray, often: tuple[np.ndarray, np.ndarray], hot: int
     good = (centre != np.arange(len(size))) & (left >= overlap_needed(n, m))
     pairs = _counted(found["id"][good], found["id"][centre][good], n[good], m[good])
     many = np.repeat(np.diff(edges) > 2, np.diff(edges))
-    hidden = rarity(found["token"], often) > hot
+    hidden = rarity.sets(found["token"]) > hot
     total = np.add.reduceat(mix(found["id"].view(U64)), edges[:-1])
     name = np.where(hidden, mix(found["token"] + U64(1)), mix(np.repeat(total, np.diff(edges)))).view(np.int64)
     keep = many | hidden
@@ -182,44 +251,44 @@ def _counted(x: np.ndarray, c: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 LISTS_SCHEMA = "kind int, a long, b long, n long, m long, lists long"
 
 
-def candidates(blocks_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], source: DataFrame, total: int, often: tuple[np.ndarray, np.ndarray], hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
+def candidates(blocks_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], source: DataFrame, total: int, rarity: Rarity, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
     """Rows of kind 0: pairs (a: set, b: centre, n, m: sizes, lists: shared lists); of kind 1: groups (a: name, b: set, n: size, m: position).
 
     ``blocks_of`` makes (ids, offsets, tokens) of the source's batches; ``total`` is the number of postings.
     """
     parts = max(1, -(-total // per_part))
-    often_b = source.sparkSession.sparkContext.broadcast(often)  # at most FREQUENT tokens
+    rarity_b = source.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for ids, offsets, tokens in blocks_of(batches):
-            found = postings(ids, offsets, tokens, often_b.value)
+            found = postings(ids, offsets, tokens, rarity_b.value)
             held.append(found)
             size += len(found)
             if size > 1_000_000:
-                yield deal(np.concatenate(held), parts, often_b.value, hot)
+                yield deal(np.concatenate(held), parts, rarity_b.value, hot)
                 held, size = [], 0
         if size:
-            yield deal(np.concatenate(held), parts, often_b.value, hot)
+            yield deal(np.concatenate(held), parts, rarity_b.value, hot)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if part != now and held:
-                    yield from _lists(held, often_b.value, hot)
+                    yield from _lists(held, rarity_b.value, hot)
                     held = []
                 now = part
                 held.append(np.frombuffer(block.as_buffer(), POSTING))
         if held:
-            yield from _lists(held, often_b.value, hot)
+            yield from _lists(held, rarity_b.value, hot)
 
     dealt = source.mapInArrow(emit, "part long, block binary").repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(gather, LISTS_SCHEMA)
 
 
-def _lists(held: list[np.ndarray], often: tuple[np.ndarray, np.ndarray], hot: int) -> Iterator[pa.RecordBatch]:
-    (x, c, n, m, shared), (name, member, size, at) = read_lists(np.concatenate(held), often, hot)
+def _lists(held: list[np.ndarray], rarity: Rarity, hot: int) -> Iterator[pa.RecordBatch]:
+    (x, c, n, m, shared), (name, member, size, at) = read_lists(np.concatenate(held), rarity, hot)
     columns = [np.concatenate(v) for v in ((x, name), (c, member), (n, size), (m, at), (shared, np.zeros(len(name), np.int64)))]
     kind = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(name), np.int32)])
     for a in range(0, len(kind), 200_000):
