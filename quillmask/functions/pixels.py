@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -123,22 +126,24 @@ def _root(parent: list[int], k: int) -> int:
     return k
 
 
-@F.pandas_udf("array<bigint>")
-def tiles_udf(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+def tiles(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return pd.Series([tile_hashes(image(d, w, h)) for d, w, h in zip(data, width, height, strict=True)])
 
 
-@F.pandas_udf("bigint")
-def hash_udf(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+def whole_hash(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return pd.Series([difference_hash(image(d, w, h), 0, 0, w, h) for d, w, h in zip(data, width, height, strict=True)])
 
 
-@F.pandas_udf("string")
-def key_udf(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+def keys(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return pd.Series([pixel_key(image(d, w, h)) for d, w, h in zip(data, width, height, strict=True)])
 
 
-@F.pandas_udf("binary")
-def redact_udf(data: pd.Series, width: pd.Series, height: pd.Series, texts: pd.Series, faces: pd.Series) -> pd.Series:
+def redacted(data: pd.Series, width: pd.Series, height: pd.Series, texts: pd.Series, faces: pd.Series) -> pd.Series:
     """Texts filled black, then faces pixelated; boxes as arrays of x, y, w, h."""
     return pd.Series([pixelate(black_fill(image(d, w, h), list(t)), list(f)).tobytes() for d, w, h, t, f in zip(data, width, height, texts, faces, strict=True)])
+
+
+def column(name: str) -> Callable[..., Column]:
+    """One of these as a function of columns: tiles, hash, key or redact."""
+    function, kind = {"tiles": (tiles, "array<bigint>"), "hash": (whole_hash, "bigint"), "key": (keys, "string"), "redact": (redacted, "binary")}[name]
+    return F.pandas_udf(function, kind)
