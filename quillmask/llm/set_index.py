@@ -17,6 +17,7 @@ salted over several parts, and their group is kept under one name.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -145,7 +146,18 @@ class TokenCounters:
 
     def chunks(self) -> list[bytes]:
         self._flush()
-        return [c.tobytes() for c in np.split(self.total, CHUNKS)] if self.total.any() else []
+        return [_squeezed(c) for c in np.split(self.total, CHUNKS)] if self.total.any() else []
+
+
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as they need, the first byte says how many, compressed."""
+    most = int(counts.max())
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.uint64)
 
 
 def summed(chunks: DataFrame, n: int = COUNTERS) -> np.ndarray:
@@ -154,15 +166,15 @@ def summed(chunks: DataFrame, n: int = COUNTERS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(data.as_buffer(), np.uint32).astype(np.uint64)
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = _counts(data)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.uint32)
     for row in chunks.repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect():
-        out.reshape(CHUNKS, -1)[row["chunk"]] += np.frombuffer(row["counts"], np.uint64).astype(np.int64)
+        out.reshape(CHUNKS, -1)[row["chunk"]] += np.minimum(np.frombuffer(row["counts"], np.uint64), 0x7FFFFFFF).astype(np.uint32)
     return out
 
 
