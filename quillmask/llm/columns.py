@@ -124,19 +124,37 @@ def word_hashes(column: pa.Array, lower: bool = True, kinds: np.ndarray | None =
     return hashes, np.concatenate([[0], np.cumsum(counts)])
 
 
-def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
-    """Hashes of the k-word shingles of one row, in order; of the whole sequence where it is shorter; none without words."""
-    n = len(words)
-    if n == 0:
-        return words
-    width = min(k, n)
-    total = np.full(n - width + 1, U64(width), U64)
-    for i in range(width):
-        total += words[i : n - width + 1 + i] * STEP_KEYS[i]
-    return mix(total)
-
-
-def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of its k-word shingles, A-Z lower-cased."""
+def by_row(rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """Places that bring values together by row and keep their order within it."""
+    return np.argsort(rows.astype(np.uint16) if n_rows <= 1 << 16 else rows, kind="stable")
+
+
+def shingle_table(column: pa.Array, k: int = 5, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' sets of k-word shingles, A-Z lower-cased: offsets (rows + 1), and each row's distinct hashes in rising order.
+
+    A row of fewer than k words has its whole sequence as one shingle; one of
+    fewer than ``least`` words has none.
+    """
     words, first = word_hashes(column)
-    return [np.unique(shingles(words[first[i] : first[i + 1]], k)) for i in range(len(column))]
+    n, counts = len(column), np.diff(first)
+    row = np.repeat(np.arange(n), counts)
+    hashes, rows = [], []
+    for width in range(1, k + 1):
+        fits = (counts >= max(k, least)) if width == k else (counts == width) & (counts >= least)
+        if not fits.any():
+            continue
+        m = len(words) - width + 1
+        start = np.flatnonzero(fits[row[:m]] & (row[:m] == row[width - 1 :]))
+        total = np.full(len(start), U64(width), U64)
+        for i in range(width):
+            total += words[start + i] * STEP_KEYS[i]
+        hashes.append(mix(total))
+        rows.append(row[start])
+    if not hashes:
+        return np.zeros(n + 1, np.int64), np.zeros(0, U64)
+    hashes, rows = np.concatenate(hashes), np.concatenate(rows)
+    order = np.argsort(hashes)
+    order = order[by_row(rows[order], n)]
+    hashes, rows = hashes[order], rows[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])])
+    return np.concatenate([[0], np.cumsum(np.bincount(rows[new], minlength=n))]), hashes[new]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.columns import blocks, shingle_sets
+from quillmask.llm.columns import blocks, shingle_table
 from quillmask.llm.set_index import BIT_LONGS, HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, Rarity, TokenCounters, bit_patterns, candidates, frequent, signatures, summed
 from quillmask.llm.tables import components, may_hold, written
 
@@ -43,18 +43,18 @@ from quillmask.llm.tables import components, may_hold, written
 CENTRE_SETS = 2048
 NUM, DEN = THRESHOLD.numerator, THRESHOLD.denominator
 
-SetsOf = Callable[[pa.Array], list[np.ndarray]]
+SetsOf = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def rows_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and tokens of several sets."""
-    return np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+def filled(offsets: np.ndarray) -> np.ndarray:
+    """The offsets of the rows that have any token."""
+    return np.concatenate([offsets[:-1][np.diff(offsets) > 0], offsets[-1:]])
 
 
 SURVEY_SCHEMA = "kind int, a long, sig long, n long, bits array<long>, counts binary"
 
 
-def survey(docs: DataFrame, sets_of: SetsOf = shingle_sets) -> DataFrame:
+def survey(docs: DataFrame, sets_of: SetsOf = shingle_table) -> DataFrame:
     """Rows of kind 0: doc_id (a), name of its set (sig) and its size (n); of kinds 1 and 2 what :func:`rarity_of` needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,7 @@ def survey(docs: DataFrame, sets_of: SetsOf = shingle_sets) -> DataFrame:
         names = ["kind", "a", "sig", "n", "bits", "counts"]
         for batch in batches:
             for part, column in blocks(batch, "text"):
-                offsets, tokens = rows_of(sets_of(column))
+                offsets, tokens = sets_of(column)
                 often.add(tokens)
                 counters.add(tokens)
                 n = len(part)
@@ -87,13 +87,19 @@ def rarity_of(surveyed: DataFrame) -> Rarity:
     return Rarity(summed(surveyed.filter("kind = 2").select(F.col("a").cast("int").alias("chunk"), "counts")), *often)
 
 
+def patterns_of(surveyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, bits) of the sets that are in groups."""
+    rows = surveyed.filter("kind = 0 AND n > 0").select(F.col("sig").alias("id"), "bits")
+    return rows.filter(may_hold(groups, "id")(F.col("id"))).groupBy("id").agg(F.first("bits").alias("bits"))
+
+
 def blocks_of(sets_of: SetsOf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for _, column in blocks(batch, "text"):
-                sets = [s for s in sets_of(column) if len(s)]
-                if sets:
-                    offsets, tokens = rows_of(sets)
+                offsets, tokens = sets_of(column)
+                offsets = filled(offsets)
+                if len(tokens):
                     yield signatures(offsets, tokens), offsets, tokens
 
     return run
@@ -102,7 +108,7 @@ def blocks_of(sets_of: SetsOf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 VERIFIED_SCHEMA = "a long, b long, n long, m long, both long"
 
 
-def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_sets, centre_sets: int = CENTRE_SETS) -> DataFrame:
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_table, centre_sets: int = CENTRE_SETS) -> DataFrame:
     """For pairs (a, b) of names of sets: their sizes n and m and how many tokens they share (both).
 
     ``texts`` joins a text to rows with a column ``sig``.
@@ -116,10 +122,10 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of:
         name, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
             for part, column in blocks(batch, "text"):
-                sets = sets_of(column)
-                names = signatures(*rows_of(sets)).tolist()
-                out = []
-                for own, asked_name, b, role, tokens in zip(names, part.column(3).to_pylist(), part.column(0).to_pylist(), part.column(2).to_pylist(), sets, strict=True):
+                offsets, every = sets_of(column)
+                names, cuts, out = signatures(offsets, every).tolist(), offsets.tolist(), []
+                for i, (own, asked_name, b, role) in enumerate(zip(names, part.column(3).to_pylist(), part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    tokens = every[cuts[i] : cuts[i + 1]]
                     if own != asked_name:
                         continue  # a row that only shares its id with the one asked for
                     if role == 0:
@@ -208,7 +214,7 @@ class Relations:
         return asked.distinct().join(both, ["a", "b"], "left_anti")
 
 
-def similarity_components(pairs: DataFrame, groups: DataFrame, bits: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_sets) -> DataFrame:
+def similarity_components(pairs: DataFrame, groups: DataFrame, bits: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_table) -> DataFrame:
     """(node, root) of every set that is linked to another, from candidate pairs (a, b, lists), groups (g, id, n, at) and patterns (id, bits)."""
 
     def verify(asked: DataFrame, name: str) -> DataFrame:
@@ -256,11 +262,11 @@ def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PAR
     surveyed = written(survey(docs), "survey")
     rarity = rarity_of(surveyed)
     sets = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "sig", "n")
-    named = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "sig", "n", "bits").filter("doc_id IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    named = sets.filter("doc_id IS NOT NULL AND n > 0")
+    classes = written(named.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "classes")
     # a posting for each row, as copies are dropped only in the lists
     total = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
-    lists = written(candidates(blocks_of(shingle_sets), docs.filter("doc_id IS NOT NULL"), int(total), rarity, hot, per_part), "lists")
+    lists = written(candidates(blocks_of(shingle_table), docs.filter("doc_id IS NOT NULL"), int(total), rarity, hot, per_part), "lists")
 
     def texts(asked: DataFrame) -> DataFrame:
         wanted = written(asked.join(classes.select("sig", "doc_id"), "sig"), "wanted")
@@ -268,7 +274,7 @@ def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PAR
 
     pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
     groups = lists.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", F.col("m").alias("at")).groupBy("g", "id", "n").agg(F.min("at").alias("at"))
-    roots = similarity_components(pairs, groups, classes.select(F.col("sig").alias("id"), "bits"), texts)
+    roots = similarity_components(pairs, groups, patterns_of(surveyed, groups), texts)
     placed = classes.select("sig", "doc_id").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = placed.select("sig", "root").join(least, "root").select("sig", "component_id")

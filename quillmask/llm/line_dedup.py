@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmask.llm.columns import blocks, buffers, shingle_sets, word_hashes
-from quillmask.llm.jaccard_join import linked, pairs_in_groups, rarity_of, rows_of, tallies, verified, within_bits, within_positions
+from quillmask.llm.columns import blocks, buffers, shingle_table
+from quillmask.llm.jaccard_join import filled, linked, pairs_in_groups, patterns_of, rarity_of, tallies, verified, within_bits, within_positions
 from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, TokenCounters, bit_patterns, candidates, signatures
 from quillmask.llm.tables import may_hold, written
 
@@ -56,13 +56,6 @@ def lines_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_string(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]), row
 
 
-def line_sets(lines: pa.Array, min_words: int) -> list[np.ndarray]:
-    """The lines' sets; of lines that are too short, none."""
-    _, first = word_hashes(lines)
-    short = np.diff(first) < min_words
-    return [s[:0] if few else s for s, few in zip(shingle_sets(lines), short.tolist(), strict=True)]
-
-
 SURVEY_SCHEMA = "kind int, a long, line int, sig long, n long, bits array<long>, counts binary"
 
 
@@ -75,7 +68,7 @@ def survey(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for part, column in blocks(batch, "text"):
                 lines, row = lines_of(column)
-                offsets, tokens = rows_of(line_sets(lines, min_words))
+                offsets, tokens = shingle_table(lines, least=min_words)
                 often.add(tokens)
                 counters.add(tokens)
                 size = np.diff(offsets)
@@ -94,23 +87,17 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     """(doc_id, line) of every line with an earlier match, in docs (doc_id long, text string) with ids."""
     surveyed = written(survey(docs, min_words), "lines")
     rarity = rarity_of(surveyed)
-    lines = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "line", "sig", "n", "bits")
-    classes = written(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    lines = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "line", "sig", "n")
+    classes = written(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("copies")), "classes")
     total = lines.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for _, column in blocks(batch, "text"):
-                sets = [s for s in line_sets(lines_of(column)[0], min_words) if len(s)]
-                if sets:
-                    offsets, tokens = rows_of(sets)
-                    # copies within the block are dropped before they travel
-                    names = signatures(offsets, tokens)
-                    _, first = np.unique(names, return_index=True)
-                    if len(first) < len(names):
-                        offsets, tokens = rows_of([sets[i] for i in first.tolist()])
-                        names = names[first]
-                    yield names, offsets, tokens
+                offsets, tokens = shingle_table(lines_of(column)[0], least=min_words)
+                offsets = filled(offsets)
+                if len(tokens):
+                    yield signatures(offsets, tokens), offsets, tokens
 
     lists = written(candidates(blocks_of, docs, int(total), rarity, hot, per_part), "lists")
     pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
@@ -142,7 +129,7 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     second = written(placed(verified(open_.select(F.col("x").alias("a"), F.col("least.x").alias("b")).distinct(), texts)), "second")
     gone = written(gone.union(later(second.filter(link))).distinct(), "gone")
     # 3: all earlier candidates of what is left
-    members = groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos"), "bits"), "id").join(gone.select(F.col("sig").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    members = groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos")), "id").join(patterns_of(surveyed, groups), "id").join(gone.select(F.col("sig").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     least = members.groupBy("g").agg(F.min("pos").alias("least"))
     live = members.filter(~F.col("out")).join(least, "g").filter(F.col("pos") > F.col("least")).select("g").distinct()
     members = written(members.join(live, "g", "left_semi"), "members")
@@ -154,7 +141,10 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     asked = met.union(rest).distinct().join(known, ["a", "b"], "left_anti")
     third = verified(asked, texts)
     gone = written(gone.union(placed(third.filter(link)).transform(later)).distinct(), "gone")
-    marked = lines.join(classes.select("sig", "at"), "sig").join(gone.withColumn("near", F.lit(True)), "sig", "left")
+    # lines of sets that have copies or an earlier match
+    several = classes.join(gone.withColumn("near", F.lit(True)), "sig", "left").filter("copies > 1 OR near")
+    several = written(several.select("sig", "at", "near"), "several")
+    marked = lines.filter(may_hold(several, "sig")(F.col("sig"))).join(several, "sig")
     return marked.filter(F.col("near").isNotNull() | (F.struct("doc_id", "line") > F.col("at"))).select("doc_id", "line").distinct()
 
 

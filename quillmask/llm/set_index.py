@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.columns import U64, mix
+from quillmask.llm.columns import U64, by_row, mix
 
 THRESHOLD = Fraction(3, 4)
 #: Counters of tokens; each is sent in chunks.
@@ -112,7 +112,9 @@ class Rarity:
     """Orders tokens by the counters they fall into, and knows the most frequent ones; of fixed size."""
 
     def __init__(self, counters: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
-        self.counters, self.tokens, self.counts = counters, tokens, counts
+        # 16 bits that grow with the counts: their exponents and first digits
+        self.counters = (counters.astype(np.float32).view(np.uint32) >> 16).astype(np.uint16)
+        self.tokens, self.counts = tokens, counts
         self.shift = U64(64 - (len(counters).bit_length() - 1))
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
@@ -182,7 +184,8 @@ def postings(ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, rarity: R
     """The prefix postings of sets (rows of distinct tokens that are sorted by hash)."""
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    tokens = tokens[np.lexsort((rarity.of(tokens), row))]  # stable: of equal counts the hash decides
+    order = np.argsort(rarity.of(tokens), kind="stable")  # of equal counts the hash decides
+    tokens = tokens[order[by_row(row[order], len(sizes))]]
     at = np.arange(len(tokens)) - np.repeat(offsets[:-1], sizes)
     keep = at < np.repeat(prefix(sizes), sizes)
     out = np.empty(int(keep.sum()), POSTING)
