@@ -22,7 +22,7 @@ HOUSE = f"(?i)(?:^|[{WIDE_SPACE}:])((?:(?:flat|house|no\\.?|#)[{WIDE_SPACE}]*)?\
 
 def token_spans(text: Column, tokens: Column) -> Column:
     """For each word piece its (start, end), found one after another in the lower-cased text without accents; null for special pieces and misses."""
-    plain = F.lower(F.translate(text, F.lit("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"), F.lit("aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")))
+    plain = F.lower(F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"))
     state = "struct<at:int,out:array<struct<start:int,end:int>>>"
 
     def step(acc: Column, token: Column) -> Column:

@@ -16,7 +16,7 @@ BEFORE, AFTER = "(?i)(?<![A-Za-z0-9])(?<!\\d[.,])", "(?![A-Za-z0-9]|[.,]\\d)"
 
 def stands_alone(text: Column, value: Column) -> Column:
     """The value occurs by itself, in any case."""
-    return F.lower(text).contains(F.lower(value)) & text.rlike(F.concat(F.lit(BEFORE), quoted(value), F.lit(AFTER)))
+    return F.lower(text).contains(F.lower(value)) & F.rlike(text, F.concat(F.lit(BEFORE), quoted(value), F.lit(AFTER)))
 
 
 def in_wire(text: Column, norm: Column, value: Column, least: int = MIN_NORMALIZED) -> Column:

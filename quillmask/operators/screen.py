@@ -77,7 +77,8 @@ def sanitize(elements: DataFrame, detectors: tuple[Detector, ...] = (), known: s
     fingerprint, accepts, nodeId. Hits in options are replaced, but are no
     detections.
     """
-    marked = detected(elements, detectors, known)
+    # dealt by scope, as the joins below want it; it also keeps the detectors' expressions from being copied upwards
+    marked = detected(elements, detectors, known).repartition("scope")
     dictionary = number_values(found_values(marked))
     tokens = dictionary.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "norm"), "token"))).alias("tokens"))
     marked = marked.join(tokens, "scope", "left")
@@ -115,8 +116,12 @@ def _placed(part: str, k: int) -> Column:
 
 def sanitize_text(texts: DataFrame, scope: str = "scope", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Plain texts (a task, say) with their values replaced, and the dictionary: a screen of one element."""
-    spans = texts.select(F.col(scope).alias("scope"), F.col(text).alias("text"), spans_of(F.col(text), F.lit(None).cast("string"), F.lit(False), F.lit(False), F.lit(None).cast("string"), F.lit("")).alias("spans"))
-    dictionary = number_values(spans.select("scope", F.explode("spans").alias("s")).select("scope", "s.type", "s.value", F.col("s.start").alias("pos")))
+    none = F.lit(None).cast("string")
+    own = spans_of(F.col(text), none, F.lit(False), F.lit(False), none, F.lit(""))
+    # generated where they are detected: with a projection between, the optimiser copies the whole expression for each field
+    each = texts.select(F.col(scope).alias("scope"), F.explode(own).alias("s"))
+    dictionary = number_values(each.select("scope", "s.type", "s.value", F.col("s.start").alias("pos")))
+    spans = texts.select(F.col(scope).alias("scope"), F.col(text).alias("text"), own.alias("spans"))
     tokens = dictionary.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "norm"), "token"))).alias("tokens"))
     named = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.col("tokens"), F.concat_ws(":", s["type"], normalize_value(s["value"]))).alias("token")))
     return spans.join(tokens, "scope", "left").select("scope", F.when(F.size("spans") == 0, F.col("text")).otherwise(redact(F.col("text"), named)).alias("safe")), dictionary
