@@ -176,6 +176,13 @@ def within_bits(x_bits: Column, y_bits: Column, n: Column, m: Column) -> Column:
     return (NUM + DEN) * differing <= (DEN - NUM) * (n + m)
 
 
+def likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Of pairs (a, b, n, m and others) those that their bit patterns do not rule out."""
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("id").alias(side), F.col("bits").alias(f"{side}_bits")), side)
+    return pairs.filter(within_bits(F.col("a_bits"), F.col("b_bits"), F.col("n"), F.col("m"))).drop("a_bits", "b_bits")
+
+
 #: Rounds in which sets look for a link to one set of another component, before all pairs left are looked at.
 ROUNDS = 3
 
@@ -204,7 +211,7 @@ class Relations:
 
     def mixed(self, groups: DataFrame) -> DataFrame:
         """The groups that hold sets of several components, with what is known of each set."""
-        members = self.informed(groups.select("g", "id", "n", "at", "bits"), "id")
+        members = self.informed(groups.select("g", "id", "n", "at"), "id")
         several = members.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
         return written(members.join(several, "g", "left_semi"), "mixed")
 
@@ -221,12 +228,13 @@ def similarity_components(pairs: DataFrame, groups: DataFrame, bits: DataFrame,
         return written(verified(asked, texts, sets_of), name)
 
     known = Relations(verify(best_of(pairs), "first"))
-    members = known.mixed(groups.join(bits, "id"))
+    bits = written(bits, "bits")
+    members = known.mixed(groups)
     for k in range(ROUNDS):
         # one set stands for each group; by chance it is mostly of the largest component there
-        stands = members.groupBy("g").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n", "bits")).alias("rep"))
-        met = members.join(stands, "g").filter((F.col("root") != F.col("rep.root")) & compatible(F.col("n"), F.col("rep.n")) & within_bits(F.col("bits"), F.col("rep.bits"), F.col("n"), F.col("rep.n")))
-        met = met.groupBy(F.col("id").alias("a"), F.col("rep.id").alias("b")).agg(F.count("*").alias("lists"))
+        stands = members.groupBy("g").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n")).alias("rep"))
+        met = members.join(stands, "g").filter((F.col("root") != F.col("rep.root")) & compatible(F.col("n"), F.col("rep.n")))
+        met = likely(met.groupBy(F.col("id").alias("a"), F.col("rep.id").alias("b"), "n", F.col("rep.n").alias("m")).agg(F.count("*").alias("lists")), bits)
         asked = written(known.new(best_of(met)), "asked")
         tried = asked.count()
         found = verify(asked, "round")
@@ -234,12 +242,12 @@ def similarity_components(pairs: DataFrame, groups: DataFrame, bits: DataFrame,
         if tried:
             known = Relations(known.done.unionByName(found))
             members = known.mixed(members)
-        if hits * 20 <= tried:
+        if hits * 10 <= tried:
             break
 
     # all pairs left of different components; of a group's largest component only against others
     largest = members.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("top")).select("g", F.col("top.root").alias("top"))
-    members = members.join(largest, "g")
+    members = members.join(largest, "g").join(bits, "id")
     rest = members.filter("root <> top")
     met = pairs_in_groups(rest, members, (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("x_top")) | (F.col("x_root") < F.col("y_root"))) & within_positions() & within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n")))
     columns = ["x_id", "y_id", "x_centre", "y_centre", "x_d", "y_d"]

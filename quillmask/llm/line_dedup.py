@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmask.llm.columns import blocks, buffers, shingle_table
-from quillmask.llm.jaccard_join import filled, linked, pairs_in_groups, patterns_of, rarity_of, tallies, verified, within_bits, within_positions
+from quillmask.llm.jaccard_join import ROUNDS, best_of, compatible, filled, likely, linked, pairs_in_groups, patterns_of, rarity_of, tallies, verified, within_bits, within_positions
 from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, TokenCounters, bit_patterns, candidates, signatures
 from quillmask.llm.tables import may_hold, written
 
@@ -128,17 +128,36 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     open_ = around.join(gone.withColumnRenamed("sig", "x"), "x", "left_anti").join(earliest, "b").filter(F.col("x") != F.col("least.x"))
     second = written(placed(verified(open_.select(F.col("x").alias("a"), F.col("least.x").alias("b")).distinct(), texts)), "second")
     gone = written(gone.union(later(second.filter(link))).distinct(), "gone")
-    # 3: all earlier candidates of what is left
-    members = groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos")), "id").join(patterns_of(surveyed, groups), "id").join(gone.select(F.col("sig").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    known = first.select("a", "b").union(second.select("a", "b"))
+
+    def new(asked: DataFrame) -> DataFrame:
+        return asked.distinct().join(known.union(known.select("b", "a")), ["a", "b"], "left_anti")
+
+    members = written(groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos")), "id"), "members")
+    bits = written(patterns_of(surveyed, groups), "bits")
+    near = within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n"))
+    for _ in range(ROUNDS):
+        # 3: the earliest set of each group, by the groups in which a set meets it
+        rows = members.join(gone.withColumnRenamed("sig", "id"), "id", "left_anti")
+        heads = members.groupBy("g").agg(F.min(F.struct("pos", "id", "n")).alias("y"))
+        met = rows.join(heads, "g").filter((F.col("y.pos") < F.col("pos")) & compatible(F.col("n"), F.col("y.n")))
+        met = likely(met.groupBy(F.col("id").alias("a"), F.col("y.id").alias("b"), "n", F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("lists")), bits)
+        asked = written(best_of(new(met.select("a", "b")).join(met, ["a", "b"])), "asked")
+        if asked.isEmpty():
+            break
+        found = written(placed(verified(asked, texts)), "round")
+        known = known.union(found.select("a", "b"))
+        gone = written(gone.union(later(found.filter(link))).distinct(), "gone")
+    # 4: all earlier candidates of what is left
+    left = members.join(gone.withColumnRenamed("sig", "id"), "id", "left_anti")
     least = members.groupBy("g").agg(F.min("pos").alias("least"))
-    live = members.filter(~F.col("out")).join(least, "g").filter(F.col("pos") > F.col("least")).select("g").distinct()
-    members = written(members.join(live, "g", "left_semi"), "members")
-    met = pairs_in_groups(members.filter(~F.col("out")), members, (F.col("y_pos") < F.col("x_pos")) & within_positions() & within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n"))).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    left = left.join(least, "g").filter(F.col("pos") > F.col("least")).drop("least")
+    # only groups in which something is left
+    whole = members.join(left.select("g").distinct(), "g", "left_semi").join(bits, "id")
+    met = pairs_in_groups(left.join(bits, "id"), whole, (F.col("y_pos") < F.col("x_pos")) & within_positions() & near).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
     rest = placed(pairs.select("a", "b")).select(F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a_at") > F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("b"))
     rest = rest.join(gone.withColumnRenamed("sig", "a"), "a", "left_anti").select("a", "b")
-    known = first.select("a", "b").union(second.select("a", "b"))
-    known = known.union(known.select("b", "a"))
-    asked = met.union(rest).distinct().join(known, ["a", "b"], "left_anti")
+    asked = new(met.union(rest))
     third = verified(asked, texts)
     gone = written(gone.union(placed(third.filter(link)).transform(later)).distinct(), "gone")
     # lines of sets that have copies or an earlier match

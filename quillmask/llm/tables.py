@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +21,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task joins up by itself; beyond, the rounds of stars are used.
+TASK_EDGES = 200_000
+
+
+def joined_up(edges: DataFrame) -> DataFrame:
+    """The components of at most TASK_EDGES edges (u, v), by union-find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p, q = find(u), find(v)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", alone: int = TASK_EDGES) -> DataFrame:
     """For edges between longs, (node, root): the least node of its component, for every node with an edge to another.
 
-    Large-star and small-star steps in turn. A node's neighbours are never
+    Up to ``alone`` edges are joined up in one task. More go through
+    large-star and small-star steps in turn. A node's neighbours are never
     gathered: their minimum is a partial aggregate, joined back to the edges.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    if now.count() <= alone:
+        return joined_up(now)
     state = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

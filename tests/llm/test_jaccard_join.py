@@ -5,6 +5,7 @@ import pytest
 
 from quillmask.llm import jaccard_join as jj
 from quillmask.llm.set_index import HOT_SETS
+from quillmask.llm.tables import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -61,6 +62,14 @@ def test_components_equal_brute_force(spark, seed, hot, per_part):
     assert got == brute(rows)
 
 
+def test_components_by_stars_and_in_one_task(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(0, i) for i in range(400, 460)] + [(i, i + 1) for i in range(500, 540)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, stars = (sorted(map(tuple, components(df, alone=n).collect())) for n in (10**6, 0))
+    assert one == stars and len({n for n, _ in one}) == len(one)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jj.jaccard_components(df).collect() == []
