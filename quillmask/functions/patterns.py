@@ -150,4 +150,5 @@ def detect_patterns(text: Column) -> Column:
 
     ranked = [F.transform(rule_spans(text, rule), rank(rule, i)) for i, rule in enumerate(RULES)]
     found = let(F.array_sort(F.concat(*ranked)), lambda xs: keep_apart(F.transform(xs, lambda x: x["span"])))
-    return F.when(text.isNull(), no_spans()).otherwise(found)
+    # every rule needs a digit, an @ or a bracket
+    return F.when(F.coalesce(text.rlike("[0-9@\\[(]"), F.lit(False)), found).otherwise(no_spans())

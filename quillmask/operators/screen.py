@@ -46,18 +46,22 @@ def detected(elements: DataFrame, detectors: tuple[Detector, ...] = (), known: s
     entries = c[known] if known else None
     rule = dom_rule_type(c["inputType"], c["autocomplete"], c["htmlName"], c["htmlId"], c["name"], c["placeholder"])
 
+    whole = F.array(F.struct(F.col("rule").alias("type"), F.lit(0).alias("start"), F.length("value").alias("end"), F.col("value"), F.lit("dom_rule").alias("source"), F.lit(1.0).alias("confidence"))).cast(SPANS)
+    ruled = F.col("rule").isNotNull() & ~blank(c["value"])
+
     def part(text: Column, context: Column, is_value: bool) -> Column:
-        return spans_of(text, context, F.lit(is_value), c["boilerplate"], c["contact"], host, detectors, entries)
+        return F.struct(text.alias("text"), context.cast("string").alias("context"), F.lit(is_value).alias("is_value"))
 
-    whole = F.array(F.struct(F.col("rule").alias("type"), F.lit(0).alias("start"), F.length("value").alias("end"), F.col("value"), F.lit("dom_rule").alias("source"), F.lit(1.0).alias("confidence"))).cast(SPANS)
-    return elements.withColumn("rule", rule).withColumns(
-        {
-            "value_spans": F.when(blank(c["value"]), no_spans()).when(F.col("rule").isNotNull(), whole).otherwise(part(c["value"], c["name"], True)),
-            "name_spans": part(c["name"], c["context"], False),
-            "text_spans": F.when(blank(c["text"]) | (c["text"] == c["name"]), no_spans()).otherwise(part(c["text"], c["context"], False)),
-            "option_spans": F.transform(F.coalesce(c["options"], F.array().cast("array<string>")), lambda o: part(o, c["name"], False)),
-        }
+    nothing = F.lit(None).cast("string")
+    strings = F.array(
+        part(F.when(~ruled, c["value"]), c["name"], True), part(c["name"], c["context"], False), part(F.when(blank(c["text"]) | (c["text"] == c["name"]), nothing).otherwise(c["text"]), c["context"], False)
     )
+    strings = F.concat(strings, F.transform(F.coalesce(c["options"], F.array().cast("array<string>")), lambda o: part(o, c["name"], False)))
+    # one expression for all strings of an element, however many there are
+    found = F.transform(strings, lambda p: spans_of(p["text"], p["context"], p["is_value"], c["boilerplate"], c["contact"], host, detectors, entries))
+    spans = F.col("spans")
+    out = elements.withColumn("rule", rule).withColumn("spans", found)
+    return out.withColumns({"value_spans": F.when(ruled, whole).otherwise(spans[0]), "name_spans": spans[1], "text_spans": spans[2], "option_spans": F.slice(spans, 4, F.size(spans))}).drop("spans")
 
 
 def found_values(elements: DataFrame) -> DataFrame:
