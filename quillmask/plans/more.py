@@ -201,3 +201,30 @@ def x09_image_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda t: F.struct(F.lit(t).alias("text"), F.lit(0.9).alias("confidence"))
     d = _customers(spark, sf_dir).select("k", F.explode(F.array(line("PAN ABCPE1234F"), line("Colour: red"), line("Name: A Kumar"))).alias("l")).select("k", "l.*", geometry.box(F.lit(0), F.lit(0), F.lit(90), F.lit(9)).alias("box"))
     return images.mask_lines(d).groupBy("k").agg(F.count("*").alias("masks"))
+
+
+@query("""SELECT page_id, replace(replace(unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)), '&amp;', '&'), '&quot;', '"') AS name FROM pages""")
+def s07_link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessible names of the links of every page."""
+    seen = observed(table(spark, sf_dir, "pages"))
+    return seen.select("page_id", F.explode("elements").alias("e")).filter("e.role = 'link'").select("page_id", "e.name")
+
+
+@query("SELECT page_id, contains(html, '<footer>') AS has_footer, 0 AS opaque FROM pages")
+def s10_boilerplate_s03_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose inner text stands in a footer, and their opaque regions (none)."""
+    html = F.concat(F.regexp_replace("html", "<footer>", "<footer><p>"), F.lit(""))
+    seen = observed(table(spark, sf_dir, "pages").withColumn("html", html))
+    return seen.select("page_id", F.exists("elements", lambda e: F.coalesce(e["boilerplate"], F.lit(False))).alias("has_footer"), F.size("opaque").alias("opaque"))
+
+
+TABLES = """SELECT c_custkey AS page_id, 'u' AS url, '<table><tr><th>Name</th><th>PAN</th></tr><tr><td>' || c_name || '</td><td>x</td></tr></table><select><option>' || c_mktsegment || '</option><option> </option></select>' AS html FROM {customer}"""
+
+
+@query("SELECT c_custkey AS page_id, c_name AS text, 'Name' AS context, [c_mktsegment] AS options FROM customer")
+def s09_headers_s11_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell with its column's header, and the options of a list."""
+    seen = observed(run(spark, sf_dir, TABLES))
+    cell = F.filter("elements", lambda e: e["context"] == "Name")[0]
+    box = F.filter("elements", lambda e: e["tag"] == "select")[0]
+    return seen.select("page_id", cell["text"].alias("text"), cell["context"].alias("context"), box["options"].alias("options"))

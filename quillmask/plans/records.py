@@ -106,7 +106,6 @@ def f33_in_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACTIONS = """SELECT o_orderkey AS k, CAST(o_custkey % 50 AS STRING) AS scope, CASE o_orderkey % 6 WHEN 0 THEN 'click' WHEN 1 THEN 'type' WHEN 2 THEN 'select' WHEN 3 THEN 'scroll' WHEN 4 THEN 'fly' ELSE 'type' END AS op,
                     CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'e' || CAST(o_orderkey % 5 AS STRING) END AS element_id,
                     CASE o_orderkey % 4 WHEN 0 THEN '<PAN_1>' WHEN 1 THEN '<NAME_9>' WHEN 2 THEN 'plain' ELSE '<PHONE_1>' END AS text FROM {orders}"""
-SCREENS = "SELECT DISTINCT CAST(o_custkey % 50 AS STRING) AS scope, i FROM {orders} CROSS JOIN (VALUES (1), (2), (3), (4)) AS v(i)"
 
 
 @query(f"""SELECT k, CASE WHEN op = 'fly' THEN 'schema' WHEN op = 'scroll' THEN NULL WHEN element_id IS NULL THEN 'missing_element' WHEN element_id = 'e0' THEN 'unknown_element' WHEN element_id = 'e1' THEN 'stale_element'
@@ -114,7 +113,8 @@ SCREENS = "SELECT DISTINCT CAST(o_custkey % 50 AS STRING) AS scope, i FROM {orde
                           WHEN element_id = 'e3' AND text = '<PHONE_1>' THEN 'token_type_mismatch' END AS reject_reason,
                   coalesce(op = 'click' AND element_id = 'e4', false) AS needs_confirm FROM ({ACTIONS})""")
 def x06_validate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = run(spark, sf_dir, SCREENS).withColumns(
+    scopes = run(spark, sf_dir, ACTIONS).select("scope").distinct()
+    base = scopes.select("scope", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).withColumns(
         {
             "id": F.concat(F.lit("e"), F.col("i").cast("string")), "role": F.lit("textbox"), "label": F.when(F.col("i") == 4, "Submit form").otherwise("Field"), "field_type": F.lit("text"),
             "state": F.create_map(F.lit("disabled"), F.col("i") == 2), "options": F.array(F.lit("x")), "accepts": F.when(F.col("i") == 3, F.array(F.lit("PAN"))), "fingerprint": F.col("i").cast("string"),
