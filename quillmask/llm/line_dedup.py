@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmask.llm.columns import blocks, buffers, shingle_table
-from quillmask.llm.jaccard_join import ROUNDS, best_of, compatible, filled, likely, linked, pairs_in_groups, patterns_of, rarity_of, tallies, verified, within_bits, within_positions
+from quillmask.llm.jaccard_join import best_of, compatible, filled, likely, linked, pairs_in_groups, patterns_of, rarity_of, tallies, verified, within_bits, within_positions
 from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, TokenCounters, bit_patterns, candidates, signatures
 from quillmask.llm.tables import may_hold, written
 
 MIN_WORDS = 5
+#: Rounds in which sets are verified against the earliest set of their groups, before all earlier candidates are.
+LINE_ROUNDS = 2
 NUM, DEN = THRESHOLD.numerator, THRESHOLD.denominator
 
 
@@ -136,7 +138,7 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     members = written(groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos")), "id"), "members")
     bits = written(patterns_of(surveyed, groups), "bits")
     near = within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n"))
-    for _ in range(ROUNDS):
+    for _ in range(LINE_ROUNDS):
         # 3: the earliest set of each group, by the groups in which a set meets it
         rows = members.join(gone.withColumnRenamed("sig", "id"), "id", "left_anti")
         heads = members.groupBy("g").agg(F.min(F.struct("pos", "id", "n")).alias("y"))

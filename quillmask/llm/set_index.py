@@ -102,10 +102,10 @@ class FrequentTokens:
 
 def frequent(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens of (token, n) rows, sorted by token, and their counts: at most ``most``, so bounded."""
-    rows = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(U64)
+    rows = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    tokens = rows.column("token").to_numpy().view(U64)
     order = np.argsort(tokens)
-    return tokens[order], rows["n"].to_numpy(np.int64)[order]
+    return tokens[order], rows.column("n").to_numpy()[order]
 
 
 class Rarity:

@@ -87,9 +87,9 @@ def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[
         return [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (0, 1)]
 
     at = ids.select(F.explode(F.array(*places(F.col(column).cast("long")))).alias("p"))
-    words = at.groupBy(F.expr("p DIV 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("m")).toPandas()
+    words = at.groupBy(F.expr("p DIV 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("m")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
     held = ids.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
