@@ -294,7 +294,7 @@ SITE_BENIGN = "SELECT s_nationkey AS site, 'value' || CAST(s_suppkey AS STRING)
            f AS (SELECT r, site, min_by(ok, token) AS ok FROM hit GROUP BY r, site)
            SELECT s.site, s.positives, s.tp, s.positives - s.tp AS fn, coalesce((SELECT count(*) FROM m WHERE m.site = s.site AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.site = m.site AND h.token = m.token)), 0) AS fp, s.type_ok,
                   coalesce((SELECT count(*) FROM b WHERE b.site = s.site AND EXISTS (SELECT 1 FROM m WHERE m.site = b.site AND (contains(b.b, m.m) OR contains(m.m, b.b)))), 0) AS benign_masked
-           FROM (SELECT p.site, count(*) AS positives, count(f.ok) AS tp, count_if(f.ok) AS type_ok FROM p LEFT JOIN f USING (r, site) GROUP BY p.site) s""")
+           FROM (SELECT p.site, count(*) AS positives, count(f.ok) AS tp, coalesce(count_if(f.ok), 0) AS type_ok FROM p LEFT JOIN f USING (r, site) GROUP BY p.site) s""")
 def x11_score_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scoring.score_sites(run(spark, sf_dir, SITE_MASKED), run(spark, sf_dir, SITE_TRUE), run(spark, sf_dir, SITE_BENIGN))
     return out.select("site", "positives", "tp", "fn", "fp", "type_ok", "benign_masked")
