@@ -8,7 +8,7 @@ whether or not that one stays itself.
 
 Equal lines are one set with the place of its first. For the sets it is enough
 to find one earlier match: each is verified against the set it shares most
-lists with, then against the earliest match of that set, and only what is
+lists with, then against the earliest sets of its lists, and only what is
 still unmatched is verified against all earlier candidates.
 
 Defined results: lines are what stands between line feeds; lines of fewer than
@@ -124,13 +124,7 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     first = written(placed(verified(best, texts)), "first")
     links = first.filter(link)
     gone = written(later(links).distinct(), "gone")
-    # 2: against the earliest match of that set
-    around = links.select("b", F.col("a").alias("x"), F.col("a_at").alias("x_at")).union(links.select("b", F.col("b").alias("x"), F.col("b_at").alias("x_at")).distinct())
-    earliest = around.groupBy("b").agg(F.min(F.struct("x_at", "x")).alias("least"))
-    open_ = around.join(gone.withColumnRenamed("sig", "x"), "x", "left_anti").join(earliest, "b").filter(F.col("x") != F.col("least.x"))
-    second = written(placed(verified(open_.select(F.col("x").alias("a"), F.col("least.x").alias("b")).distinct(), texts)), "second")
-    gone = written(gone.union(later(second.filter(link))).distinct(), "gone")
-    known = first.select("a", "b").union(second.select("a", "b"))
+    known = first.select("a", "b")
 
     def new(asked: DataFrame) -> DataFrame:
         return asked.distinct().join(known.union(known.select("b", "a")), ["a", "b"], "left_anti")
@@ -139,7 +133,7 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
     bits = written(patterns_of(surveyed, groups), "bits")
     near = within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n"))
     for _ in range(LINE_ROUNDS):
-        # 3: the earliest set of each group, by the groups in which a set meets it
+        # 2: the earliest set of each group, by the groups in which a set meets it
         rows = members.join(gone.withColumnRenamed("sig", "id"), "id", "left_anti")
         heads = members.groupBy("g").agg(F.min(F.struct("pos", "id", "n")).alias("y"))
         met = rows.join(heads, "g").filter((F.col("y.pos") < F.col("pos")) & compatible(F.col("n"), F.col("y.n")))
@@ -150,7 +144,7 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
         found = written(placed(verified(asked, texts)), "round")
         known = known.union(found.select("a", "b"))
         gone = written(gone.union(later(found.filter(link))).distinct(), "gone")
-    # 4: all earlier candidates of what is left
+    # 3: all earlier candidates of what is left
     left = members.join(gone.withColumnRenamed("sig", "id"), "id", "left_anti")
     least = members.groupBy("g").agg(F.min("pos").alias("least"))
     left = left.join(least, "g").filter(F.col("pos") > F.col("least")).drop("least")
