@@ -41,10 +41,10 @@ from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, mix
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 LONG_WORD = 256
-BATCH_BYTES = 4 << 20
-GROUP_CELLS = 1 << 20
+BATCH_BYTES = 1 << 20
+GROUP_CELLS = 1 << 17
 _BASE = U64(STEP_KEYS[7])
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
