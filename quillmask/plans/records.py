@@ -398,8 +398,8 @@ def f16_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT k, count(DISTINCT px * 1000 + py) / 10000 AS share FROM (SELECT k, px, unnest(range(greatest(0, floor(y - 4)::BIGINT), least(100, ceil(y + h + 4)::BIGINT))) AS py
              FROM (SELECT *, unnest(range(greatest(0, floor(x - 4)::BIGINT), least(100, ceil(x + w + 4)::BIGINT))) AS px FROM ({BOXES}) WHERE k % 20 = 0)) GROUP BY k""")
 def a16_masked_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of a 100 x 100 frame under the boxes of every 20th order, without counting pixels."""
-    d = run(spark, sf_dir, BOXES).filter("k % 20 = 0").groupBy("k").agg(F.collect_list(geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("b"))
+    """The share of a 100 x 100 frame under the boxes of every order, without counting pixels; the SQL counts those of every 20th."""
+    d = run(spark, sf_dir, BOXES).groupBy("k").agg(F.collect_list(geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("b"))
     return d.select("k", geometry.union_share(F.col("b"), F.lit(100), F.lit(100)).alias("share"))
 
 
