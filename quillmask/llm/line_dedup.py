@@ -1,6 +1,7 @@
 """Line dedup: an exact similarity join of lines, of which the later ones of a match are removed.
 
-A line's tokens are its distinct shingles of five words. Lines are compared as
+A line's tokens are its distinct shingles of five words; a line of fewer words
+has its whole sequence as its one token. Lines are compared as
 in :mod:`quillmask.llm.set_index`: tokens by rarity, prefixes, positions and
 sizes; each pair left is verified by its Jaccard similarity. A line goes if an
 earlier one (by doc_id, then place in the text) has similarity 0.75 or more,
@@ -11,8 +12,8 @@ to find one earlier match: each is verified against the set it shares most
 lists with, then against the earliest sets of its lists, and only what is
 still unmatched is verified against all earlier candidates.
 
-Defined results: lines are what stands between line feeds; lines of fewer than
-``min_words`` words, empty lines among them, always stay and match nothing;
+Defined results: lines are what stands between line feeds; lines without words
+always stay and match nothing, as do those of fewer than ``min_words`` words;
 null text stays null; rows repeated with one doc_id are one document and get
 one result; rows without doc_id stay as they are and match nothing; an empty
 table gives an empty result. All other columns stay.
@@ -33,7 +34,7 @@ from quillmask.llm.jaccard_join import best_of, compatible, filled, likely, link
 from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, TokenCounters, bit_patterns, candidates, signatures
 from quillmask.llm.tables import may_hold, written
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 #: Rounds in which sets are verified against the earliest set of their groups, before all earlier candidates are.
 LINE_ROUNDS = 2
 NUM, DEN = THRESHOLD.numerator, THRESHOLD.denominator

@@ -39,3 +39,10 @@ def test_lines_equal_brute_force(spark, seed, hot, per_part):
 
 def test_empty_table(spark):
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_equal_short_lines_match(spark):
+    long = "one two three four five six seven"
+    rows = [(1, f"All rights reserved.\n{long}\nHome"), (2, f"all  RIGHTS reserved.\nAll rights\n\n \n{long}"), (3, "Home\nHome page\n\nAll rights reserved. now"), (4, f"All rights reserved.\n{long}\nHome")]
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.lines_removed) for r in got) == [(1, rows[0][1], 0), (2, "All rights\n\n ", 2), (3, "Home page\n\nAll rights reserved. now", 1), (4, "", 3)]
