@@ -62,7 +62,7 @@ def unclipped(b: Column, sx: Column, sy: Column, width: Column, height: Column)
 
 
 def suppress(faces: Column, limit: float = 0.3) -> Column:
-    """Of boxes with scores (structs of score, box) the best, each without others that overlap it by more than ``limit``."""
+    """Of boxes with scores (structs of score, box) the best, each without others that overlap it by more than ``limit``; of equal scores the one that stands first."""
     ordered = F.array_sort(faces, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
     return F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 1, 1), lambda kept, f: F.when(F.exists(kept, lambda k: iou(k["box"], f["box"]) > limit), kept).otherwise(F.concat(kept, F.array(f))))
 

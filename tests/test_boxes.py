@@ -1,10 +1,14 @@
 """Boxes of images against plain versions; queries over all rows of the smallest tables."""
 
 import math
+import random
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from quillmask import catalog
+from quillmask.functions import geometry
 from verify import digest
 
 D = "/root/testdata/sf0.001"
@@ -41,3 +45,39 @@ def test_masked_share_equals_sql_where_the_sql_counts(spark):
     df = catalog.QUERIES["a16_masked_share"](spark, D).filter("k % 20 = 0")
     out = duckdb.sql(catalog.ORACLE_SQL["a16_masked_share"].replace("FROM lineitem", f"FROM '{D}/lineitem.parquet'"))
     assert digest(df.columns, [list(r) for r in df.collect()]) == digest(out.columns, out.fetchall())
+
+
+def overlap(a, b):
+    w = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
+    h = max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    return w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
+
+
+def greedy(faces):
+    """Faces (line, score, box) that stay, best score first, then least line."""
+    kept = []
+    for f in sorted(faces, key=lambda f: (-f[1], f[0], f[2])):
+        if all(overlap(f[2], g[2]) <= 0.3 for g in kept):
+            kept.append(f)
+    return kept
+
+
+def rows_of(kept):
+    return [(f["line"], f["score"], tuple(f["box"])) for f in kept]
+
+
+def test_suppression_equals_greedy_choice(spark):
+    rng = random.Random(5)
+    faces = {k: [(i, float(rng.randrange(3)), tuple(float(rng.randrange(1, 20)) for _ in range(4))) for i in range(rng.randrange(1, 15))] for k in range(80)}
+    rows = [(k, *f) for k, v in faces.items() for f in v]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "k int, line int, score double, box struct<x:double,y:double,w:double,h:double>").repartition(4)
+    got = d.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "score", "box"))).alias("f")).select("k", geometry.suppress(F.col("f")).alias("kept"))
+    assert {r.k: rows_of(r.kept) for r in got.collect()} == {k: greedy(v) for k, v in faces.items()}
+
+
+def test_kept_boxes_of_all_orders_equal_greedy_choice(spark):
+    want = {k: greedy([(b[0], float(b[0] * 10 + k % 3), (b[0] % 3 * 4.0, 0.0, 10.0, 10.0)) for b in v]) for k, v in images().items()}
+    got = catalog.QUERIES["j19_suppress_faces"](spark, D).collect()
+    assert {r.k: rows_of(r.kept) for r in got} == want
+    assert {r.k: r.best for r in got} == {k: sum(f[1] == v[0][1] for f in v) for k, v in want.items()}
