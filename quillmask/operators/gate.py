@@ -10,6 +10,10 @@ from quillmask.functions.text import normalize_value, quoted
 
 HITS = "array<struct<kind:string,type:string,token:string,where:string>>"
 MIN_NORMALIZED = 6
+#: Widths of the stretches by which canaries are looked for.
+WINDOWS = (16, 4, 1)
+#: Bits of the filter of canaries: 512 KB, whatever their number.
+FILTER_BITS = 1 << 22
 #: Neither part of a longer word or number nor of a decimal.
 BEFORE, AFTER = "(?i)(?<![A-Za-z0-9])(?<!\\d[.,])", "(?![A-Za-z0-9]|[.,]\\d)"
 
@@ -53,17 +57,56 @@ def leak_gate(payloads: DataFrame, payload: str = "payload", entries: str = "ent
     return payloads.withColumn("hits", F.concat(scan(body, entry, canary, "payload", least), seen)).withColumns({"pass": F.size("hits") == 0, "sha256": F.sha2(body, 256), "bytes": F.octet_length(body).cast("long")})
 
 
-def canary_hits(payloads: DataFrame, canaries: DataFrame, key: str = "id", payload: str = "payload", canary: str = "canary") -> DataFrame:
-    """(key, canary) for payloads that hold a canary with the words around its ends whole.
+def _key_form(c: Column) -> Column:
+    """The normal form with one small sigma, as lower case depends on what stands beside it: a text that holds another has its form within its own."""
+    return F.translate(normalize_value(c), "\u03c2", "\u03c3")
+
+
+def _windows(c: Column, width: int) -> Column:
+    """Hashes of all stretches of ``width`` characters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)), lambda w: F.xxhash64(w)))
+
 
-    A join by equality: a canary is looked for only in payloads that share its
-    longest word; candidates are then tested for the canary as it stands.
+def _filter_of(keys: DataFrame) -> DataFrame:
+    """One row: the widths of the keys (width, w), and a Bloom filter of FILTER_BITS bits as an array of longs.
+
+    Its column ``zero`` is computed, as a join on a literal becomes a cross join.
     """
+    at = F.pmod("w", F.lit(FILTER_BITS))
+    words = keys.groupBy(F.floor(at / 64).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(w, {FILTER_BITS}) % 64 AS INT))")).alias("m"))
+    full = keys.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").agg(F.min("id").alias("zero"), F.array_sort(F.collect_list(F.struct("id", F.coalesce("m", F.lit(0)).alias("m")))).alias("a"))
+    widths = keys.agg((F.min("width").cast("long") * 0).alias("zero"), F.collect_set("width").alias("widths"))
+    return full.select("zero", F.transform("a", lambda x: x["m"]).alias("bits")).join(widths, "zero")
+
 
-    def words(c: Column) -> Column:
-        return F.filter(F.split(c, "\\s+"), lambda w: w != "")
+def canary_hits(payloads: DataFrame, canaries: DataFrame, key: str = "id", payload: str = "payload", canary: str = "canary") -> DataFrame:
+    """(key, canary) for payloads that hold a canary as it stands or in normal form, as in :func:`scan`.
 
-    left = payloads.select(key, payload, F.explode(F.array_distinct(words(F.col(payload)))).alias("w"))
-    longest = F.element_at(F.array_sort(F.transform(words(F.col(canary)), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
-    right = canaries.filter(F.size(words(F.col(canary))) > 0).select(canary, longest.alias("w"))
-    return left.join(right, "w").filter(F.col(payload).contains(F.col(canary))).select(key, canary).distinct()
+    A join by equality: a canary is looked for only in payloads that share a
+    window of its normal form, the one that the fewest canaries have; candidates
+    are then tested. Windows are as wide as the canary allows; a canary without
+    a normal form is in every payload. A filter of fixed size thins out the
+    payloads' windows first.
+    """
+    forms = canaries.select(canary).filter(F.col(canary).isNotNull()).distinct().withColumn("form", _key_form(F.col(canary)))
+    width = F.lit(0)
+    for n in sorted(WINDOWS):
+        width = F.when(F.length("form") >= n, n).otherwise(width)
+    forms = forms.withColumn("width", width)
+    of_width = F.array(F.lit(0).cast("long"))
+    for n in WINDOWS:
+        of_width = F.when(F.col("width") == n, _windows(F.col("form"), n)).otherwise(of_width)
+    own = forms.select(canary, "width", F.explode(of_width).alias("w"))
+    shared = own.groupBy("width", "w").agg(F.count(F.lit(1)).alias("n"))
+    keys = own.join(shared, ["width", "w"]).groupBy(canary, "width").agg(F.min(F.struct("n", "w")).alias("least")).select(canary, "width", F.col("least.w").alias("w"))
+
+    texts = payloads.filter(F.col(payload).isNotNull()).select(F.col(key).alias("k"), F.col(payload).alias("p"))
+    none = F.array().cast("array<long>")
+    asked_for = lambda n, found: F.when(F.array_contains("widths", n), found).otherwise(none)
+    windows = F.concat(asked_for(0, F.array(F.lit(0).cast("long"))), *(asked_for(n, _windows(_key_form(F.col("p")), n)) for n in WINDOWS))
+    bit = lambda w: F.expr("bits")[F.floor(F.pmod(w, F.lit(FILTER_BITS)) / 64).cast("int")].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(w, F.lit(FILTER_BITS)) % 64).cast("int")))
+    left = texts.withColumn("zero", F.length("p").cast("long") * 0).join(F.broadcast(_filter_of(keys)), "zero")
+    left = left.select("k", F.explode(F.array_distinct(F.filter(windows, lambda w: bit(w) != 0))).alias("w"))
+    asked = left.join(keys, "w").select(F.col("k").alias("hit"), canary).distinct()
+    held = F.col("p").contains(F.col(canary)) | normalize_value(F.col("p")).contains(normalize_value(F.col(canary)))
+    return texts.join(asked, F.col("k").eqNullSafe(F.col("hit"))).filter(held).select(F.col("k").alias(key), canary).distinct()
