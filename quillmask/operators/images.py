@@ -48,8 +48,8 @@ def heading(text: Column, headings: list[str]) -> Column:
     return F.when(F.size(hits) == 1, hits[0])
 
 
-def reading_order(lines: DataFrame, image: str = "image_id", box: str = "box") -> DataFrame:
-    """Lines with ``place`` within their image, from top to bottom, then left to right."""
+def reading_order(lines: DataFrame, image: str = "image_id", box: str = "box", tie: str | None = None) -> DataFrame:
+    """Lines with ``place`` within their image, from top to bottom, then left to right, then by the column ``tie`` if one is given."""
     from pyspark.sql import Window
 
-    return lines.withColumn("place", F.row_number().over(Window.partitionBy(image).orderBy(f"{box}.y", f"{box}.x")))
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy(image).orderBy(f"{box}.y", f"{box}.x", *([tie] if tie else []))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmask import catalog
 from quillmask.functions import geometry
+from quillmask.operators.images import reading_order
 from verify import digest
 
 D = "/root/testdata/sf0.001"
@@ -81,3 +82,14 @@ def test_kept_boxes_of_all_orders_equal_greedy_choice(spark):
     got = catalog.QUERIES["j19_suppress_faces"](spark, D).collect()
     assert {r.k: rows_of(r.kept) for r in got} == want
     assert {r.k: r.best for r in got} == {k: sum(f[1] == v[0][1] for f in v) for k, v in want.items()}
+
+
+def test_reading_order_places_all_boxes(spark):
+    want = [(k, b[0], n) for k, v in images().items() for n, b in enumerate(sorted(v, key=lambda b: (b[2], b[1], b[0])), 1)]
+    got = [(r.k, r.i, r.place) for r in catalog.QUERIES["l02_reading_order"](spark, D).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_ties_of_reading_order_go_by_line(spark):
+    d = spark.createDataFrame([(1, i, (5.0, 7.0)) for i in (4, 2, 9, 1)], "image_id int, line int, box struct<x:double,y:double>").repartition(3)
+    assert {r.line: r.place for r in reading_order(d, tie="line").collect()} == {1: 1, 2: 2, 4: 3, 9: 4}
