@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles are similar, and the components these links form.
 
 Equal sets are one set from the start. Index lists come from
-:mod:`quillmask.llm.set_index`; there, positions and sizes skip whole stretches
-of a list. Which pairs are verified follows the relations between sets:
+:mod:`quillmask.llm.set_index`; bands of sizes keep far sizes from meeting, and
+positions are tested on each pair that meets. Which pairs are verified follows the relations between sets:
 
 1. Every set is verified against one centre, the one it shares most lists
    with. A set that is linked to its centre is from then on known by it: its
