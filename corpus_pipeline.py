@@ -39,11 +39,15 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the least id; documents without id stay."""
+    """Of each component of similar documents the one with the least id; documents without id stay.
+
+    Rows of one id and text are one document. Rows that share an id but not the
+    text all stay if the id is the least of the component of any of them.
+    """
     docs = docs.select(*COLUMNS)
     found = jaccard_components(docs.select("doc_id", "text"))
     stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

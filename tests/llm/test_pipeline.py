@@ -48,3 +48,10 @@ def test_run_on_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{D}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_that_share_an_id_but_not_the_text_stay(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(20)) for w in "ab")
+    rows = [(1, a), (1, a), (1, b), (2, a)]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted((r.doc_id, r.text) for r in cp.near_duplicates_stage(spark, docs, D).collect()) == [(1, a), (1, b)]
