@@ -37,7 +37,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i::BIGINT AS i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 w AS (SELECT doc_id, i, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l),
-s AS (SELECT DISTINCT doc_id, i, array_to_string(ws[k:k + 4], ' ') AS s FROM (SELECT doc_id, i, ws, unnest(range(1, len(ws) - 3)) AS k FROM w WHERE len(ws) >= 5)),
+s AS (SELECT DISTINCT doc_id, i, array_to_string(ws[k:k + 4], ' ') AS s FROM (SELECT doc_id, i, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, i, count(*) AS n FROM s GROUP BY ALL),
 gone AS (SELECT DISTINCT x_id, x_i FROM (SELECT x.doc_id AS x_id, x.i AS x_i, y.doc_id AS y_id, y.i AS y_i, count(*) AS common
              FROM s x JOIN s y ON x.s = y.s AND (y.doc_id, y.i) < (x.doc_id, x.i) GROUP BY ALL) p
