@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SEGMENT = 1 << 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -114,14 +114,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
 def word_hashes(column: pa.Array, lower: bool = True, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the rows in order, and the number of words before each row (rows + 1)."""
     offsets, data = buffers(column)
-    found, rows = [], []
+    found, before = [], np.zeros(len(offsets), np.int64)
     for a, b in segments(offsets, data):
         starts, ends = spans(offsets, data, a, b, kinds)
         found.append(hash_spans(data[a:b], starts, ends, lower))
-        rows.append(np.searchsorted(offsets, starts + a, "right") - 1)
-    hashes = np.concatenate(found) if found else np.zeros(0, U64)
-    counts = np.bincount(np.concatenate(rows), minlength=len(column)) if rows else np.zeros(len(column), np.int64)
-    return hashes, np.concatenate([[0], np.cumsum(counts)])
+        before += np.searchsorted(starts, offsets - a)
+    return np.concatenate(found) if found else np.zeros(0, U64), before
 
 
 def by_row(rows: np.ndarray, n_rows: int) -> np.ndarray:
@@ -137,19 +135,19 @@ def shingle_table(column: pa.Array, k: int = 5, least: int = 1) -> tuple[np.ndar
     """
     words, first = word_hashes(column)
     n, counts = len(column), np.diff(first)
-    row = np.repeat(np.arange(n), counts)
     hashes, rows = [], []
     for width in range(1, k + 1):
-        fits = (counts >= max(k, least)) if width == k else (counts == width) & (counts >= least)
-        if not fits.any():
+        # the shingles of this width in each row: all, or one of the whole row
+        many = np.where(counts >= max(k, least), counts - k + 1, 0) if width == k else ((counts == width) & (counts >= least)).astype(np.int64)
+        total = int(many.sum())
+        if not total:
             continue
-        m = len(words) - width + 1
-        start = np.flatnonzero(fits[row[:m]] & (row[:m] == row[width - 1 :]))
-        total = np.full(len(start), U64(width), U64)
-        for i in range(width):
-            total += words[start + i] * STEP_KEYS[i]
-        hashes.append(mix(total))
-        rows.append(row[start])
+        start = np.arange(total) + np.repeat(first[:-1] - (np.cumsum(many) - many), many)
+        windows = U64(width) + words[: len(words) - width + 1] * STEP_KEYS[0]
+        for i in range(1, width):
+            windows += words[i : len(words) - width + 1 + i] * STEP_KEYS[i]
+        hashes.append(mix(windows[start]))
+        rows.append(np.repeat(np.arange(n), many))
     if not hashes:
         return np.zeros(n + 1, np.int64), np.zeros(0, U64)
     hashes, rows = np.concatenate(hashes), np.concatenate(rows)

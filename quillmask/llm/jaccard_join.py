@@ -1,15 +1,15 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles are similar, and the components these links form.
 
 Equal sets are one set from the start. Index lists come from
-:mod:`quillmask.llm.set_index`; bands of sizes keep far sizes from meeting, and
-positions are tested on each pair that meets. Which pairs are verified follows the relations between sets:
-
-1. Every set is verified against one centre, the one it shares most lists
-   with. A set that is linked to its centre is from then on known by it: its
-   similarity to the centre is kept.
-2. Sets already in one component need no link between them. For lists that
-   hold several components, their centres are verified against each other.
-3. For two sets that are no centres, the answer often follows from what is
+:mod:`quillmask.llm.set_index`, which also skips the blocks of long lists whose
+positions leave too little to match. Which pairs are verified follows the
+relations between sets:
+
+1. Every set is verified against one set, the one it shares most lists with.
+   A set that is linked knows its nearest such set (its centre) and the
+   distance to it. Sets already in one component need no link between them,
+   so in further rounds only sets of different components meet.
+2. For two sets that are no centres, the answer often follows from what is
    computed: Jaccard distance is a metric, so the distance of two sets is at
    least that of their centres less their own distances to these. Only pairs
    that this leaves open are verified.
@@ -17,8 +17,8 @@ positions are tested on each pair that meets. Which pairs are verified follows t
 So the number of verified pairs follows the number of sets, not the square of
 a group's size, and yet every link between two components is found.
 
-Texts are only shuffled for sets to be verified, dealt by centre; a centre of
-many sets is dealt over several tasks.
+Texts are only shuffled for sets that have a candidate, dealt by the set they
+are verified against; one that many ask for is dealt over several tasks.
 
 Defined results: a text without words (or null) has no shingles, is linked
 with nothing and is its own component; fewer than five words count as one
@@ -36,12 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.columns import blocks, shingle_table
-from quillmask.llm.set_index import BIT_LONGS, HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, Rarity, TokenCounters, bit_patterns, candidates, frequent, signatures, summed
-from quillmask.llm.tables import components, may_hold, written
+from quillmask.llm.set_index import DEN, HOT_SETS, LEAST_SIZE, NUM, PART_POSTINGS, THRESHOLD, Rarity, TokenCounters, bit_names, bit_patterns, block_pairs, candidates, compatible, signatures, summed, within_bits
+from quillmask.llm.tables import Scratch, components, may_hold
 
-#: Sets that one task verifies against one centre.
+#: Sets that one task verifies against one set.
 CENTRE_SETS = 2048
-NUM, DEN = THRESHOLD.numerator, THRESHOLD.denominator
+#: Longs of a document's bit pattern.
+LONGS = 8
+#: Rounds in which sets look for a link to one set of another component, before all pairs left are looked at.
+ROUNDS = 3
 
 SetsOf = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -51,46 +54,56 @@ def filled(offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([offsets[:-1][np.diff(offsets) > 0], offsets[-1:]])
 
 
-SURVEY_SCHEMA = "kind int, a long, sig long, n long, bits array<long>, counts binary"
+SURVEY_SCHEMA = "kind int, a long, sig long, n long, " + "".join(f"{b} long, " for b in bit_names(LONGS)) + "counts binary"
 
 
 def survey(docs: DataFrame, sets_of: SetsOf = shingle_table) -> DataFrame:
-    """Rows of kind 0: doc_id (a), name of its set (sig) and its size (n); of kinds 1 and 2 what :func:`rarity_of` needs."""
+    """Rows of kind 0: doc_id (a), name of its set (sig), its size (n) and bit pattern; of kind 2 what :func:`rarity_of` needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counters = FrequentTokens(), TokenCounters()
-        names = ["kind", "a", "sig", "n", "bits", "counts"]
+        counters = TokenCounters()
+        names = ["kind", "a", "sig", "n", *bit_names(LONGS), "counts"]
         for batch in batches:
             for part, column in blocks(batch, "text"):
                 offsets, tokens = sets_of(column)
-                often.add(tokens)
                 counters.add(tokens)
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(signatures(offsets, tokens)), pa.array(np.diff(offsets)), bit_patterns(offsets, tokens), pa.nulls(n, pa.binary())], names)
-        for kind, a, n, counts in tallies(often, counters):
-            yield pa.RecordBatch.from_arrays([kind, a, pa.array(np.zeros(len(a), np.int64)), n, pa.nulls(len(a), pa.list_(pa.int64())), counts], names)
+                bits = [pa.array(b) for b in bit_patterns(offsets, tokens, LONGS)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(signatures(offsets, tokens)), pa.array(np.diff(offsets)), *bits, pa.nulls(n, pa.binary())], names)
+        yield tallies(counters, names)
 
     return docs.mapInArrow(run, SURVEY_SCHEMA)
 
 
-def tallies(often: FrequentTokens, counters: TokenCounters) -> Iterator[tuple[pa.Array, ...]]:
-    """Columns kind, a, n, counts: of kind 1 a frequent token (a) and its count (n); of kind 2 a chunk (a) of counters."""
-    tokens, counts = often.result()
-    yield pa.array(np.ones(len(tokens), np.int32)), pa.array(tokens.view(np.int64)), pa.array(counts), pa.nulls(len(tokens), pa.binary())
+def tallies(counters: TokenCounters, names: list[str]) -> pa.RecordBatch:
+    """Rows of kind 2: a chunk (a) of counters; all other columns are 0."""
     chunks = counters.chunks()
-    yield pa.array(np.full(len(chunks), 2, np.int32)), pa.array(np.arange(len(chunks))), pa.array(np.zeros(len(chunks), np.int64)), pa.array(chunks, pa.binary())
+    n = len(chunks)
+    first = [pa.array(np.full(n, 2, np.int32)), pa.array(np.arange(n))]
+    return pa.RecordBatch.from_arrays([*first, *([pa.array(np.zeros(n, np.int64))] * (len(names) - 3)), pa.array(chunks, pa.binary())], names)
 
 
 def rarity_of(surveyed: DataFrame) -> Rarity:
     """The order of tokens from a survey."""
-    often = frequent(surveyed.filter("kind = 1").select(F.col("a").alias("token"), "n"))
-    return Rarity(summed(surveyed.filter("kind = 2").select(F.col("a").cast("int").alias("chunk"), "counts")), *often)
+    return Rarity(summed(surveyed.filter("kind = 2").select(F.col("a").cast("int").alias("chunk"), "counts")))
+
+
+def postings_total(sets: DataFrame) -> int:
+    """The number of postings that sets of sizes n may send."""
+    return int(sets.filter(f"n >= {LEAST_SIZE}").agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0)
 
 
-def patterns_of(surveyed: DataFrame, groups: DataFrame) -> DataFrame:
-    """(id, bits) of the sets that are in groups."""
-    rows = surveyed.filter("kind = 0 AND n > 0").select(F.col("sig").alias("id"), "bits")
-    return rows.filter(may_hold(groups, "id")(F.col("id"))).groupBy("id").agg(F.first("bits").alias("bits"))
+def listed(lists: DataFrame, scratch: Scratch) -> Callable[[Column], Column]:
+    """A test for the names of sets in lists."""
+    ids = lists.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("id")).distinct()
+    return may_hold(scratch.written(ids, "ids"), "id", scratch)
+
+
+def pairs_and_groups(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, lists) and groups (g, id, n, at) of lists."""
+    pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("lists"))
+    groups = lists.filter("kind = 1").groupBy(F.col("a").alias("g"), F.col("b").alias("id"), "n").agg(F.min("m").alias("at"))
+    return pairs, groups
 
 
 def blocks_of(sets_of: SetsOf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -108,15 +121,15 @@ def blocks_of(sets_of: SetsOf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 VERIFIED_SCHEMA = "a long, b long, n long, m long, both long"
 
 
-def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_table, centre_sets: int = CENTRE_SETS) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, sets_of: SetsOf = shingle_table, centre_sets: int = CENTRE_SETS) -> DataFrame:
     """For pairs (a, b) of names of sets: their sizes n and m and how many tokens they share (both).
 
-    ``texts`` joins a text to rows with a column ``sig``.
+    ``texts`` has a text for each name ``sig``; a text that is not of that set is passed over.
     """
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / centre_sets).cast("int").alias("salts"))
     members = pairs.join(counts, "b").select(F.col("a").alias("sig"), "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = counts.select(F.col("b").alias("sig"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    asked = texts(members.unionByName(centres)).select("b", "salt", "role", "sig", "text")
+    asked = members.unionByName(centres).join(texts, "sig").select("b", "salt", "role", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, centre = None, np.zeros(0, np.uint64)
@@ -140,152 +153,121 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of:
     return dealt.mapInArrow(run, VERIFIED_SCHEMA)
 
 
-def linked(both: Column, n: Column, m: Column) -> Column:
-    """Whether the Jaccard similarity reaches the threshold: den * both >= num * (n + m - both)."""
-    return DEN * both >= NUM * (n + m - both)
-
-
-def distance(both: Column, n: Column, m: Column) -> Column:
-    return 1 - both / (n + m - both)
-
-
-def compatible(n: Column, m: Column) -> Column:
-    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
-
-
-def pairs_in_groups(x: DataFrame, y: DataFrame, keep: Column) -> DataFrame:
-    """Pairs of rows of one group (column g) under ``keep``; columns get the prefixes x_ and y_. Bands of size keep far sizes from meeting."""
-    band = lambda c: F.floor(F.log(c) / float(np.log(DEN / NUM))).cast("int")
-    x = x.select(*(F.col(c).alias(f"x_{c}") for c in x.columns)).withColumn("band", F.explode(F.sequence(band(F.col("x_n")) - 1, band(F.col("x_n")) + 1)))
-    y = y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns)).withColumn("band", band(F.col("y_n")))
-    return x.join(y, (F.col("x_g") == F.col("y_g")) & (x["band"] == y["band"]) & keep & compatible(F.col("x_n"), F.col("y_n")))
-
-
-def within_positions() -> Column:
-    """What can still match from both positions on reaches the overlap needed."""
-    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    return (NUM + DEN) * left >= NUM * (F.col("x_n") + F.col("y_n"))
-
-
-def within_bits(x_bits: Column, y_bits: Column, n: Column, m: Column) -> Column:
-    """The bit patterns do not differ in more places than similar sets can differ in tokens."""
-    differing = F.bit_count(x_bits[0].bitwiseXOR(y_bits[0]))
-    for i in range(1, BIT_LONGS):
-        differing = differing + F.bit_count(x_bits[i].bitwiseXOR(y_bits[i]))
-    # n + m - 2 * overlap needed; no division, and at most the real bound rounded down
-    return (NUM + DEN) * differing <= (DEN - NUM) * (n + m)
-
-
-def likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Of pairs (a, b, n, m and others) those that their bit patterns do not rule out."""
-    for side in ("a", "b"):
-        pairs = pairs.join(bits.select(F.col("id").alias(side), F.col("bits").alias(f"{side}_bits")), side)
-    return pairs.filter(within_bits(F.col("a_bits"), F.col("b_bits"), F.col("n"), F.col("m"))).drop("a_bits", "b_bits")
-
-
-#: Rounds in which sets look for a link to one set of another component, before all pairs left are looked at.
-ROUNDS = 3
+#: Whether the Jaccard similarity of a verified pair reaches the threshold, and its Jaccard distance.
+LINK = f"{DEN} * both >= {NUM} * (n + m - both)"
+DISTANCE = "1 - both / (n + m - both)"
 
 
 def best_of(found: DataFrame) -> DataFrame:
-    """Of rows (a, b, lists) the b with most lists for each a."""
-    return found.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-
+    """Of rows (x, y, lists) the y with most lists for each x, as pairs (a, b); the same pair from both sides is one."""
+    best = found.groupBy("x").agg(F.max(F.struct("lists", "y")).alias("best"))
+    return best.select(F.greatest("x", "best.y").alias("a"), F.least("x", "best.y").alias("b")).distinct()
 
-class Relations:
-    """What is known of sets: verified pairs, components, and each linked set's nearest centre."""
 
-    def __init__(self, done: DataFrame):
-        self.done = done
-        self.link = linked(F.col("both"), F.col("n"), F.col("m"))
-        links = done.filter(self.link)
-        self.roots = written(components(links), "roots")
-        nearest = links.groupBy("a").agg(F.min(F.struct(distance(F.col("both"), F.col("n"), F.col("m")).alias("d"), "b")).alias("x"))
-        known = self.roots.join(nearest.select(F.col("a").alias("node"), F.col("x.b").alias("centre"), F.col("x.d").alias("d")), "node", "left")
-        self.known = written(known.select(F.col("node").alias("id"), "root", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d")), "known")
+def informed(rows: DataFrame, roots: DataFrame | None, column: str, root: str) -> DataFrame:
+    """The rows with the root of the component of a set; one that is not linked is its own."""
+    if roots is None:
+        return rows.withColumn(root, F.col(column))
+    return rows.join(roots.select(F.col("node").alias(column), F.col("root").alias(root)), column, "left").withColumn(root, F.coalesce(root, column))
 
-    def informed(self, rows: DataFrame, column: str, prefix: str = "") -> DataFrame:
-        """The rows with root, centre and distance of a set; of one that is not linked, itself and 0."""
-        own = self.known.select(F.col("id").alias(column), *(F.col(c).alias(f"{prefix}{c}") for c in ("root", "centre", "d")))
-        return rows.join(own, column, "left").withColumns({f"{prefix}root": F.coalesce(f"{prefix}root", column), f"{prefix}centre": F.coalesce(f"{prefix}centre", column), f"{prefix}d": F.coalesce(f"{prefix}d", F.lit(0.0))})
 
-    def mixed(self, groups: DataFrame) -> DataFrame:
-        """The groups that hold sets of several components, with what is known of each set."""
-        members = self.informed(groups.select("g", "id", "n", "at"), "id")
-        several = members.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
-        return written(members.join(several, "g", "left_semi"), "mixed")
-
-    def new(self, asked: DataFrame) -> DataFrame:
-        """Pairs (a, b) that are not verified in either direction."""
-        both = self.done.select("a", "b").union(self.done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        return asked.distinct().join(both, ["a", "b"], "left_anti")
+def similarity_components(pairs: DataFrame, groups: DataFrame, texts: DataFrame, scratch: Scratch, longs: int = LONGS) -> DataFrame:
+    """(node, root) of every set that is linked to another, from candidate pairs (a, b, lists), groups (g, id, n, at, b0 ...) and texts (sig, text)."""
+    done, roots, members = None, None, groups
 
+    def verify(asked: DataFrame, name: str) -> DataFrame:
+        wanted = asked.select(F.explode(F.array("a", "b")).alias("sig"))
+        return scratch.written(verified(asked, texts.filter(may_hold(wanted, "sig", scratch)(F.col("sig")))), name)
 
-def similarity_components(pairs: DataFrame, groups: DataFrame, bits: DataFrame, texts: Callable[[DataFrame], DataFrame], sets_of: SetsOf = shingle_table) -> DataFrame:
-    """(node, root) of every set that is linked to another, from candidate pairs (a, b, lists), groups (g, id, n, at) and patterns (id, bits)."""
+    def apart(rows: DataFrame, a: str, b: str) -> DataFrame:
+        """The rows whose sets are in different components."""
+        return informed(informed(rows, roots, a, "a_root"), roots, b, "b_root").filter("a_root <> b_root").drop("a_root", "b_root")
 
-    def verify(asked: DataFrame, name: str) -> DataFrame:
-        return written(verified(asked, texts, sets_of), name)
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The groups that hold sets of several components, with the root of each set."""
+        rows = informed(rows.select("g", "id", "n", "at", *bit_names(longs)), roots, "id", "root")
+        several = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+        return scratch.written(rows.join(several, "g", "left_semi"), "mixed")
 
-    known = Relations(verify(best_of(pairs), "first"))
-    bits = written(bits, "bits")
-    members = known.mixed(groups)
     for k in range(ROUNDS):
+        members = mixed(members)
+        open_ = apart(pairs, "a", "b")
         # one set stands for each group; by chance it is mostly of the largest component there
-        stands = members.groupBy("g").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n")).alias("rep"))
-        met = members.join(stands, "g").filter((F.col("root") != F.col("rep.root")) & compatible(F.col("n"), F.col("rep.n")))
-        met = likely(met.groupBy(F.col("id").alias("a"), F.col("rep.id").alias("b"), "n", F.col("rep.n").alias("m")).agg(F.count("*").alias("lists")), bits)
-        asked = written(known.new(best_of(met)), "asked")
+        stands = members.groupBy("g").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n", *bit_names(longs))).alias("s"))
+        stands = stands.select("g", F.col("s.id").alias("y"), F.col("s.root").alias("y_root"), F.col("s.n").alias("m"), *(F.col(f"s.{b}").alias(f"y_{b}") for b in bit_names(longs)))
+        met = members.join(stands, "g").filter((F.col("root") != F.col("y_root")) & compatible(F.col("n"), F.col("m"))).filter(within_bits(bit_names(longs), bit_names(longs, "y_"), "n", "m"))
+        met = met.groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("lists"))
+        met = met.union(open_.select(F.col("a").alias("x"), F.col("b").alias("y"), "lists")).union(open_.select(F.col("b").alias("x"), F.col("a").alias("y"), "lists"))
+        if done is not None:
+            met = met.join(both_ways(done).toDF("x", "y"), ["x", "y"], "left_anti")
+        asked = scratch.written(best_of(met), "asked")
         tried = asked.count()
+        if not tried:
+            break
         found = verify(asked, "round")
-        hits = found.filter(known.link).count() if tried else 0
-        if tried:
-            known = Relations(known.done.unionByName(found))
-            members = known.mixed(members)
+        done = found if done is None else done.unionByName(found)
+        hits = found.filter(LINK).count()
+        if hits:
+            roots = components(done.filter(LINK), scratch)
         if hits * 10 <= tried:
             break
-
-    # all pairs left of different components; of a group's largest component only against others
-    largest = members.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("top")).select("g", F.col("top.root").alias("top"))
-    members = members.join(largest, "g").join(bits, "id")
-    rest = members.filter("root <> top")
-    met = pairs_in_groups(rest, members, (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("x_top")) | (F.col("x_root") < F.col("y_root"))) & within_positions() & within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n")))
-    columns = ["x_id", "y_id", "x_centre", "y_centre", "x_d", "y_d"]
-    between = known.informed(known.informed(pairs.select(F.col("a").alias("x_id"), F.col("b").alias("y_id")), "x_id", "x_"), "y_id", "y_").filter("x_root <> y_root")
-    open_ = written(met.select(*columns).union(between.select(*columns)).distinct(), "open")
+    if roots is None:
+        return scratch.written(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), "roots")
+    # all pairs left of different components
+    members = mixed(members)
+    met = block_pairs(members.withColumn("tag", F.col("root")), longs).union(apart(pairs, "a", "b").select("a", "b")).distinct()
+    open_ = scratch.written(met.join(both_ways(done), ["a", "b"], "left_anti"), "open")
     # first the centres, whose answers stand for those of the sets near them
-    both = lambda df: df.select(F.greatest("x_centre", "y_centre").alias("a"), F.least("x_centre", "y_centre").alias("b")).filter("a <> b")
-    known = Relations(known.done.unionByName(verify(known.new(both(open_)), "centres")))
-    apart = known.done.select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q"), distance(F.col("both"), F.col("n"), F.col("m")).alias("apart")).distinct()
-    left = open_.withColumns({"p": F.greatest("x_centre", "y_centre"), "q": F.least("x_centre", "y_centre")}).join(apart, ["p", "q"], "left")
+    near = both_ways(done.filter(LINK), DISTANCE).groupBy("a").agg(F.min(F.struct("d", "b")).alias("c")).select(F.col("a").alias("id"), F.col("c.b").alias("centre"), F.col("c.d").alias("d"))
+    near = scratch.written(near, "near")
+    for side in "ab":
+        open_ = open_.join(near.toDF(side, f"{side}_centre", f"{side}_d"), side, "left").withColumns({f"{side}_centre": F.coalesce(f"{side}_centre", side), f"{side}_d": F.coalesce(f"{side}_d", F.lit(0.0))})
+    open_ = scratch.written(open_.withColumns({"p": F.greatest("a_centre", "b_centre"), "q": F.least("a_centre", "b_centre")}), "placed")
+    asked = open_.select(F.col("p").alias("a"), F.col("q").alias("b")).filter("a <> b").distinct().join(both_ways(done), ["a", "b"], "left_anti")
+    done = done.unionByName(verify(scratch.written(asked, "asked"), "centres"))
+    known = both_ways(done, DISTANCE).groupBy("a", "b").agg(F.max("d").alias("d"))
+    left = open_.join(known.toDF("p", "q", "apart"), ["p", "q"], "left")
     limit = float(1 - THRESHOLD) + 1e-9
-    left = left.filter(F.coalesce(F.col("apart"), F.lit(0.0)) - F.col("x_d") - F.col("y_d") <= limit).select("x_id", "y_id")
-    left = known.informed(known.informed(left, "x_id", "x_"), "y_id", "y_").filter("x_root <> y_root").select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b"))
-    return Relations(known.done.unionByName(verify(known.new(left), "last"))).roots
+    left = left.filter(F.coalesce("apart", F.lit(0.0)) - F.col("a_d") - F.col("b_d") <= limit).select("a", "b").distinct()
+    left = scratch.written(left.join(known.select("a", "b"), ["a", "b"], "left_anti"), "left")
+    done = done.unionByName(verify(left, "last"))
+    return components(done.filter(LINK), scratch)
+
+
+def both_ways(done: DataFrame, value: str | None = None) -> DataFrame:
+    """Pairs (a, b) in both directions; with ``value``, that expression as d."""
+    more = [F.expr(value).alias("d")] if value else []
+    return done.select("a", "b", *more).union(done.select(F.col("b").alias("a"), F.col("a").alias("b"), *more))
 
 
 def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    surveyed = written(survey(docs), "survey")
-    rarity = rarity_of(surveyed)
-    sets = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "sig", "n")
-    named = sets.filter("doc_id IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "classes")
-    # a posting for each row, as copies are dropped only in the lists
-    total = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
-    lists = written(candidates(blocks_of(shingle_table), docs.filter("doc_id IS NOT NULL"), int(total), rarity, hot, per_part), "lists")
-
-    def texts(asked: DataFrame) -> DataFrame:
-        wanted = written(asked.join(classes.select("sig", "doc_id"), "sig"), "wanted")
-        return wanted.join(docs.filter(may_hold(wanted, "doc_id")(F.col("doc_id"))), "doc_id")
-
-    pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
-    groups = lists.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", F.col("m").alias("at")).groupBy("g", "id", "n").agg(F.min("at").alias("at"))
-    roots = similarity_components(pairs, groups, patterns_of(surveyed, groups), texts)
-    placed = classes.select("sig", "doc_id").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    surveyed = scratch.written(survey(docs), "survey")
+    sets = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "sig", "n", *bit_names(LONGS))
+    named = docs.filter("doc_id IS NOT NULL")
+    lists = scratch.written(candidates(blocks_of(shingle_table), named, postings_total(sets), rarity_of(surveyed), scratch, hot, per_part), "lists")
+    in_lists = listed(lists, scratch)
+    # of the sets in lists: their size, bit pattern and least document
+    known = sets.filter("doc_id IS NOT NULL AND n > 0").filter(in_lists(F.col("sig"))).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in bit_names(LONGS)))
+    known = scratch.written(known, "known")
+    pairs, groups = pairs_and_groups(lists)
+    for side, size in (("a", "n"), ("b", "m")):
+        pairs = pairs.join(known.select(F.col("sig").alias(side), F.col("n").alias(size), *(F.col(b).alias(f"{side}_{b}") for b in bit_names(LONGS))), side)
+    pairs = scratch.written(pairs.filter(within_bits(bit_names(LONGS, "a_"), bit_names(LONGS, "b_"), "n", "m")).select("a", "b", "lists"), "pairs")
+    groups = scratch.written(groups.join(known.select(F.col("sig").alias("id"), *bit_names(LONGS)), "id"), "groups")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(groups.select("id")).distinct()
+    asked = scratch.written(asked.join(known.select("sig", "doc_id"), "sig"), "wanted")
+    texts = scratch.written(asked.join(named.filter(may_hold(asked, "doc_id", scratch)(F.col("doc_id"))), "doc_id").select("sig", "text"), "texts")
+    scratch.release()
+    scratch.drop(lists, known, asked)
+    roots = similarity_components(pairs, groups, texts, scratch)
+    # the least document of each set that is linked or has copies
+    classes = sets.filter("doc_id IS NOT NULL AND n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    placed = classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = scratch.written(placed, "classes")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = placed.select("sig", "root").join(least, "root").select("sig", "component_id")
-    return sets.join(of_class, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    )
+    found = sets.select("doc_id", "sig", "n").join(of_class, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return scratch.close(scratch.written(found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))), "components"))

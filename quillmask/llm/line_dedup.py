@@ -4,18 +4,20 @@ A line's tokens are its distinct shingles of five words; a line of fewer words
 has its whole sequence as its one token. Lines are compared as
 in :mod:`quillmask.llm.set_index`: tokens by rarity, prefixes, positions and
 sizes; each pair left is verified by its Jaccard similarity. A line goes if an
-earlier one (by doc_id, then place in the text) has similarity 0.75 or more,
-whether or not that one stays itself.
+earlier one has similarity 0.75 or more, whether or not that one stays itself.
+Earlier is by doc_id, then by a hash of the text (for rows that share an id
+but not the text), then by place in the text.
 
 Equal lines are one set with the place of its first. For the sets it is enough
 to find one earlier match: each is verified against the set it shares most
-lists with, then against the earliest sets of its lists, and only what is
+lists with, then against the earliest sets of its groups, and only what is
 still unmatched is verified against all earlier candidates.
 
 Defined results: lines are what stands between line feeds; lines without words
 always stay and match nothing, as do those of fewer than ``min_words`` words;
-null text stays null; rows repeated with one doc_id are one document and get
-one result; rows without doc_id stay as they are and match nothing; an empty
+null text stays null; rows repeated with one doc_id and text are one document
+and get one result; rows that share a doc_id but not the text are documents of
+their own; rows without doc_id stay as they are and match nothing; an empty
 table gives an empty result. All other columns stay.
 """
 
@@ -30,14 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmask.llm.columns import blocks, buffers, shingle_table
-from quillmask.llm.jaccard_join import best_of, compatible, filled, likely, linked, pairs_in_groups, patterns_of, rarity_of, tallies, verified, within_bits, within_positions
-from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, THRESHOLD, FrequentTokens, TokenCounters, bit_patterns, candidates, signatures
-from quillmask.llm.tables import may_hold, written
+from quillmask.llm.jaccard_join import LINK, best_of, filled, listed, pairs_and_groups, postings_total, rarity_of, tallies, verified
+from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, TokenCounters, bit_names, bit_patterns, block_pairs, candidates, compatible, signatures, within_bits
+from quillmask.llm.tables import Scratch, may_hold
 
 MIN_WORDS = 1
+#: Longs of a line's bit pattern.
+LONGS = 2
 #: Rounds in which sets are verified against the earliest set of their groups, before all earlier candidates are.
 LINE_ROUNDS = 2
-NUM, DEN = THRESHOLD.numerator, THRESHOLD.denominator
 
 
 def lines_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -59,40 +62,56 @@ def lines_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_string(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]), row
 
 
-SURVEY_SCHEMA = "kind int, a long, line int, sig long, n long, bits array<long>, counts binary"
+SURVEY_SCHEMA = "kind int, a long, key long, line long, sig long, n long, " + "".join(f"{b} long, " for b in bit_names(LONGS)) + "counts binary"
 
 
 def survey(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows of kind 0: doc_id (a), line, name of its set and size; of kinds 1 and 2 what the order of tokens needs."""
+    """Rows of kind 0: doc_id (a), key, line, name of its set, size and bit pattern; of kind 2 what the order of tokens needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counters = FrequentTokens(), TokenCounters()
-        names = ["kind", "a", "line", "sig", "n", "bits", "counts"]
+        counters = TokenCounters()
+        names = ["kind", "a", "key", "line", "sig", "n", *bit_names(LONGS), "counts"]
         for batch in batches:
             for part, column in blocks(batch, "text"):
                 lines, row = lines_of(column)
                 offsets, tokens = shingle_table(lines, least=min_words)
-                often.add(tokens)
                 counters.add(tokens)
                 size = np.diff(offsets)
                 keep = size > 0
                 place = np.arange(len(row)) - np.searchsorted(row, row)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
+                ids, keys = (part.column(k).to_numpy(zero_copy_only=False)[row[keep]] for k in (0, 1))
                 n = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids[row[keep]], pa.int64()), pa.array(place[keep].astype(np.int32)), pa.array(signatures(offsets, tokens)[keep]), pa.array(size[keep]), bit_patterns(offsets, tokens).filter(pa.array(keep)), pa.nulls(n, pa.binary())], names)
-        for kind, a, n, counts in tallies(often, counters):
-            yield pa.RecordBatch.from_arrays([kind, a, pa.array(np.zeros(len(a), np.int32)), pa.array(np.zeros(len(a), np.int64)), n, pa.nulls(len(a), pa.list_(pa.int64())), counts], names)
+                numbers = [ids, keys, place[keep], signatures(offsets, tokens)[keep], size[keep], *(b[keep] for b in bit_patterns(offsets, tokens, LONGS))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(pa.array(v, pa.int64()) for v in numbers), pa.nulls(n, pa.binary())], names)
+        yield tallies(counters, names)
 
     return docs.mapInArrow(run, SURVEY_SCHEMA)
 
 
-def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
-    """(doc_id, line) of every line with an earlier match, in docs (doc_id long, text string) with ids."""
-    surveyed = written(survey(docs, min_words), "lines")
-    rarity = rarity_of(surveyed)
-    lines = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "line", "sig", "n")
-    classes = written(lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("copies")), "classes")
-    total = lines.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
+def texts_of(asked: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, text) of the lines asked for (sig, at: doc_id, key, line). Of each document only these lines go on."""
+    wanted = asked.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key")).agg(F.collect_list(F.struct("at.line", "sig")).alias("lines"))
+    wanted = scratch.written(wanted, "wanted")
+    # a shuffle lies between the two Python steps, so that no task needs two workers
+    found = docs.filter(may_hold(wanted, "key", scratch)(F.col("key"))).join(wanted.hint("merge"), ["doc_id", "key"]).select("text", "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, column in blocks(batch, "text"):
+                lines, row = lines_of(column)
+                lists = part.column(1)
+                first = np.searchsorted(row, np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
+                flat = lists.flatten()
+                at = first + flat.field("line").to_numpy()
+                yield pa.RecordBatch.from_arrays([flat.field("sig"), lines.take(pa.array(at))], ["sig", "text"])
+
+    return scratch.written(found.mapInArrow(run, "sig long, text string"), "texts")
+
+
+def matched_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
+    """(doc_id, key, line) of every line with an earlier match, in docs (doc_id, key, text) with ids."""
+    surveyed = scratch.written(survey(docs, min_words), "lines")
+    lines = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "key", "line", "sig", "n", *bit_names(LONGS))
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -102,90 +121,108 @@ def matched_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SE
                 if len(tokens):
                     yield signatures(offsets, tokens), offsets, tokens
 
-    lists = written(candidates(blocks_of, docs, int(total), rarity, hot, per_part), "lists")
-    pairs = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
-    groups = lists.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"), "n", F.col("m").alias("at")).groupBy("g", "id", "n").agg(F.min("at").alias("at"))
-
-    def texts(asked: DataFrame) -> DataFrame:
-        wanted = written(asked.join(classes.select("sig", "at"), "sig").select("sig", "b", "salt", "role", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")), "wanted")
-        found = wanted.join(docs.filter(may_hold(wanted, "doc_id")(F.col("doc_id"))), "doc_id")
-        return found.withColumn("text", F.element_at(F.split("text", "\n", -1), F.col("line") + 1))
-
-    link = linked(F.col("both"), F.col("n"), F.col("m"))
-    place = classes.select(F.col("sig").alias("a"), F.col("at").alias("a_at"))
-
-    def placed(found: DataFrame) -> DataFrame:
-        return found.join(place, "a").join(place.toDF("b", "b_at"), "b")
-
-    def later(links: DataFrame) -> DataFrame:
-        return links.select(F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("sig"))
-
-    # 1: against the set with most lists in common
-    best = pairs.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    first = written(placed(verified(best, texts)), "first")
-    links = first.filter(link)
-    gone = written(later(links).distinct(), "gone")
-    known = first.select("a", "b")
-
-    def new(asked: DataFrame) -> DataFrame:
-        return asked.distinct().join(known.union(known.select("b", "a")), ["a", "b"], "left_anti")
-
-    members = written(groups.join(classes.select(F.col("sig").alias("id"), F.col("at").alias("pos")), "id"), "members")
-    bits = written(patterns_of(surveyed, groups), "bits")
-    near = within_bits(F.col("x_bits"), F.col("y_bits"), F.col("x_n"), F.col("y_n"))
+    lists = scratch.written(candidates(blocks_of, docs.select("text"), postings_total(lines), rarity_of(surveyed), scratch, hot, per_part), "lists")
+    in_lists = listed(lists, scratch)
+    # sets that have copies or are in lists
+    classes = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in bit_names(LONGS)))
+    classes = scratch.written(classes.withColumn("listed", in_lists(F.col("sig"))).filter("copies > 1 OR listed"), "classes")
+    known = classes.filter("listed")
+    pairs, groups = pairs_and_groups(lists)
+    for side, size in (("a", "n"), ("b", "m")):
+        pairs = pairs.join(known.select(F.col("sig").alias(side), F.col("at").alias(f"{side}_at"), F.col("n").alias(size), *(F.col(b).alias(f"{side}_{b}") for b in bit_names(LONGS))), side)
+    # x is the later one
+    pairs = pairs.filter(within_bits(bit_names(LONGS, "a_"), bit_names(LONGS, "b_"), "n", "m"))
+    pairs = scratch.written(pairs.select(F.expr("IF(a_at > b_at, a, b)").alias("x"), F.expr("IF(a_at > b_at, b, a)").alias("y"), "lists"), "pairs")
+    members = scratch.written(groups.join(known.select(F.col("sig").alias("id"), F.col("at").alias("pos"), *bit_names(LONGS)), "id"), "members")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("sig")).union(members.select("id")).distinct().join(known.select("sig", "at"), "sig")
+    lines_asked = texts_of(asked, docs, scratch)
+    scratch.release()
+    scratch.drop(lists)
+
+    place = known.select(F.col("sig").alias("a"), F.col("at").alias("a_at"))
+
+    def later(found: DataFrame) -> DataFrame:
+        """Of linked pairs (a, b) the later set."""
+        links = found.filter(LINK).join(place, "a").join(place.toDF("b", "b_at"), "b")
+        return links.select(F.expr("IF(a_at > b_at, a, b)").alias("id")).distinct()
+
+    def verify(asked: DataFrame, name: str) -> DataFrame:
+        wanted = asked.select(F.explode(F.array("a", "b")).alias("sig"))
+        return scratch.written(verified(asked, lines_asked.filter(may_hold(wanted, "sig", scratch)(F.col("sig")))), name)
+
+    gone, known_pairs = None, None
+    left, open_ = members, pairs
     for _ in range(LINE_ROUNDS):
-        # 2: the earliest set of each group, by the groups in which a set meets it
-        rows = members.join(gone.withColumnRenamed("sig", "id"), "id", "left_anti")
-        heads = members.groupBy("g").agg(F.min(F.struct("pos", "id", "n")).alias("y"))
-        met = rows.join(heads, "g").filter((F.col("y.pos") < F.col("pos")) & compatible(F.col("n"), F.col("y.n")))
-        met = likely(met.groupBy(F.col("id").alias("a"), F.col("y.id").alias("b"), "n", F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("lists")), bits)
-        asked = written(best_of(new(met.select("a", "b")).join(met, ["a", "b"])), "asked")
-        if asked.isEmpty():
-            break
-        found = written(placed(verified(asked, texts)), "round")
-        known = known.union(found.select("a", "b"))
-        gone = written(gone.union(later(found.filter(link))).distinct(), "gone")
-    # 3: all earlier candidates of what is left
-    left = members.join(gone.withColumnRenamed("sig", "id"), "id", "left_anti")
-    least = members.groupBy("g").agg(F.min("pos").alias("least"))
-    left = left.join(least, "g").filter(F.col("pos") > F.col("least")).drop("least")
-    # only groups in which something is left
-    whole = members.join(left.select("g").distinct(), "g", "left_semi").join(bits, "id")
-    met = pairs_in_groups(left.join(bits, "id"), whole, (F.col("y_pos") < F.col("x_pos")) & within_positions() & near).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    rest = placed(pairs.select("a", "b")).select(F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a_at") > F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("b"))
-    rest = rest.join(gone.withColumnRenamed("sig", "a"), "a", "left_anti").select("a", "b")
-    asked = new(met.union(rest))
-    third = verified(asked, texts)
-    gone = written(gone.union(placed(third.filter(link)).transform(later)).distinct(), "gone")
+        # the earliest set of each group, of those that are still unmatched, and the sets that share most lists
+        heads = left.groupBy("g").agg(F.min(F.struct("pos", "id", "n", *bit_names(LONGS))).alias("y"))
+        heads = heads.select("g", F.col("y.pos").alias("y_pos"), F.col("y.id").alias("y"), F.col("y.n").alias("m"), *(F.col(f"y.{b}").alias(f"y_{b}") for b in bit_names(LONGS)))
+        met = left.join(heads, "g").filter((F.col("y_pos") < F.col("pos")) & compatible(F.col("n"), F.col("m"))).filter(within_bits(bit_names(LONGS), bit_names(LONGS, "y_"), "n", "m"))
+        met = met.groupBy(F.col("id").alias("x"), "y").agg(F.count(F.lit(1)).alias("lists")).union(open_.select("x", "y", "lists"))
+        if known_pairs is not None:
+            met = met.withColumns({"a": F.greatest("x", "y"), "b": F.least("x", "y")}).join(known_pairs, ["a", "b"], "left_anti")
+        asked = scratch.written(best_of(met.select("x", "y", "lists")), "asked")
+        found = verify(asked, "round")
+        known_pairs = found.select("a", "b") if known_pairs is None else known_pairs.union(found.select("a", "b"))
+        new = later(found)
+        gone = scratch.written(new if gone is None else gone.union(new).distinct(), "gone")
+        # what is still unmatched and has anything before it
+        least = left.groupBy("g").agg(F.min("pos").alias("least"))
+        left = scratch.written(left.join(least, "g").filter("pos > least").drop("least").join(gone, "id", "left_anti"), "left")
+        open_ = scratch.written(open_.join(gone.toDF("x"), "x", "left_anti"), "open")
+    # all earlier candidates of what is left: only unmatched sets are tagged with their own name, the others with 0
+    tagged = members.join(gone.withColumn("was", F.lit(True)), "id", "left").withColumn("tag", F.when(F.col("was").isNull(), F.col("id")).otherwise(0))
+    asked = block_pairs(tagged, LONGS).union(open_.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct()
+    asked = asked.join(known_pairs, ["a", "b"], "left_anti")
+    asked = asked.join(place, "a").join(place.toDF("b", "b_at"), "b").withColumn("id", F.expr("IF(a_at > b_at, a, b)")).join(gone, "id", "left_anti").select("a", "b")
+    gone = scratch.written(gone.union(later(verify(scratch.written(asked, "asked"), "last"))).distinct(), "gone")
     # lines of sets that have copies or an earlier match
-    several = classes.join(gone.withColumn("near", F.lit(True)), "sig", "left").filter("copies > 1 OR near")
-    several = written(several.select("sig", "at", "near"), "several")
-    marked = lines.filter(may_hold(several, "sig")(F.col("sig"))).join(several, "sig")
-    return marked.filter(F.col("near").isNotNull() | (F.struct("doc_id", "line") > F.col("at"))).select("doc_id", "line").distinct()
+    several = classes.select("sig", "at", "copies").join(gone.select(F.col("id").alias("sig"), F.lit(True).alias("near")), "sig", "left").filter("copies > 1 OR near")
+    several = scratch.written(several.select("sig", "at", "near"), "several")
+    marked = lines.select("doc_id", "key", "line", "sig").filter(may_hold(several, "sig", scratch)(F.col("sig"))).join(several, "sig")
+    return marked.filter(F.col("near").isNotNull() | (F.struct("doc_id", "key", "line") > F.col("at"))).select("doc_id", "key", "line").distinct()
+
+
+def without_lines(column: pa.Array, gone: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The texts without the lines of these numbers, and how many of each went."""
+    offsets, data = buffers(column)
+    lines, row = lines_of(column)
+    starts, _ = buffers(lines)
+    counts = np.diff(gone.offsets.to_numpy())
+    stays = np.ones(len(row), bool)
+    stays[np.searchsorted(row, np.repeat(np.arange(len(counts)), counts)) + gone.flatten().to_numpy()] = False
+    keep = np.repeat(stays, np.diff(starts))
+    # the last line that stays loses its feed, unless it ends its text without one
+    at = np.flatnonzero(stays)
+    last = at[np.append(row[at][1:] != row[at][:-1], True)] if len(at) else at
+    cut = last[(last + 1 < len(row)) & (row[np.minimum(last + 1, len(row) - 1)] == row[last])]
+    keep[starts[cut + 1] - 1] = False
+    sums = np.concatenate([[0], np.cumsum(keep)])
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(sums[offsets]), pa.py_buffer(np.ascontiguousarray(data[keep]))]), counts
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SETS, per_part: int = PART_POSTINGS, removed_col: str = "lines_removed") -> DataFrame:
     """The documents (doc_id, text and any others) without their matched lines, and how many of them went."""
     docs = docs.drop(*({removed_col} & set(docs.columns)))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    matched = matched_lines(plain, min_words, hot, per_part)
-    gone = written(matched.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("line").alias("gone_lines")), "removed")
-    marked = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left").drop("gone_id")
+    scratch = Scratch(docs.sparkSession)
+    identity = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    plain = docs.select(identity[0].alias("doc_id"), identity[1].alias("key"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    matched = matched_lines(plain, scratch, min_words, hot, per_part)
+    gone = scratch.written(matched.groupBy(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).agg(F.collect_list("line").alias("_gone_lines")), "removed")
+    scratch.close(gone)
+    # documents that lose nothing pass by; the others are joined with their lines
+    loses = may_hold(gone, "_gone_key", scratch)(identity[1]) & identity[0].isNotNull() & F.col("text").isNotNull()
+    stay = docs.filter(~loses).withColumn(removed_col, F.lit(0).cast("long"))
+    marked = docs.filter(loses).join(gone.hint("merge"), (identity[0] == F.col("_gone_id")) & (identity[1] == F.col("_gone_key")), "left")
+    marked = marked.drop("_gone_id", "_gone_key").withColumn("_gone_lines", F.coalesce("_gone_lines", F.array().cast("array<bigint>")))
     schema = T.StructType([*docs.schema.fields, T.StructField(removed_col, T.LongType())])
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for text, lines in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist(), strict=True):
-                counts.append(len(lines or ()))
-                if lines:
-                    drop = set(lines)
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-                texts.append(text)
-            columns = [batch.column(i) for i in range(len(docs_columns))]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*docs_columns, removed_col])
-
-    docs_columns = docs.columns
-    return marked.mapInArrow(run, schema)
+            for part, column in blocks(batch, "text"):
+                left, counts = without_lines(column, part.column(len(names)))
+                columns = [part.column(i) for i in range(len(names))]
+                columns[at] = left
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, removed_col])
+
+    return stay.unionByName(marked.mapInArrow(run, schema))

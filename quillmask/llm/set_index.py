@@ -6,13 +6,14 @@ Two sets of ``n`` and ``m`` tokens with Jaccard similarity ``t`` or more share
 one of the first ``n - ceil(t n) + 1`` tokens of the one and of the other. A
 posting is (token, set, size, position). Mappers sort postings by part and
 send each part as one block of bytes, so a shuffle moves arrays, not rows.
-
-Within a token's list, sorted by size, the lists' sets fall into runs whose
-sizes are compatible; each set is paired with its run's first (its centre)
-unless the positions already rule the pair out: what can still match after
-them is too little. Lists of three and more are also kept as groups, from
-which all other pairs can be had. Lists of tokens beyond ``hot`` sets are
-salted over several parts, and their group is kept under one name.
+Sets that can only be similar to an equal set send none, and a task sends a
+set that it has just sent only once.
+
+Of a list of up to SHORT sets, all pairs that sizes and positions allow are
+candidates. Longer lists are kept as groups: :func:`block_pairs` cuts them into
+blocks of similar size and skips, by the blocks' bounds, the pairs of blocks
+whose positions leave too little to match. Lists of tokens beyond ``hot`` sets
+are salted over several parts, and their group is kept under one name.
 """
 
 from __future__ import annotations
@@ -23,22 +24,30 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.columns import U64, by_row, mix
+from quillmask.llm.tables import Scratch
 
 THRESHOLD = Fraction(3, 4)
+NUM, DEN = THRESHOLD.numerator, THRESHOLD.denominator
+#: Sets smaller than this are only similar to equal sets.
+LEAST_SIZE = -(-NUM // (DEN - NUM))
 #: Counters of tokens; each is sent in chunks.
 COUNTERS = 1 << 21
 CHUNKS = 128
-#: Tokens that may be in so many sets that their lists are salted.
-FREQUENT = 65_536
-KEPT_IN_TASK = 20_000
 #: Sets in one salted part of a token's list.
 HOT_SETS = 100_000
 PART_POSTINGS = 400_000
+#: Lists of up to this many sets give all their pairs; longer ones are groups.
+SHORT = 16
+#: Sets in a block of a group.
+BLOCK_SETS = 512
+#: A posting: the upper 40 bits of a token, the set, its size and the token's position.
 POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("size", "<i4"), ("at", "<i4")])
+WIDTHS = {"token": 5, "id": 8, "size": 4, "at": 4}
+TOKEN_SHIFT = U64(24)
 
 
 def prefix(sizes: np.ndarray, t: Fraction = THRESHOLD) -> np.ndarray:
@@ -58,74 +67,45 @@ def signatures(offsets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(U64)).view(np.int64)
 
 
-#: Longs of the bit pattern of a set.
-BIT_LONGS = 8
-
-
-def bit_patterns(offsets: np.ndarray, tokens: np.ndarray) -> pa.Array:
-    """For each set 512 bits: bit i is whether an odd number of its tokens hash to i.
+def bit_patterns(offsets: np.ndarray, tokens: np.ndarray, longs: int) -> list[np.ndarray]:
+    """For each set that many longs: bit i of all is whether an odd number of its tokens hash to i.
 
     Where two patterns differ, the sets differ in at least one token of that
     hash, so the number of differing bits is at most the number of tokens that
     only one of the sets has.
     """
-    n, width = len(offsets) - 1, BIT_LONGS * 64
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    odd = np.bincount(row * width + (mix(tokens + U64(7)) % U64(width)).astype(np.int64), minlength=n * width) & 1
-    longs = np.packbits(odd.astype(np.uint8).reshape(n, width), axis=1, bitorder="little").view(np.int64).ravel()
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BIT_LONGS), pa.array(longs))
-
-
-class FrequentTokens:
-    """Counts tokens of all sets that pass; tokens seen once in a block are dropped as rare."""
-
-    def __init__(self, most: int = KEPT_IN_TASK):
-        self.tokens, self.counts, self.most = np.zeros(0, U64), np.zeros(0, np.int64), most
-
-    def add(self, tokens: np.ndarray) -> None:
-        found, counts = np.unique(tokens, return_counts=True)
-        often = counts > 1
-        self.tokens, back = np.unique(np.concatenate([self.tokens, found[often]]), return_inverse=True)
-        self.counts = np.bincount(back, np.concatenate([self.counts, counts[often]]), len(self.tokens)).astype(np.int64)
-        if len(self.tokens) > 8 * self.most:
-            self._cut()
-
-    def _cut(self) -> None:
-        if len(self.tokens) > self.most:
-            keep = np.sort(np.lexsort((self.tokens, -self.counts))[: self.most])
-            self.tokens, self.counts = self.tokens[keep], self.counts[keep]
-
-    def result(self) -> tuple[np.ndarray, np.ndarray]:
-        self._cut()
-        return self.tokens, self.counts
+    n, full = len(offsets) - 1, np.flatnonzero(np.diff(offsets))
+    hashes = mix(tokens + U64(7))
+    bits, lane = U64(1) << (hashes & U64(63)), (hashes >> U64(6)) % U64(longs)
+    out = []
+    for k in range(longs):
+        row = np.zeros(n, np.int64)
+        if len(full):
+            row[full] = np.bitwise_xor.reduceat(np.where(lane == U64(k), bits, U64(0)), offsets[full]).view(np.int64)
+        out.append(row)
+    return out
 
 
-def frequent(counted: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens of (token, n) rows, sorted by token, and their counts: at most ``most``, so bounded."""
-    rows = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
-    tokens = rows.column("token").to_numpy().view(U64)
-    order = np.argsort(tokens)
-    return tokens[order], rows.column("n").to_numpy()[order]
+def bit_names(longs: int, prefix: str = "") -> list[str]:
+    return [f"{prefix}b{k}" for k in range(longs)]
 
 
 class Rarity:
-    """Orders tokens by the counters they fall into, and knows the most frequent ones; of fixed size."""
+    """Orders tokens by the counters they fall into; of fixed size."""
 
-    def __init__(self, counters: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
+    def __init__(self, counters: np.ndarray):
         # 16 bits that grow with the counts: their exponents and first digits
         self.counters = (counters.astype(np.float32).view(np.uint32) >> 16).astype(np.uint16)
-        self.tokens, self.counts = tokens, counts
+        # what rare tokens add to a counter by chance
+        self.noise = float(np.median(counters))
         self.shift = U64(64 - (len(counters).bit_length() - 1))
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         return self.counters[(tokens >> self.shift).astype(np.int64)]
 
     def sets(self, tokens: np.ndarray) -> np.ndarray:
-        """In how many sets a frequent token was counted; 0 for all others."""
-        if not len(self.tokens):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.counts[at], 0)
+        """In about how many sets, at most, a token is: its counter less the noise. Depends on a token's upper bits only."""
+        return (self.of(tokens).astype(np.uint32) << 16).view(np.float32) - self.noise
 
 
 class TokenCounters:
@@ -180,13 +160,31 @@ def summed(chunks: DataFrame, n: int = COUNTERS) -> np.ndarray:
     return out
 
 
-def postings(ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, rarity: Rarity) -> np.ndarray:
-    """The prefix postings of sets (rows of distinct tokens that are sorted by hash)."""
+class Sent:
+    """The sets that a task has sent of late; of fixed size, and never wrong: a set is only dropped where its name is there."""
+
+    def __init__(self, slots: int = 1 << 17):
+        self.names = np.zeros(slots, np.int64)
+
+    def new(self, names: np.ndarray) -> np.ndarray:
+        """Which of the names are the first of their kind here and were not sent before."""
+        first = np.zeros(len(names), bool)
+        first[np.unique(names, return_index=True)[1]] = True
+        slot = (names.view(U64) % U64(len(self.names))).astype(np.int64)
+        first &= self.names[slot] != names
+        self.names[slot[first]] = names[first]
+        return first
+
+
+def postings(ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, rarity: Rarity, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The prefix postings of the wanted sets (rows of distinct tokens that are sorted by hash)."""
     sizes = np.diff(offsets)
+    keep = sizes >= LEAST_SIZE if wanted is None else wanted & (sizes >= LEAST_SIZE)
+    tokens, ids, sizes = tokens[np.repeat(keep, sizes)], ids[keep], sizes[keep]
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(rarity.of(tokens), kind="stable")  # of equal counts the hash decides
     tokens = tokens[order[by_row(row[order], len(sizes))]]
-    at = np.arange(len(tokens)) - np.repeat(offsets[:-1], sizes)
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     keep = at < np.repeat(prefix(sizes), sizes)
     out = np.empty(int(keep.sum()), POSTING)
     out["token"], out["id"], out["size"], out["at"] = tokens[keep], ids[row[keep]], sizes[row[keep]], at[keep]
@@ -194,23 +192,43 @@ def postings(ids: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, rarity: R
 
 
 def salts(tokens: np.ndarray, ids: np.ndarray, rarity: Rarity, hot: int) -> np.ndarray:
-    """The salt of each posting: 0 unless its token is in more than ``hot`` sets."""
+    """The salt of each posting: 0 unless its token may be in more than ``hot`` sets."""
     seen = rarity.sets(tokens)
     if not (seen > hot).any():
-        return np.zeros(len(tokens), np.int64)
-    return np.where(seen > hot, (mix(ids.view(U64)) % np.maximum(-(-seen // hot), 1).astype(U64)).astype(np.int64), 0)
+        return np.zeros(len(tokens), U64)
+    return np.where(seen > hot, mix(ids.view(U64)) % np.maximum(np.ceil(seen / hot), 1).astype(U64), U64(0))
+
+
+def packed_block(found: np.ndarray) -> bytes:
+    """Postings as the planes of their bytes, column by column, so that equal bytes stand together."""
+    out = []
+    for name, width in WIDTHS.items():
+        column = np.ascontiguousarray(found[name])
+        out.append(column.view(np.uint8).reshape(len(found), column.itemsize)[:, :width].T.tobytes())
+    return b"".join(out)
+
+
+def unpacked_block(data: bytes | pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8)
+    n = len(planes) // sum(WIDTHS.values())
+    out, a = np.zeros(n, POSTING), 0
+    for name, width in WIDTHS.items():
+        column = np.zeros((n, POSTING[name].itemsize), np.uint8)
+        column[:, :width] = planes[a : a + n * width].reshape(width, n).T
+        out[name] = column.view(POSTING[name]).ravel()
+        a += n * width
+    return out
 
 
 def deal(found: np.ndarray, parts: int, rarity: Rarity, hot: int) -> pa.RecordBatch:
     """Postings as blocks by part."""
-    salt = salts(found["token"], found["id"], rarity, hot)
-    part = (mix(found["token"] + salt.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    part = (mix(found["token"] + salts(found["token"], found["id"], rarity, hot) * U64(0x9E3779B97F4A7C15)) % U64(parts)).astype(np.int64)
+    found["token"] >>= TOKEN_SHIFT
+    # by part, and in it by the token's upper bits
+    order = np.argsort(part.astype(U64) << U64(40) | found["token"]) if parts < 1 << 24 else np.argsort(part)
     part, found = part[order], found[order]
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part[edges[:-1]]), pa.array([found[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "block"]
-    )
+    edges = _runs(part) if len(part) else np.zeros(1, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array([packed_block(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "block"])
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -218,69 +236,66 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 def read_lists(found: np.ndarray, rarity: Rarity, hot: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Of one part's postings: pairs (set, centre, sizes of both, lists they share) and groups (name, set, size, position)."""
+    """Of one part's postings: pairs (set, set, lists they share) and groups (name, set, size, position)."""
     found = found[np.argsort(found["token"], kind="stable")]
-    salted = rarity.sets(found["token"]) > hot
-    edges = _runs(found["token"])
-    found = found[np.repeat(np.diff(edges) > 1, np.diff(edges)) | salted]
+    hidden = rarity.sets(found["token"] << TOKEN_SHIFT) > hot
+    edges = _runs(found["token"]) if len(found) else np.zeros(1, np.int64)
+    found = found[np.repeat(np.diff(edges) > 1, np.diff(edges)) | hidden]
     found = found[np.lexsort((found["id"], found["size"], found["token"]))]
     if len(found):
-        same = np.concatenate([[False], (found["token"][1:] == found["token"][:-1]) & (found["id"][1:] == found["id"][:-1])])
-        found = found[~same]
+        found = found[np.concatenate([[True], (found["token"][1:] != found["token"][:-1]) | (found["id"][1:] != found["id"][:-1])])]
     if not len(found):
         empty = np.zeros(0, np.int64)
-        return (empty,) * 5, (empty,) * 4
+        return (empty,) * 3, (empty,) * 4
+    hidden = rarity.sets(found["token"] << TOKEN_SHIFT) > hot
     edges = _runs(found["token"])
-    first = np.repeat(edges[:-1], np.diff(edges))
-    size = found["size"].astype(np.int64)
-    centre = first.copy()
-    # a set more than 1 / t times as large as its centre begins a run of its own
-    far = size * THRESHOLD.numerator > size[first] * THRESHOLD.denominator
-    for k in np.unique(np.searchsorted(edges, np.flatnonzero(far), "right") - 1).tolist():
-        i, end = int(edges[k]), int(edges[k + 1])
-        while i < end:
-            j = i + int(np.searchsorted(size[i:end], size[i] * THRESHOLD.denominator // THRESHOLD.numerator, "right"))
-            centre[i:j] = i
-            i = j
-    n, m = size, size[centre]
-    left = np.minimum(n - found["at"], m - found["at"][centre])
-    good = (centre != np.arange(len(size))) & (left >= overlap_needed(n, m))
-    pairs = _counted(found["id"][good], found["id"][centre][good], n[good], m[good])
-    many = np.repeat(np.diff(edges) > 2, np.diff(edges))
-    hidden = rarity.sets(found["token"]) > hot
+    length = np.repeat(np.diff(edges), np.diff(edges))
     total = np.add.reduceat(mix(found["id"].view(U64)), edges[:-1])
     name = np.where(hidden, mix(found["token"] + U64(1)), mix(np.repeat(total, np.diff(edges)))).view(np.int64)
-    keep = many | hidden
-    return pairs, (name[keep], found["id"][keep], size[keep], found["at"][keep].astype(np.int64))
-
-
-def _counted(x: np.ndarray, c: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
+    keep = hidden | (length > SHORT)
+    groups = name[keep], found["id"][keep], found["size"][keep].astype(np.int64), found["at"][keep].astype(np.int64)
+    found = found[~keep]
+    token, size = found["token"], found["size"].astype(np.int64)
+    left, x, y = size - found["at"], [], []
+    for k in range(1, SHORT):
+        i = np.flatnonzero(token[k:] == token[:-k])
+        if not len(i):
+            break
+        j = i + k
+        fits = np.minimum(left[i], left[j]) >= overlap_needed(size[i], size[j])
+        x.append(found["id"][i[fits]])
+        y.append(found["id"][j[fits]])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
+    return _counted(np.maximum(x, y), np.minimum(x, y)), groups
+
+
+def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(x):
-        return x, c, n, m, np.zeros(0, np.int64)
-    order = np.lexsort((c, x))
-    x, c, n, m = x[order], c[order], n[order], m[order]
-    edges = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (c[1:] != c[:-1])]))
-    return x[edges], c[edges], n[edges], m[edges], np.diff(np.append(edges, len(x)))
+        return x, y, np.zeros(0, np.int64)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    edges = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    return x[edges], y[edges], np.diff(np.append(edges, len(x)))
 
 
-LISTS_SCHEMA = "kind int, a long, b long, n long, m long, lists long"
+LISTS_SCHEMA = "kind int, a long, b long, n long, m long"
 
 
-def candidates(blocks_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], source: DataFrame, total: int, rarity: Rarity, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
-    """Rows of kind 0: pairs (a: set, b: centre, n, m: sizes, lists: shared lists); of kind 1: groups (a: name, b: set, n: size, m: position).
+def candidates(blocks_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], source: DataFrame, total: int, rarity: Rarity, scratch: Scratch, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
+    """Rows of kind 0: pairs (a, b: sets, n: shared lists); of kind 1: groups (a: name, b: set, n: size, m: position).
 
     ``blocks_of`` makes (ids, offsets, tokens) of the source's batches; ``total`` is the number of postings.
     """
     parts = max(1, -(-total // per_part))
-    rarity_b = source.sparkSession.sparkContext.broadcast(rarity)  # of fixed size
+    rarity_b = scratch.broadcast(rarity)  # of fixed size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, sent = [], 0, Sent()
         for ids, offsets, tokens in blocks_of(batches):
-            found = postings(ids, offsets, tokens, rarity_b.value)
+            found = postings(ids, offsets, tokens, rarity_b.value, sent.new(ids))
             held.append(found)
             size += len(found)
-            if size > 1_000_000:
+            if size > 400_000:
                 yield deal(np.concatenate(held), parts, rarity_b.value, hot)
                 held, size = [], 0
         if size:
@@ -294,7 +309,7 @@ def candidates(blocks_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np
                     yield from _lists(held, rarity_b.value, hot)
                     held = []
                 now = part
-                held.append(np.frombuffer(block.as_buffer(), POSTING))
+                held.append(unpacked_block(block.as_buffer()))
         if held:
             yield from _lists(held, rarity_b.value, hot)
 
@@ -303,8 +318,77 @@ def candidates(blocks_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np
 
 
 def _lists(held: list[np.ndarray], rarity: Rarity, hot: int) -> Iterator[pa.RecordBatch]:
-    (x, c, n, m, shared), (name, member, size, at) = read_lists(np.concatenate(held), rarity, hot)
-    columns = [np.concatenate(v) for v in ((x, name), (c, member), (n, size), (m, at), (shared, np.zeros(len(name), np.int64)))]
+    (x, y, shared), (name, member, size, at) = read_lists(np.concatenate(held), rarity, hot)
+    columns = [np.concatenate(v) for v in ((x, name), (y, member), (shared, size), (np.zeros(len(x), np.int64), at))]
     kind = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(name), np.int32)])
     for a in range(0, len(kind), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(v[a : a + 200_000]) for v in (kind, *columns)], ["kind", "a", "b", "n", "m", "lists"])
+        yield pa.RecordBatch.from_arrays([pa.array(v[a : a + 200_000]) for v in (kind, *columns)], ["kind", "a", "b", "n", "m"])
+
+
+def compatible(n: Column, m: Column) -> Column:
+    """Sets of these sizes can be similar."""
+    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
+
+
+def within_bits(x: list[str], y: list[str], n: str, m: str) -> Column:
+    """The bit patterns in two lists of columns do not differ in more places than similar sets can differ in tokens."""
+    differing = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(x[1:], y[1:], strict=True)), F.bit_count(F.col(x[0]).bitwiseXOR(F.col(y[0]))))
+    # n + m - 2 * overlap needed; no division, and at most the real bound rounded down
+    return (NUM + DEN) * differing <= (DEN - NUM) * (F.col(n) + F.col(m))
+
+
+def block_pairs(entries: DataFrame, longs: int, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """Pairs (a, b) of sets of one group with different tags that sizes, positions and bit patterns allow.
+
+    ``entries``: (g, id, n, at, tag, b0 ...). A group is cut into blocks by
+    bands of size and a hash, of about ``block_sets`` sets each. Two blocks
+    meet in one task unless their bounds rule out all their pairs: the least
+    sizes, the most tokens left behind the positions, and one tag in both. So
+    no group is ever in one task as a whole.
+    """
+    entries = entries.select("g", "id", "n", (F.col("n") - F.col("at")).alias("rest"), "tag", *bit_names(longs)).withColumn("band", F.floor(F.log("n") / float(np.log(DEN / NUM))).cast("int"))
+    sizes = entries.groupBy("g", "band").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("salts"))
+    entries = entries.join(sizes, ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts")
+    bounds = entries.groupBy("g", "band", "block").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.min("tag").alias("lo"), F.max("tag").alias("hi"))
+    x, y = (bounds.select("g", *(F.col(c).alias(f"{p}_{c}") for c in bounds.columns[1:])) for p in "xy")
+    x = x.withColumn("y_band", F.explode(F.array("x_band", F.col("x_band") + 1)))
+    met = x.join(y, ["g", "y_band"]).filter((F.col("y_band") > F.col("x_band")) | (F.col("y_block") >= F.col("x_block")))
+    met = met.filter((NUM + DEN) * F.least("x_rest", "y_rest") >= NUM * (F.col("x_n") + F.col("y_n"))).filter("x_lo <> x_hi OR y_lo <> y_hi OR x_lo <> y_lo")
+    met = met.withColumn("key", F.xxhash64("g", "x_band", "x_block", "y_band", "y_block"))
+    own = (F.col("x_band") == F.col("y_band")) & (F.col("x_block") == F.col("y_block"))
+    sides = F.array(F.struct(F.col("x_band").alias("band"), F.col("x_block").alias("block"), F.when(own, 2).otherwise(0).alias("side")), F.when(~own, F.struct(F.col("y_band").alias("band"), F.col("y_block").alias("block"), F.lit(1).alias("side"))))
+    asked = met.select("g", "key", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select("g", "key", "s.band", "s.block", "s.side")
+    dealt = asked.join(entries, ["g", "band", "block"]).select("key", "side", "id", "n", "rest", "tag", *bit_names(longs)).repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns]) if batch.num_rows else np.zeros((batch.num_columns, 0), np.int64)
+            edges = _runs(rows[0]) if rows.shape[1] else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and now != rows[0, a]:
+                    yield from _meeting(np.concatenate(held, axis=1))
+                    held = []
+                now = rows[0, a]
+                held.append(rows[1:, a:b])
+        if held:
+            yield from _meeting(np.concatenate(held, axis=1))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _meeting(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of the sets of two blocks (rows: side, id, n, rest, tag, bit patterns); of side 2: of one block with itself."""
+    x, y = rows[:, rows[0] != 1], rows[:, rows[0] != 0]
+    for a in range(0, x.shape[1], 256):
+        part = x[:, a : a + 256]
+        n, rest, tag = (part[k][:, None] for k in (2, 3, 4))
+        i, j = np.nonzero((np.minimum(rest, y[3]) * (NUM + DEN) >= NUM * (n + y[2])) & (tag != y[4]) & (part[1][:, None] != y[1]))
+        differing = np.zeros(len(i), np.int64)
+        for k in range(5, rows.shape[0]):
+            differing += np.bitwise_count((part[k][i] ^ y[k][j]).view(U64))
+        fits = (NUM + DEN) * differing <= (DEN - NUM) * (part[2][i] + y[2][j])
+        p, q = part[1][i[fits]], y[1][j[fits]]
+        if len(p):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])

@@ -1,87 +1,115 @@
-"""Tables in the shared folder, and connected components over edges of any number."""
+"""Tables in the shared folder, Bloom filters of bounded size, and connected components over edges of any number."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.session import shared_checkpoint_dir
 
+#: Spark removes the shuffle files of a finished query where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables of one computation in the shared checkpoint folder: lineage ends at each, and it can go after its last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_checkpoint_dir(spark).rstrip('/')}/quillmask/{uuid.uuid4().hex}"
+        self.paths: dict[DataFrame, str] = {}
+        self.made = 0
+        self.sent: list[Any] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows, written as Parquet and read again. The shuffle files behind them are removed, as nothing reads these again."""
+        self.made += 1
+        path = f"{self.root}/{name}-{self.made}"
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[out] = path
+        return out
+
+    def broadcast(self, value: Any) -> Any:
+        """A broadcast of bounded size, released by :meth:`release`."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+    def release(self) -> None:
+        """Frees all broadcasts: what reads them has been written."""
+        for b in self.sent:
+            b.destroy()
+        self.sent = []
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes written tables that nothing will read again."""
+        jvm = self.spark._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self, keep: DataFrame) -> DataFrame:
+        """Removes all tables but one, and frees the broadcasts."""
+        self.release()
+        self.drop(*(t for t in list(self.paths) if t is not keep))
+        return keep
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet to the shared checkpoint folder and read again: the lineage ends there."""
-    path = f"{shared_checkpoint_dir(df.sparkSession).rstrip('/')}/quillmask/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Edges that one task joins up by itself; beyond, the rounds of stars are used.
-TASK_EDGES = 200_000
-
-
-def joined_up(edges: DataFrame) -> DataFrame:
-    """The components of at most TASK_EDGES edges (u, v), by union-find in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p, q = find(u), find(v)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
-
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
+    return Scratch(df.sparkSession).written(df, name)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", alone: int = TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """For edges between longs, (node, root): the least node of its component, for every node with an edge to another.
 
-    Up to ``alone`` edges are joined up in one task. More go through
-    large-star and small-star steps in turn. A node's neighbours are never
+    Large-star and small-star steps in turn. A node's neighbours are never
     gathered: their minimum is a partial aggregate, joined back to the edges.
     """
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    if now.count() <= alone:
-        return joined_up(now)
+    now = scratch.written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     while True:
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
+        large = scratch.written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "small")
+        last, now = now, scratch.written(small.select("e.u", "e.v").filter("u <> v").distinct(), "small")
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("v")).first())
+        scratch.drop(last, large)
         if found == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            roots = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            roots = scratch.written(roots, "roots")
+            scratch.drop(now)
+            return roots
         state = found
 
 
-#: Bits of the filter that says which ids may be asked for: 8 MB, whatever the number of ids.
-FILTER_BITS = 1 << 26
+#: Bits of a Bloom filter for each id, and the most bits of one (8 MB).
+BITS_PER_ID = 16
+MOST_BITS = 1 << 26
 
 
-def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+def may_hold(ids: DataFrame, column: str, scratch: Scratch) -> Callable[[Column], Column]:
     """A test that is true for all ids of a column and for few others, to thin out rows before a join on it.
 
-    A Bloom filter of fixed size: with too many ids it only gets true more often.
+    A Bloom filter sized by the number of ids, up to MOST_BITS; with more ids
+    it only gets true more often.
     """
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (n * BITS_PER_ID - 1).bit_length() if n else 0))
 
     def places(c: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (0, 1)]
@@ -90,7 +118,7 @@ def may_hold(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[
     words = at.groupBy(F.expr("p DIV 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("m")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
-    held = ids.sparkSession.sparkContext.broadcast(table)
+    held = scratch.broadcast(table)
 
     @F.pandas_udf("boolean")
     def test(a: pd.Series, b: pd.Series) -> pd.Series:
