@@ -1,19 +1,22 @@
 """HTML extraction: flat text blocks, each classified by a decision tree.
 
-A page is read once into a flat list of blocks: text between block-level tags,
-without scripts, styles, comments and the head. A block's features are its
-word count and link density, those of the block before and after it, and where
-it stands: in a container that holds page furniture, in the page's main
-container, in a heading or a list. The tree is a small CART (Gini impurity),
-trained on first use on the labelled table below (pages marked up by hand, a
-``+`` or ``-`` a block).
+A page is read once, in time linear in its length, into a flat list of blocks:
+text between block-level tags, without scripts, styles, comments and the head.
+A block's features are its word count and link density, those of the block
+before and after it, whether it is a heading, in a list, ends as a sentence or
+is a legal line, and where it stands: in the core of the page (its
+article or main element, else the container with most words), in an article or main element, in an element for page furniture, in a
+box whose name says so. The tree is a small CART (Gini impurity) that is
+trained on first use on the labelled table of
+:mod:`quillmask.llm.labelled_pages`; no feature is preferred to another.
 
 Character references are decoded, white space inside a block becomes one
 blank, blocks are trimmed, and those of the article are joined by line feeds.
 
 Defined results: null html counts as empty and gives empty text, as does a
-page without an article; repeated rows are read one by one; an empty table
-gives an empty result. Columns of the input are kept but the html.
+page without an article; a tag that the page's end cuts off is dropped;
+repeated rows are read one by one; an empty table gives an empty result.
+Columns of the input are kept but the html.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,22 +33,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+from quillmask.llm.labelled_pages import labelled
+
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+# a quote only opens a value after "="; possessive, so never read twice
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|[^>=]++)*+)>""")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*+>?", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _SPACE = re.compile(r"\s+")
+_LEGAL = re.compile(r"\u00a9|\(c\)\s*(?:\d{4}|by)|\bcopyright\b|\ball rights reserved\b", re.I)
+_ENDS = re.compile(r"[.!?\u2026\u3002:][\"'\u00bb\u201c\u201d\u2019)\]]*$")
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style template textarea title noembed noframes iframe xmp".split())
-SILENT = frozenset("head noscript svg math canvas object video audio select option button datalist map".split())
+SILENT = frozenset("head noscript canvas object video audio select option button datalist map desc metadata annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that end a block; all others, and formulas and drawings, run on in the line.
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold others; a block's container is the nearest of them.
+HOLDS = frozenset("article aside blockquote body center details dialog div fieldset figure footer form header main menu nav ol section table td ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
-#: Words in class, id or role that name page furniture, and those that name the article.
+#: Words in class, id or role that name page furniture.
 FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright dialog disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related respond reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget complementary contentinfo".split()
+    "ad ads advert advertisement advertising banner bottom breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus feedback footer form gdpr header imprint legal login masthead menu menubar modal nav navbar navigation newsletter notice opinions pager pagination popup promo promoted reactions recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser teasers toc toolbar topmenu widget".split()
 )
-MAIN_WORDS = frozenset("article main story post entry content articlebody body text prose".split())
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "main", "heading", "listed", "page_has_main")
+#: Elements whose own name counts for nothing, as it names the whole page or article.
+WHOLE = frozenset("html body article main".split())
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "listed", "sentence", "legal", "core", "dense", "around", "page_has_main", "furniture", "named", "share")
 
 
 @dataclass
@@ -53,27 +68,39 @@ class Block:
     words: int
     links: float
     furniture: bool
+    named: bool
     main: bool
     heading: bool
     listed: bool
+    holder: int
+
+
+@functools.cache
+def _end_of(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I)
 
 
-def _named(attrs: str) -> set[str]:
-    words: set[str] = set()
+def _named(attrs: str) -> tuple[bool, bool]:
+    """Whether class, id or role name furniture, and whether a role or property names the article."""
+    furniture = main = False
     for m in _ATTR.finditer(attrs):
-        if m[1].lower() in ("class", "id", "role"):
-            words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()))
-    return words
+        key = m[1].lower()
+        if key in ("class", "id", "role", "itemprop"):
+            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()))
+            main |= key == "role" and "main" in words or key == "itemprop" and "articlebody" in words
+            furniture |= key != "itemprop" and bool(words & FURNITURE_WORDS)
+    return furniture, main
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The flat text blocks of a page, in order."""
+def blocks(page: str | None) -> tuple[list[Block], list[int]]:
+    """The flat text blocks of a page, in order, and the parent of each container (-1: none)."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, furniture, main
+    parents = [-1]
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []  # tag, silent, furniture, named, main, container
+    open_ = Counter()  # open elements by tag, and flags by their place in a stack entry
     buffer: list[tuple[str, bool]] = []
-    anchor = heading = listed = 0
-    at = 0
+    anchor = heading = listed = at = 0
 
     def flush() -> None:
         if not buffer:
@@ -82,99 +109,116 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             linked = sum(len(entities.unescape(t).split()) for t, is_link in buffer if is_link)
             words = len(text.split())
-            out.append(Block(text, words, min(1.0, linked / max(words, 1)), any(s[2] for s in stack), any(s[3] for s in stack), heading > 0, listed > 0))
+            out.append(Block(text, words, min(1.0, linked / max(words, 1)), open_[2] > 0, open_[3] > 0, open_[4] > 0, heading > 0, listed > 0, stack[-1][5] if stack else 0))
         buffer.clear()
 
-    silent = 0
+    def leave() -> str:
+        nonlocal heading, listed
+        entry = stack.pop()
+        open_[entry[0]] -= 1
+        for k in (1, 2, 3, 4):
+            open_[k] -= entry[k]
+        heading -= entry[0] in HEADINGS
+        listed -= entry[0] == "li"
+        return entry[0]
+
     while True:
-        m = _TOKEN.search(page, at)
-        if not silent:
+        m = _MARKUP.search(page, at)
+        if not open_[1]:
             piece = page[at : m.start() if m else len(page)]
             if piece:
                 buffer.append((piece, anchor > 0))
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        tagged = _TAG.match(page, m.start())
+        if not tagged:
+            other = _OTHER.match(page, m.start())
+            if not other:
+                break  # the page ends within a tag
+            at = other.end()
             continue
+        at, tag, attrs = tagged.end(), tagged[2].lower(), tagged[3]
         if tag == "br":
-            if not silent:
+            if not open_[1]:
                 buffer.append((" ", False))
             continue
-        if not m[1]:
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                continue
-            if tag not in INLINE:
-                flush()
-            anchor += tag == "a"
-            if tag in VOID or (m[3] or "").endswith("/") and tag not in INLINE:
-                anchor -= tag == "a"
-                continue
-            if tag in INLINE:
-                continue
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag and not stack[-1][1]:
-                _, _, _, _ = stack.pop()  # its end tag was left out
-                listed -= tag == "li"
-            named = _named(m[3]) if m[3] else set()
-            inside = any(s[3] for s in stack)
-            quiet = tag in SILENT
-            silent += quiet
-            furniture = tag in FURNITURE or (tag == "header" and not inside) or bool(named & FURNITURE_WORDS)
-            stack.append((tag, quiet, furniture, tag in ("article", "main") or (not furniture and bool(named & MAIN_WORDS) and tag != "body")))
-            heading += tag in HEADINGS
-            listed += tag == "li"
-        else:
+        block = tag in BLOCK or "-" in tag and tag not in SILENT
+        if tagged[1]:
             if tag == "a":
                 anchor = max(0, anchor - 1)
-            if tag in INLINE:
+            if open_[tag] <= 0:
+                if block:
+                    flush()
                 continue
-            flush()
-            if any(s[0] == tag for s in stack):
-                while stack:
-                    top = stack.pop()
-                    silent -= top[1]
-                    heading -= top[0] in HEADINGS
-                    listed -= top[0] == "li"
-                    if top[0] == tag:
-                        break
+            if block:
+                flush()
+            while stack and leave() != tag:
+                pass
+            if block:
                 anchor = 0
+            continue
+        if tag in RAW:
+            end = _end_of(tag).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if block:
+            flush()
+        if tag in VOID or attrs.endswith("/") and not block:
+            continue
+        anchor += tag == "a"
+        silent = tag in SILENT
+        if not block and not silent:
+            continue
+        if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
+            leave()  # its end tag was left out
+        named, main = _named(attrs) if attrs else (False, False)
+        main |= tag in ("article", "main")
+        furniture = tag in FURNITURE or (tag == "header" and not open_[4])
+        holder = stack[-1][5] if stack else 0
+        if tag in HOLDS:
+            parents.append(holder)
+            holder = len(parents) - 1
+        stack.append((tag, silent, furniture, named and not main and tag not in WHOLE, main, holder))
+        open_[tag] += 1
+        for k in (1, 2, 3, 4):
+            open_[k] += stack[-1][k]
+        heading += tag in HEADINGS
+        listed += tag == "li"
     flush()
-    return out
+    return out, parents
+
 
+#: Part of a container's words that counts for the one around it.
+INNER = 0.65
 
-def table(found: list[Block]) -> np.ndarray:
+
+def table(found: list[Block], parents: list[int]) -> np.ndarray:
     """The features of a page's blocks, a row each."""
     n = len(found)
     own = np.array([[b.words, b.links] for b in found], float).reshape(n, 2)
     before, after = np.zeros((n, 2)), np.zeros((n, 2))
     before[1:], after[:-1] = own[:-1], own[1:]
-    flags = np.array([[b.furniture, b.main, b.heading, b.listed] for b in found], float).reshape(n, 4)
-    return np.hstack([own, before, after, flags, np.full((n, 1), float(any(b.main for b in found)))])
-
-
-#: The labelled table: pages, and for each of their blocks whether it belongs to the article.
-LABELLED = (
-    ('<html><head><title>x</title></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="ad">Buy three and pay for two today.</div><article><h1>A day at the lake</h1><p>We went to the lake early in the morning because the weather was fine.</p><p>It rained.</p><p>See <a href="/x">the map of the whole lake area</a>.</p></article><footer>&copy; site. All rights reserved by us.</footer></body></html>', "---++++-"),
-    ('<body><header><h1>The Daily</h1><p>News for all</p></header><main><h2>Trains late again</h2><p>Trains were late on Monday, said the company in the evening.</p><ul><li>Line one</li><li>Line two</li></ul></main><aside><h3>Most read</h3><ul><li><a href="/1">Storm hits the coast and cuts the power</a></li></ul></aside><footer><p>Imprint</p></footer></body>', "--++++---"),
-    ('<body><div id="menu"><a href="/">Start</a> <a href="/c">Contact</a></div><div id="content"><h1>Soup</h1><p>Cut the onions and fry them slowly in butter until they are brown.</p><p>Add water.</p></div><div id="sidebar"><p>Our book is out now in all shops and as a gift.</p></div><div id="comments"><p>I made this soup yesterday and the whole family liked it a lot.</p></div></body>', "-+++--"),
-    ('<body><div class="cookie-notice"><p>We use cookies to make this site better for you and for us.</p></div><form><label>Your mail</label><p>Subscribe to our letter that comes once a week.</p></form><article><header><h1>Old towns</h1></header><p>Old towns have narrow streets that keep the sun out in the summer.</p><blockquote>They are cool.</blockquote><div class="share">Share this page with friends</div><section class="comments"><p>Great text, I have been there last year and loved it.</p></section></article></body>', "---+++--"),
-    ('<body><p><a href="/">Home</a> | <a href="/n">News</a></p><h1>Owls</h1><p>Owls hunt at night and hear very well, which helps them find mice under snow.</p><p>They sleep by day in old trees or barns and are rarely seen by people.</p><p><a href="/next">Next page</a></p></body>', "-+++-"),
-    ('<body><p><a href="/a">One</a> <a href="/b">Two</a> <a href="/c">Three</a></p><p>The river rose in the night and the bridge was closed to all cars for two days.</p><p>Nobody was hurt when the water reached the first houses of the village.</p><p>(c) 2020</p></body>', "-++-"),
-    ('<body><nav><a href="/a">A</a></nav><article><h1>Short</h1><p>Yes.</p><p>No.</p><p>One more line.</p></article><footer>Some long line of text about who made this page and when it was made.</footer></body>', "-++++-"),
-    ('<body><div class="banner">Sale until Sunday, everything must go</div><div class="article-body"><p>The match ended without a goal although both teams had chances.</p><p>Fans left early.</p><table><tr><td>Home</td><td>0</td></tr></table></div><div class="related"><a href="/r">Other matches of the day</a></div></body>', "-++++-"),
-    ('<body><article><h1>Links</h1><p><a href="/1">Only a link here</a></p><p>Text after the link goes on for a while and then it stops.</p></article><div class="popup">Please log in to read more of this</div></body>', "+++-"),
-    ("<article>One line alone</article>", "+"),
-    ("<body><article><h1>Title</h1><p>Text that ends the page without a footer after it.</p></article></body>", "++"),
-    ('<body><div class="ad">Words of an advert</div><main><p>Short one.</p></main></body>', "-+"),
-    ('<body><article><h2>Why</h2><p><a href="/x">A link</a></p></article></body>', "++"),
-    ('<body><article><p>First.</p></article><p>Made by us in 2021</p></body>', "+-"),
-    ('<body><p>Welcome back</p><article><p>The article itself, in one paragraph that is longer than what stands around it.</p></article><p><a href="/top">Top</a></p></body>', "-+-"),
-    ('<body><p>The only paragraph of a page without any other markup, long enough to be its text.</p></body>', "+"),
-    ("<p>A text of some words in two paragraphs, of which this is the first one.</p><p>And this is the second one, with about as many words as the first.</p>", "++"),
-)
+    has_main = any(b.main for b in found)
+    # a container counts the words of its blocks that are in no link or legal line, and a part of those of the containers in it
+    weight = np.zeros(len(parents))
+    holders = np.array([b.holder for b in found], np.int64)
+    legal = np.array([b.words < 60 and _LEGAL.search(b.text) is not None for b in found], bool)
+    inside = np.array([b.main or not has_main for b in found], bool)  # what stands outside the article element counts nothing
+    np.add.at(weight, holders, own[:, 0] * (1 - own[:, 1]) * (inside & ~legal))
+    total = weight.copy()
+    for k in range(len(parents) - 1, 0, -1):
+        total[parents[k]] += INNER * total[k]
+    dense = np.zeros(len(parents), bool)
+    best = int(np.argmax(total))
+    dense[best] = True
+    around = dense.copy()
+    around[max(parents[best], 0)] = True
+    for k in range(1, len(parents)):
+        dense[k] |= dense[parents[k]]
+        around[k] |= around[parents[k]]
+    rest = [[b.heading, b.listed, _ENDS.search(b.text) is not None, law, b.main if has_main else dense[b.holder], dense[b.holder], around[b.holder], has_main, b.furniture, b.named] for b, law in zip(found, legal, strict=True)]
+    share = total[holders] / max(total.max(initial=0), 1)
+    return np.hstack([own, before, after, np.array(rest, float).reshape(n, 10), share[:, None]])
 
 
 @dataclass
@@ -191,13 +235,18 @@ def _gini(y: np.ndarray) -> float:
     return 2 * p * (1 - p) * len(y)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
-    """A CART: the split that leaves the least Gini impurity, again and again; of equals the first feature's."""
+#: Blocks of the labelled table in a leaf of the tree, at least, and its depth.
+LEAST_IN_LEAF = 4
+DEPTH = 9
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, least: int = LEAST_IN_LEAF) -> Node:
+    """A CART: the split that leaves the least Gini impurity, again and again; of equals the first in FEATURES."""
     node = Node(label=bool(2 * y.sum() >= len(y)))
     if depth == 0 or y.all() or not y.any():
         return node
     best = (_gini(y) - 1e-9, -1, 0.0)
-    for f in (FEATURES.index(n) for n in ("furniture", "main", "page_has_main", "links", "words", "heading", "listed", "words_before", "words_after", "links_before", "links_after")):
+    for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for limit in (values[1:] + values[:-1]) / 2:
             low = x[:, f] < limit
@@ -222,16 +271,20 @@ def decide(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def examples(pages: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of labelled pages."""
+    return np.vstack([table(*blocks(page)) for _, page, _ in pages]), np.array([c == "+" for _, _, marks in pages for c in marks])
+
+
 @functools.cache
 def trained() -> Node:
-    found = [blocks(page) for page, _ in LABELLED]
-    return grow(np.vstack([table(b) for b in found]), np.array([c == "+" for _, marks in LABELLED for c in marks]))
+    return grow(*examples(labelled()))
 
 
 def main_text(page: str | None) -> str:
     """The article's text of a page."""
-    found = blocks(page)
-    return "\n".join(b.text for b, keep in zip(found, decide(trained(), table(found)), strict=True) if keep) if found else ""
+    found, parents = blocks(page)
+    return "\n".join(b.text for b, keep in zip(found, decide(trained(), table(found, parents)), strict=True) if keep) if found else ""
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
