@@ -9,33 +9,43 @@ its paragraphs' digests, and the root that of its sections' digests: equal
 texts have equal roots, and comparing two trees from the root down finds the
 branches that differ.
 
-The fingerprint as text is ``root:phrases``, 8 hexadecimal digits a phrase,
-paragraphs ended by ``.`` and sections by ``/``. Likeness of two fingerprints
-is 2 * common / (all phrases of both), counted with repetition.
+The fingerprint as text holds all levels: ``root:``, then for each section the
+first 12 hexadecimal digits of its digest, ``=``, its paragraphs and ``/``; a
+paragraph is 12 digits, ``-``, 8 digits a phrase and ``.``. Two fingerprints
+are compared from the top: equal roots end it, sections that both have are
+common as a whole, then paragraphs of what is left, then phrases of what is
+still left, each counted with repetition. Likeness is 2 * common phrases /
+(all phrases of both); :func:`differing` names the branches without an equal.
 
 Defined results: null text counts as empty; two empty texts are alike (1.0),
 an empty and another are not (0.0). Documents of one id follow by their text;
-a single document is its own successor; rows without id come first. An empty
-table gives an empty result. Other columns of the input are left out.
+a single document is its own successor; rows without id come first, by a hash
+of their text. An empty table gives an empty result. Other columns of the
+input are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.columns import SEGMENT, U64, hash_spans, segments, spans
+from quillmask.llm.tables import Scratch
 
 #: A word ends a phrase if its hash is a multiple of this.
 PHRASE_WORDS = 6
 ROWS_PER_GROUP = 1500
-COARSE_GROUPS = 256
+#: Groups of documents with ids at most; beyond, they have more rows.
+MOST_GROUPS = 1 << 16
+#: Upper bits of a text's hash that group the documents without id.
+HASH_BITS = 10
 
 
 def _phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,40 +96,82 @@ class Tree:
     def text(self) -> str:
         digits = (self.phrases >> U64(32)).astype(">u4").tobytes().hex()
         at = [0, *(8 * np.searchsorted(self.phrase_ends, self.paragraph_ends, "right")).tolist()]
-        sections, out = set(self.section_ends), [self.root, ":"]
-        for i, b in enumerate(self.paragraph_ends):
-            out += [digits[at[i] : at[i + 1]], "/" if b in sections else "."]
+        out, k = [self.root, ":"], 0
+        for section, end in zip(self.sections, self.section_ends, strict=True):
+            out += [section.hex()[:SHORT], "="]
+            while k < len(self.paragraph_ends) and self.paragraph_ends[k] <= end:
+                out += [self.paragraphs[k].hex()[:SHORT], "-", digits[at[k] : at[k + 1]], "."]
+                k += 1
+            out.append("/")
         return "".join(out)
 
+    def ranges(self, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The byte ranges of paragraphs given by section and place in it."""
+        before = [0, *np.searchsorted(self.paragraph_ends, self.section_ends, "right").tolist()]
+        ends = [0, *self.paragraph_ends]
+        return [(ends[before[i] + k], ends[before[i] + k + 1]) for i, k in places]
+
+
+#: Hexadecimal digits of a section's or a paragraph's digest in a fingerprint.
+SHORT = 12
+
 
 def fingerprint(text: str | None) -> str:
     return Tree(text or "").text()
 
 
-def likeness(a: str, b: str) -> float:
-    """Likeness of two fingerprints, from 0 to 1."""
-    if a == b:
-        return 1.0
-    x, y = (_leaves(f) for f in (a, b))
-    return 2.0 * sum((x & y).values()) / max(x.total() + y.total(), 1)
+def _sections(fingerprint: str) -> list[str]:
+    return fingerprint[65:].split("/")[:-1]
 
 
-def _leaves(text: str) -> Counter:
-    digits = text[65:].replace(".", "").replace("/", "")
-    return Counter(digits[i : i + 8] for i in range(0, len(digits), 8))
+def _paragraphs(sections: Iterable[str]) -> list[str]:
+    return [p for s in sections for p in s[SHORT + 1 :].split(".")[:-1]]
 
 
-def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Byte ranges of ``a``, by paragraph, whose branch has no equal in ``b``; sections in common are not entered."""
-    if a.root == b.root:
+def _without(parts: list[str], common: Counter) -> list[str]:
+    """The parts that are left when ``common`` is taken out."""
+    spare, out = common.copy(), []
+    for p in parts:
+        if spare[p] > 0:
+            spare[p] -= 1
+        else:
+            out.append(p)
+    return out
+
+
+def likeness(a: str, b: str) -> float:
+    """Likeness of two fingerprints, from 0 to 1: their trees are compared from the root down."""
+    if a[:64] == b[:64]:
+        return 1.0
+    x, y = _sections(a), _sections(b)
+    phrases = lambda parts: sum(len(p) - SHORT - 1 for p in parts) // 8
+    total = phrases(_paragraphs(x)) + phrases(_paragraphs(y))
+    both = Counter(x) & Counter(y)
+    common = phrases(_paragraphs(both.elements()))
+    x, y = (_paragraphs(_without(v, both)) for v in (x, y))
+    both = Counter(x) & Counter(y)
+    common += phrases(both.elements())
+    x, y = (Counter(p[i : i + 8] for p in _without(v, both) for i in range(SHORT + 1, len(p), 8)) for v in (x, y))
+    return 2.0 * (common + (x & y).total()) / max(total, 1)
+
+
+def differing(a: str, b: str) -> list[tuple[int, int]]:
+    """The paragraphs of fingerprint ``a``, by section and place in it, without an equal in ``b``; equal branches are not entered."""
+    if a[:64] == b[:64]:
         return []
-    sections, paragraphs = set(b.sections), set(b.paragraphs)
-    out, at, k = [], 0, 0
-    for digest, end in zip(a.sections, a.section_ends, strict=True):
-        while k < len(a.paragraph_ends) and a.paragraph_ends[k] <= end:
-            if digest not in sections and a.paragraphs[k] not in paragraphs:
-                out.append((at, a.paragraph_ends[k]))
-            at, k = a.paragraph_ends[k], k + 1
+    theirs = _sections(b)
+    sections, paragraphs = Counter(theirs), Counter(p[:SHORT] for p in _paragraphs(theirs))
+    mine, out = _sections(a), []
+    for s in (Counter(mine) & sections).elements():
+        paragraphs.subtract(p[:SHORT] for p in _paragraphs([s]))
+    for i, s in enumerate(mine):
+        if sections[s] > 0:
+            sections[s] -= 1
+            continue
+        for k, p in enumerate(_paragraphs([s])):
+            paragraphs[p[:SHORT]] -= 1
+            if paragraphs[p[:SHORT]] < 0:
+                out.append((i, k))
     return out
 
 
@@ -129,28 +181,24 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def id_groups(docs: DataFrame, rows_per_group: int = ROWS_PER_GROUP) -> Column:
-    """A number that never falls as doc_id grows, for about ``rows_per_group`` rows each.
+def id_groups(docs: DataFrame, scratch: Scratch, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """The documents with ``ord`` (the id, or a hash of the text where there is none) and ``grp``.
 
-    At most 256 quantiles split the ids coarsely; between two of them ids are split evenly.
+    ``grp`` never falls from one document to the next, and has about
+    ``rows_per_group`` rows: quantiles of the ids cut it, at most MOST_GROUPS
+    of them whatever the input. Rows without id are cut by their hash.
     """
     n = docs.count()
-    wanted = max(1, n // rows_per_group)
-    coarse = min(COARSE_GROUPS, wanted)
-    found = docs.approxQuantile("doc_id", [i / coarse for i in range(coarse + 1)], 0.5 / coarse) if n else []
-    cuts = sorted({int(x) for x in found}) or [0]
-    fine = max(1, wanted // coarse)
-    doc_id = F.col("doc_id")
+    wanted = min(MOST_GROUPS, max(1, n // rows_per_group))
+    found = docs.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.25 / wanted) if wanted > 1 else []
+    cuts = scratch.broadcast(np.array(sorted({int(x) for x in found}), np.int64))
 
-    def pick(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            a, b = cuts[lo], cuts[hi] if hi < len(cuts) else cuts[lo] + 1
-            inside = F.floor((doc_id - a).cast("double") * fine / max(b - a, 1))
-            return F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1)) + lo * fine
-        mid = (lo + hi) // 2
-        return F.when(doc_id < cuts[mid], pick(lo, mid)).otherwise(pick(mid, hi))
+    @F.pandas_udf("long")
+    def group(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, ids.to_numpy(np.int64), "right"))
 
-    return F.when(doc_id.isNull(), -1).otherwise(pick(0, len(cuts))).cast("long")
+    docs = docs.withColumn("ord", F.coalesce("doc_id", F.xxhash64("text")))
+    return docs.withColumn("grp", F.when(F.col("doc_id").isNull(), F.shiftright("ord", 64 - HASH_BITS) - (1 << HASH_BITS)).otherwise(group("ord")))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -163,14 +211,15 @@ def fingerprint_documents(docs: DataFrame, rows_per_group: int = ROWS_PER_GROUP)
     group also goes to the group before, so each knows its successor.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = rows.withColumn("grp", id_groups(rows.select("doc_id"), rows_per_group))
-    firsts = sorted((r["grp"], r["first"]) for r in grouped.groupBy("grp").agg(F.min("doc_id").alias("first")).collect())
-    # a row per group, thus bounded by the number of groups
+    scratch = Scratch(docs.sparkSession)
+    grouped = id_groups(rows, scratch, rows_per_group)
+    # a row per group: at most MOST_GROUPS and 2 ** HASH_BITS, so bounded
+    firsts = sorted((r["grp"], r["first"]) for r in grouped.groupBy("grp").agg(F.min("ord").alias("first")).collect())
     order = [g for g, _ in firsts]
     heads = {g: order[i - 1] for i, g in enumerate(order)}
-    table = docs.sparkSession.createDataFrame([(first, g, heads[g]) for g, first in firsts] or [(None, None, None)], "first long, of long, before long").filter("before IS NOT NULL")
-    copies = grouped.join(F.broadcast(table), grouped["doc_id"].eqNullSafe(table["first"]) & (grouped["grp"] == table["of"])).select("doc_id", "text", F.col("before").alias("grp"), F.lit(1).alias("after"))
-    dealt = grouped.select("doc_id", "text", "grp", F.lit(0).alias("after")).unionByName(copies)
+    table = docs.sparkSession.createDataFrame([(g, first, heads[g]) for g, first in firsts], "grp long, ord long, before long")
+    copies = grouped.join(F.broadcast(table), ["grp", "ord"]).select("doc_id", "text", F.col("before").alias("grp"), F.lit(1).alias("after"), "ord")
+    dealt = grouped.select("doc_id", "text", "grp", F.lit(0).alias("after"), "ord").unionByName(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -192,7 +241,7 @@ def fingerprint_documents(docs: DataFrame, rows_per_group: int = ROWS_PER_GROUP)
         if out:
             yield _rows(out)
 
-    spread = dealt.repartition("grp").sortWithinPartitions("grp", "after", "doc_id", "text")
+    spread = dealt.repartition("grp").sortWithinPartitions("grp", "after", "ord", "text")
     return spread.mapInArrow(run, SCHEMA)
 
 

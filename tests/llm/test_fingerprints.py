@@ -1,5 +1,7 @@
 import hashlib
+from collections import Counter
 
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -27,11 +29,32 @@ def test_levels_join_up(text):
 def test_branches_locate_edits():
     a = fp.Tree("one two\nthree four\n\nfive six\nseven")
     b = fp.Tree("one two\nthree four\n\nfive SIX\nseven")
-    assert [a_ for a_ in fp.differing(a, b)] == [(20, 29)] and fp.differing(a, a) == []
+    places = fp.differing(a.text(), b.text())
+    assert places == [(1, 0)] and a.ranges(places) == [(20, 29)] and fp.differing(a.text(), a.text()) == []
+
+
+def leaves(text):
+    return Counter(int(h >> 32) for h in fp.Tree(text).phrases.tolist())
+
+
+@given(TEXT, TEXT)
+def test_likeness_equals_phrases_in_common(a, b):
+    """What sections and paragraphs have in common from the top down, their phrases have as well."""
+    x, y = leaves(a), leaves(b)
+    want = 1.0 if a == b else 2 * (x & y).total() / max(x.total() + y.total(), 1)
+    assert abs(fp.likeness(fp.fingerprint(a), fp.fingerprint(b)) - want) < 1e-12
+
+
+@given(TEXT, TEXT)
+def test_differing_branches_are_the_paragraphs_without_an_equal(a, b):
+    x, y = (Counter(t.splitlines(keepends=True)) if "\n" in t or t else Counter() for t in (a, b))
+    tree = fp.Tree(a)
+    found = tree.ranges(fp.differing(tree.text(), fp.fingerprint(b)))
+    assert Counter(a.encode()[i:j].decode() for i, j in found) <= x and sum(j > i for i, j in found) == (x - y).total()
 
 
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, xxhash.xxh64(r[1], seed=42).intdigest() + 2**63 & 2**64 - 1 if r[0] is None else r[0], r[1]))
     out = []
     for k, (i, t) in enumerate(rows):
         n = rows[(k + 1) % len(rows)][1]
@@ -48,8 +71,8 @@ def test_query_equals_brute_force(spark):
 
 
 def test_many_groups_and_odd_rows(spark):
-    rows = [(i * 7 % 90, f"text {i}\nof line " * (i % 5)) for i in range(90)] + [(5, None), (5, "x"), (5, "x"), (None, "no id"), (None, ""), (10**12, "far")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS grp", "2 AS first")
+    rows = [(i * 7 % 90, f"text {i}\nof line " * (i % 5)) for i in range(90)] + [(5, None), (5, "x"), (5, "x"), (None, "no id"), (None, ""), (None, "a"), (None, "b"), (None, "b"), (10**12, "far")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS grp", "2 AS first", "3 AS ord")
     for size in (1, 3, 1000):
         assert sorted((tuple(r) for r in fp.fingerprint_documents(df, size).collect()), key=str) == brute(rows)
     assert fp.fingerprint_documents(df.limit(0)).collect() == []
