@@ -11,10 +11,11 @@ their first character, and one more where such backslashes stand already, so
 template itself then holds a bare control string. In a role, backslash and
 line feed are escaped too.
 
-A conversation's turns come one after another in one partition, by turn, then
-role, then text, and are handled as a stream, so a conversation of any length
-needs the memory of one batch. Its formatted text is the concatenation of its
-rows' ``formatted``.
+Turns are formatted where they stand, without a shuffle, so no conversation is
+too long for it. A conversation's formatted text is the concatenation of its
+rows' ``formatted`` by turn, then role, then these bytes. Only reading back,
+which gives one digest of each conversation, brings its turns together, and
+handles them as a stream in the memory of one batch.
 
 Defined results: null text and null role count as empty; repeated rows and
 turns with one number are turns of their own; turns without a number come
@@ -80,7 +81,7 @@ def assemble(roles: list[str], contents: list[str]) -> tuple[np.ndarray, np.ndar
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, turn, role, its formatted bytes and where in them the loss counts (assistant texts)."""
+    """One row per turn: conv_id, turn, role (null: empty), its formatted bytes and where in them the loss counts (assistant texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -97,8 +98,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 )
 
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
-    dealt = turns.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, TURN_SCHEMA)
+    return turns.select(*cols).mapInArrow(run, TURN_SCHEMA)
 
 
 def parse_turn(formatted: bytes) -> tuple[str, str]:
@@ -112,7 +112,7 @@ DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars lon
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, from the output of :func:`format_turns` alone and in its order."""
+    """One row per conversation, from the output of :func:`format_turns` alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -139,7 +139,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if done:
             yield _batch(done)
 
-    return formatted.mapInArrow(run, DIGEST_SCHEMA)
+    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    return dealt.mapInArrow(run, DIGEST_SCHEMA)
 
 
 def _row(key: int | None, state: list) -> tuple:

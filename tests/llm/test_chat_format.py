@@ -27,22 +27,26 @@ def test_assembled_turns_parse_back(turns):
         assert data[start[i] : start[i] + length[i]].decode() == cf.escape(text)
 
 
+def formatted(role, text):
+    return f"{cf.START}{cf.escape_role(role or '')}\n{cf.escape(text or '')}{cf.END}\n"
+
+
 def brute(rows):
     convs = defaultdict(list)
     for r in rows:
         convs[r[0]].append(r)
     out = {}
     for k, turns in convs.items():
-        turns.sort(key=lambda r: tuple((x is not None, x) for x in r[1:]))
+        turns.sort(key=lambda r: (r[1] is not None, r[1], r[2] or "", formatted(*r[2:]).encode()))
         said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
         loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
-        out[k] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        out[k] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(formatted(*r[2:])) for r in turns))
     return out
 
 
 def check(got, rows):
     want = brute(rows)
-    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in got} == want
     assert len(got) == len(want)
 
 
