@@ -7,7 +7,7 @@ one 1, 2 or 4 places before, and a run in capitals. Counts are scaled to
 length 1. The score is the logistic function of a sparse dot product.
 
 Training takes a bounded sample of the labelled documents (``rows`` of them,
-by a hash of the id; texts beyond ``max_bytes`` are left out of it). Executors
+by a hash of the id; their texts are taken whole). Executors
 turn these into features; the driver, which gets no more than that, runs the
 updates. Scoring reads every text as a whole.
 
@@ -32,7 +32,6 @@ from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, hash_spans, m
 
 BITS = 18
 TRAIN_ROWS = 6000
-MAX_TRAIN_BYTES = 200_000
 PASSES = 4
 #: Classes of bytes: letters, digits and all beyond ASCII; signs; 0 for white space and controls.
 KINDS = np.zeros(256, np.uint8)
@@ -102,12 +101,12 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = PAS
     return Model(every[:-1].astype(np.float32), float(every[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """A model from at most ``rows`` labelled documents (doc_id, text; doc_id, ``label``), none of them held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     chosen = known.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(order, "doc_id", "label").limit(rows).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
