@@ -35,7 +35,9 @@ from quillmask.llm.columns import blocks, buffers
 
 BATCH_BYTES = 4 << 20
 PART_BYTES = 4 << 20
+#: Distinct words whose counts a task remembers, and their characters together.
 MEMO_WORDS = 400_000
+MEMO_CHARS = 16 << 20
 JOINED_WORDS = 64
 #: Signs that end a word; after an ASCII letter or digit the splitter always cuts before them.
 _TRAIL = ".,!?;:%&*$#|"
@@ -47,6 +49,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.memo: dict[str, int] = {}
+        self.memo_chars = 0
         if path.endswith(".model"):
             import sentencepiece
 
@@ -95,8 +98,9 @@ class Counter:
 
     def _known(self, words: pa.Array) -> np.ndarray:
         """Tokens of distinct words: those of the core and those of the signs that end it."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.memo_chars > MEMO_CHARS:
             self.memo.clear()
+            self.memo_chars = 0
         low = pc.if_else(pc.match_substring(words, "<"), words, pc.ascii_lower(words))
         core = pc.utf8_rtrim(low, characters=_TRAIL)
         safe = pc.and_(pc.match_substring_regex(core, "[a-z0-9]$"), pc.invert(pc.match_substring(words, "<")))
@@ -111,6 +115,7 @@ class Counter:
     def _memoized(self, words: list[str]) -> np.ndarray:
         memo = self.memo
         new = list({w for w in words if w not in memo})
+        self.memo_chars += sum(map(len, new))
         plain = [w for w in new if w.isalpha()]
         texts = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
         odd = [w for w in new if not w.isalpha()]
