@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.llm.columns import frugal
+
 START, END = "<|start|>", "<|end|>"
 #: Strings that chat templates and tokenizers give a meaning of their own.
 CONTROLS = (START, END, "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>")
@@ -98,7 +100,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 )
 
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
-    return turns.select(*cols).mapInArrow(run, TURN_SCHEMA)
+    return turns.select(*cols).mapInArrow(frugal(run), TURN_SCHEMA)
 
 
 def parse_turn(formatted: bytes) -> tuple[str, str]:
@@ -140,7 +142,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield _batch(done)
 
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return dealt.mapInArrow(run, DIGEST_SCHEMA)
+    return dealt.mapInArrow(frugal(run), DIGEST_SCHEMA)
 
 
 def _row(key: int | None, state: list) -> tuple:

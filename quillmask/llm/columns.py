@@ -7,13 +7,15 @@ once; a very long text goes in segments that end at white space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SEGMENT = 1 << 20
 BLOCK_BYTES = 1 << 19
 IS_SPACE = np.zeros(256, bool)
@@ -29,6 +31,25 @@ STEP_KEYS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, which allocators keep otherwise: a worker waits for its next task with as little as it can."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases memory when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """base ** 0, base ** 1, ... modulo 2 ** 64, kept for the next call."""
     have = _powers.get(name)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.columns import SEGMENT, U64, hash_spans, segments, spans
+from quillmask.llm.columns import SEGMENT, U64, frugal, hash_spans, segments, spans
 from quillmask.llm.tables import Scratch
 
 #: A word ends a phrase if its hash is a multiple of this.
@@ -242,7 +242,7 @@ def fingerprint_documents(docs: DataFrame, rows_per_group: int = ROWS_PER_GROUP)
             yield _rows(out)
 
     spread = dealt.repartition("grp").sortWithinPartitions("grp", "after", "ord", "text")
-    return spread.mapInArrow(run, SCHEMA)
+    return spread.mapInArrow(frugal(run), SCHEMA)
 
 
 def _finish(held: tuple, now: tuple, out: list[tuple]) -> tuple[tuple, tuple]:

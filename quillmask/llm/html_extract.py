@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillmask.llm.columns import frugal
 from quillmask.llm.labelled_pages import labelled
 
 _MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
@@ -300,4 +301,4 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
                 texts = [main_text(x.as_py()) for x in batch.column(batch.schema.get_field_index(html))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, into])
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(frugal(run), schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.columns import blocks, shingle_table
+from quillmask.llm.columns import blocks, frugal, shingle_table
 from quillmask.llm.set_index import DEN, HOT_SETS, LEAST_SIZE, NUM, PART_POSTINGS, THRESHOLD, Rarity, TokenCounters, bit_names, bit_patterns, block_pairs, candidates, compatible, signatures, summed, within_bits
 from quillmask.llm.tables import Scratch, components, may_hold
 
@@ -72,7 +72,7 @@ def survey(docs: DataFrame, sets_of: SetsOf = shingle_table) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(signatures(offsets, tokens)), pa.array(np.diff(offsets)), *bits, pa.nulls(n, pa.binary())], names)
         yield tallies(counters, names)
 
-    return docs.mapInArrow(run, SURVEY_SCHEMA)
+    return docs.mapInArrow(frugal(run), SURVEY_SCHEMA)
 
 
 def tallies(counters: TokenCounters, names: list[str]) -> pa.RecordBatch:
@@ -129,7 +129,8 @@ def verified(pairs: DataFrame, texts: DataFrame, sets_of: SetsOf = shingle_table
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / centre_sets).cast("int").alias("salts"))
     members = pairs.join(counts, "b").select(F.col("a").alias("sig"), "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = counts.select(F.col("b").alias("sig"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    asked = members.unionByName(centres).join(texts, "sig").select("b", "salt", "role", "sig", "text")
+    # by a shuffle at every size
+    asked = members.unionByName(centres).join(texts.hint("merge"), "sig").select("b", "salt", "role", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, centre = None, np.zeros(0, np.uint64)
@@ -150,7 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sets_of: SetsOf = shingle_table
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["a", "b", "n", "m", "both"])
 
     dealt = asked.repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
-    return dealt.mapInArrow(run, VERIFIED_SCHEMA)
+    return dealt.mapInArrow(frugal(run), VERIFIED_SCHEMA)
 
 
 #: Whether the Jaccard similarity of a verified pair reaches the threshold, and its Jaccard distance.
@@ -177,7 +178,9 @@ def similarity_components(pairs: DataFrame, groups: DataFrame, texts: DataFrame,
 
     def verify(asked: DataFrame, name: str) -> DataFrame:
         wanted = asked.select(F.explode(F.array("a", "b")).alias("sig"))
-        return scratch.written(verified(asked, texts.filter(may_hold(wanted, "sig", scratch)(F.col("sig")))), name)
+        found = scratch.written(verified(asked, texts.filter(may_hold(wanted, "sig", scratch)(F.col("sig")))), name)
+        scratch.release()
+        return found
 
     def apart(rows: DataFrame, a: str, b: str) -> DataFrame:
         """The rows whose sets are in different components."""
@@ -244,14 +247,14 @@ def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PAR
     """For every row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    surveyed = scratch.written(survey(docs), "survey")
+    surveyed = scratch.written(survey(docs), "survey", wide=True)
     sets = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "sig", "n", *bit_names(LONGS))
     named = docs.filter("doc_id IS NOT NULL")
-    lists = scratch.written(candidates(blocks_of(shingle_table), named, postings_total(sets), rarity_of(surveyed), scratch, hot, per_part), "lists")
+    lists = scratch.written(candidates(blocks_of(shingle_table), named, postings_total(sets), rarity_of(surveyed), scratch, hot, per_part), "lists", wide=True)
     in_lists = listed(lists, scratch)
     # of the sets in lists: their size, bit pattern and least document
     known = sets.filter("doc_id IS NOT NULL AND n > 0").filter(in_lists(F.col("sig"))).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in bit_names(LONGS)))
-    known = scratch.written(known, "known")
+    known = scratch.written(known, "known", wide=True)
     pairs, groups = pairs_and_groups(lists)
     for side, size in (("a", "n"), ("b", "m")):
         pairs = pairs.join(known.select(F.col("sig").alias(side), F.col("n").alias(size), *(F.col(b).alias(f"{side}_{b}") for b in bit_names(LONGS))), side)
@@ -259,15 +262,15 @@ def jaccard_components(docs: DataFrame, hot: int = HOT_SETS, per_part: int = PAR
     groups = scratch.written(groups.join(known.select(F.col("sig").alias("id"), *bit_names(LONGS)), "id"), "groups")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(groups.select("id")).distinct()
     asked = scratch.written(asked.join(known.select("sig", "doc_id"), "sig"), "wanted")
-    texts = scratch.written(asked.join(named.filter(may_hold(asked, "doc_id", scratch)(F.col("doc_id"))), "doc_id").select("sig", "text"), "texts")
+    texts = scratch.written(asked.hint("merge").join(named.filter(may_hold(asked, "doc_id", scratch)(F.col("doc_id"))), "doc_id").select("sig", "text"), "texts", wide=True)
     scratch.release()
     scratch.drop(lists, known, asked)
     roots = similarity_components(pairs, groups, texts, scratch)
     # the least document of each set that is linked or has copies
     classes = sets.filter("doc_id IS NOT NULL AND n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     placed = classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    placed = scratch.written(placed, "classes")
+    placed = scratch.written(placed, "classes", wide=True)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = placed.select("sig", "root").join(least, "root").select("sig", "component_id")
     found = sets.select("doc_id", "sig", "n").join(of_class, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return scratch.close(scratch.written(found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))), "components"))
+    return scratch.close(scratch.written(found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))), "components", wide=True))

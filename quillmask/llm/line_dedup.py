@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmask.llm.columns import blocks, buffers, shingle_table
+from quillmask.llm.columns import blocks, buffers, frugal, shingle_table
 from quillmask.llm.jaccard_join import LINK, best_of, filled, listed, pairs_and_groups, postings_total, rarity_of, tallies, verified
 from quillmask.llm.set_index import HOT_SETS, PART_POSTINGS, TokenCounters, bit_names, bit_patterns, block_pairs, candidates, compatible, signatures, within_bits
 from quillmask.llm.tables import Scratch, may_hold
@@ -85,7 +85,7 @@ def survey(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(pa.array(v, pa.int64()) for v in numbers), pa.nulls(n, pa.binary())], names)
         yield tallies(counters, names)
 
-    return docs.mapInArrow(run, SURVEY_SCHEMA)
+    return docs.mapInArrow(frugal(run), SURVEY_SCHEMA)
 
 
 def texts_of(asked: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -105,12 +105,12 @@ def texts_of(asked: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
                 at = first + flat.field("line").to_numpy()
                 yield pa.RecordBatch.from_arrays([flat.field("sig"), lines.take(pa.array(at))], ["sig", "text"])
 
-    return scratch.written(found.mapInArrow(run, "sig long, text string"), "texts")
+    return scratch.written(found.mapInArrow(frugal(run), "sig long, text string"), "texts", wide=True)
 
 
 def matched_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, hot: int = HOT_SETS, per_part: int = PART_POSTINGS) -> DataFrame:
     """(doc_id, key, line) of every line with an earlier match, in docs (doc_id, key, text) with ids."""
-    surveyed = scratch.written(survey(docs, min_words), "lines")
+    surveyed = scratch.written(survey(docs, min_words), "lines", wide=True)
     lines = surveyed.filter("kind = 0").select(F.col("a").alias("doc_id"), "key", "line", "sig", "n", *bit_names(LONGS))
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,11 +121,11 @@ def matched_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS,
                 if len(tokens):
                     yield signatures(offsets, tokens), offsets, tokens
 
-    lists = scratch.written(candidates(blocks_of, docs.select("text"), postings_total(lines), rarity_of(surveyed), scratch, hot, per_part), "lists")
+    lists = scratch.written(candidates(blocks_of, docs.select("text"), postings_total(lines), rarity_of(surveyed), scratch, hot, per_part), "lists", wide=True)
     in_lists = listed(lists, scratch)
     # sets that have copies or are in lists
     classes = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in bit_names(LONGS)))
-    classes = scratch.written(classes.withColumn("listed", in_lists(F.col("sig"))).filter("copies > 1 OR listed"), "classes")
+    classes = scratch.written(classes.withColumn("listed", in_lists(F.col("sig"))).filter("copies > 1 OR listed"), "classes", wide=True)
     known = classes.filter("listed")
     pairs, groups = pairs_and_groups(lists)
     for side, size in (("a", "n"), ("b", "m")):
@@ -148,7 +148,9 @@ def matched_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS,
 
     def verify(asked: DataFrame, name: str) -> DataFrame:
         wanted = asked.select(F.explode(F.array("a", "b")).alias("sig"))
-        return scratch.written(verified(asked, lines_asked.filter(may_hold(wanted, "sig", scratch)(F.col("sig")))), name)
+        found = scratch.written(verified(asked, lines_asked.filter(may_hold(wanted, "sig", scratch)(F.col("sig")))), name)
+        scratch.release()
+        return found
 
     gone, known_pairs = None, None
     left, open_ = members, pairs
@@ -207,7 +209,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SETS
     identity = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
     plain = docs.select(identity[0].alias("doc_id"), identity[1].alias("key"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     matched = matched_lines(plain, scratch, min_words, hot, per_part)
-    gone = scratch.written(matched.groupBy(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).agg(F.collect_list("line").alias("_gone_lines")), "removed")
+    gone = scratch.written(matched.groupBy(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).agg(F.collect_list("line").alias("_gone_lines")), "removed", wide=True)
     scratch.close(gone)
     # documents that lose nothing pass by; the others are joined with their lines
     loses = may_hold(gone, "_gone_key", scratch)(identity[1]) & identity[0].isNotNull() & F.col("text").isNotNull()
@@ -225,4 +227,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT_SETS
                 columns[at] = left
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, removed_col])
 
-    return stay.unionByName(marked.mapInArrow(run, schema))
+    return stay.unionByName(marked.mapInArrow(frugal(run), schema))

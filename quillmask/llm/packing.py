@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.llm.columns import frugal
+
 SIZE = 2048
 END_ID = 1
 CHUNK_TOKENS = 400_000
@@ -225,7 +227,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", size: int = SIZE, end_i
         if pieces:
             yield _rows(pieces)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(frugal(run), SCHEMA)
 
 
 def _rows(pieces: list[tuple]) -> pa.RecordBatch:

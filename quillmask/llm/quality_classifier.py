@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, hash_spans, mix, segments, spans
+from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, frugal, hash_spans, mix, release_memory, segments, spans
 
 BITS = 18
 TRAIN_ROWS = 6000
@@ -114,8 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 found = [(at.astype(np.int32).tobytes(), value.astype(np.float32).tobytes()) for at, value in features(column)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([a for a, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["doc_id", "label", "at", "value"])
 
-    got = texts.mapInArrow(run, "doc_id long, label int, at binary, value binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train_ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in got])
+    got = texts.mapInArrow(frugal(run), "doc_id long, label int, at binary, value binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    model = train_ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in got])
+    del got
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
@@ -129,4 +132,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
                 sums = np.array([weights[at] @ value for at, value in features(column)], np.float64) + bias
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], [*part.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))

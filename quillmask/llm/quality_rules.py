@@ -3,9 +3,12 @@
 Every rule is a Boolean column that is true where a document must go. The
 cascade is one nested CASE, so a document is tested by later rules only if the
 earlier ones let it pass. The order of the rules comes from a bounded sample:
-each rule's share of rejected rows (selectivity) and its run time (cost) are
-measured, and rules go by falling rejection per cost. As a document is kept
-only if no rule rejects it, the order changes the work and never the verdict.
+each rule's share of rejected rows (selectivity) and its run time (cost: the
+least time of several runs over the repeated sample, less that of an empty
+run, as a power of two) are measured, and rules go by falling rejection per
+cost, of equals by name. As a document is kept only if no rule rejects it, the
+order changes the work and never the verdict. The base measures are results of
+their own, so they are taken of every document; a rule's cost is what it adds.
 
 Defined results: null text counts as empty (no words, base_failed true, kept
 false); an empty table gives an empty result; repeated rows are judged one by
@@ -15,6 +18,7 @@ names start with ``q_``).
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
@@ -26,9 +30,15 @@ SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Rows of the sample on which cost and selectivity are estimated, and the longest text in it.
+#: Rows of the sample on which cost and selectivity are estimated, the longest text in it, and the share of rows it is thinned to.
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 100_000
+SAMPLE_CHARS = 20_000
+SAMPLE_SHARE = 0.05
+#: How often a run goes over the sample, and how often a run is timed.
+REPEATS = 8
+RUNS = 3
+#: The least cost of a rule, in seconds a row.
+LEAST_COST = 1e-7
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -137,24 +147,43 @@ def rules(text: str = "text") -> dict[str, Column]:
     }
 
 
-def rule_order(docs: DataFrame, checks: dict[str, Column], sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[str]:
-    """Names of the rules by falling rejection per cost, measured on a sample of at most ``sample_rows`` rows.
+def sample_of(docs: DataFrame, rows: int, text: str) -> DataFrame:
+    """At most ``rows`` texts: every 20th or so of the partitions that are read for them, or the first where these are too few.
 
-    The sample is taken from the first partitions that have enough rows, so it costs the same at any size.
+    Partitions are read only until there are enough rows, so it costs the same
+    at any size. Texts over SAMPLE_CHARS are passed over: the sample only
+    steers the order of the rules.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)
-    taken = docs.select(body).filter(F.length(text) <= SAMPLE_CHARS).limit(sample_rows).toArrow()
-    sample = measure(docs.sparkSession.createDataFrame(taken), text).persist()
+    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).filter(F.length(text) <= SAMPLE_CHARS)
+    taken = texts.sample(SAMPLE_SHARE, seed=1).take(rows)
+    if len(taken) < rows:
+        taken = texts.take(rows)
+    return docs.sparkSession.createDataFrame([(r[0],) for r in taken], f"`{text}` string")
+
+
+def costs(sample: DataFrame, checks: dict[str, Column], clock: Callable[[], float] = time.perf_counter) -> dict[str, float]:
+    """Seconds a row of each rule over a measured sample, as powers of two."""
+    often = sample.withColumn("q_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+    def least(rule: Column) -> float:
+        took = []
+        for _ in range(RUNS):
+            began = clock()
+            often.agg(F.count_if(rule)).collect()
+            took.append(clock() - began)
+        return min(took)
+
+    empty, n = least(F.col("q_words") < 0), max(1, sample.count()) * REPEATS
+    return {name: 2.0 ** round(math.log2(max((least(rule) - empty) / n, LEAST_COST))) for name, rule in checks.items()}
+
+
+def rule_order(docs: DataFrame, checks: dict[str, Column], sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[str]:
+    """Names of the rules by falling rejection per cost, measured on a sample of at most ``sample_rows`` rows."""
+    sample = measure(sample_of(docs, sample_rows, text), text).persist()
     try:
-        n = sample.count()
-        if not n:
-            return list(checks)
-        score = {}
-        for name, rule in checks.items():
-            began = time.perf_counter()
-            hits = sample.agg(F.count_if(rule).alias("hits")).first()["hits"]
-            score[name] = (hits / n + 1e-6) / max(time.perf_counter() - began, 1e-6)
-        return sorted(checks, key=lambda k: (-score[k], k))
+        hits = sample.agg(*(F.count_if(rule).alias(name) for name, rule in checks.items())).first()
+        cost = costs(sample, checks)
+        return sorted(checks, key=lambda k: (-(hits[k] + 0.5) / cost[k], k))
     finally:
         sample.unpersist()
 

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, mix
+from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, frugal, mix
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -380,7 +380,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "pie
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, ids])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def decode_texts(encoded: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
@@ -399,4 +399,4 @@ def decode_texts(encoded: DataFrame, path: str, ids: str = "piece_ids", text: st
                 texts = pieces.decode(flat, np.concatenate([[0], np.cumsum(size)]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(frugal(run), schema)

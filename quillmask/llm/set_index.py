@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.columns import U64, by_row, mix
+from quillmask.llm.columns import U64, by_row, frugal, mix
 from quillmask.llm.tables import Scratch
 
 THRESHOLD = Fraction(3, 4)
@@ -155,7 +155,7 @@ def summed(chunks: DataFrame, n: int = COUNTERS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
     out = np.zeros(n, np.uint32)
-    for row in chunks.repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect():
+    for row in chunks.repartition("chunk").mapInArrow(frugal(run), "chunk int, counts binary").collect():
         out.reshape(CHUNKS, -1)[row["chunk"]] += np.minimum(np.frombuffer(row["counts"], np.uint64), 0x7FFFFFFF).astype(np.uint32)
     return out
 
@@ -313,8 +313,8 @@ def candidates(blocks_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np
         if held:
             yield from _lists(held, rarity_b.value, hot)
 
-    dealt = source.mapInArrow(emit, "part long, block binary").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(gather, LISTS_SCHEMA)
+    dealt = source.mapInArrow(frugal(emit), "part long, block binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(frugal(gather), LISTS_SCHEMA)
 
 
 def _lists(held: list[np.ndarray], rarity: Rarity, hot: int) -> Iterator[pa.RecordBatch]:
@@ -375,7 +375,7 @@ def block_pairs(entries: DataFrame, longs: int, block_sets: int = BLOCK_SETS) ->
         if held:
             yield from _meeting(np.concatenate(held, axis=1))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(frugal(run), "a long, b long")
 
 
 def _meeting(rows: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmask.llm.columns import release_memory
 from quillmask.session import shared_checkpoint_dir
 
 #: Spark removes the shuffle files of a finished query where this is set.
@@ -27,9 +28,14 @@ class Scratch:
         self.made = 0
         self.sent: list[Any] = []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows, written as Parquet and read again. The shuffle files behind them are removed, as nothing reads these again."""
+    def written(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+        """The rows, written as Parquet and read again. The shuffle files behind them are removed, as nothing reads these again.
+
+        A table that is not ``wide`` holds numbers only and goes into two files a core at most.
+        """
         self.made += 1
+        if not wide:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.root}/{name}-{self.made}"
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
@@ -47,10 +53,12 @@ class Scratch:
         return self.sent[-1]
 
     def release(self) -> None:
-        """Frees all broadcasts: what reads them has been written."""
+        """Frees all broadcasts, as what reads them has been written, and the memory of finished plans in the driver."""
         for b in self.sent:
             b.destroy()
         self.sent = []
+        release_memory()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes written tables that nothing will read again."""
@@ -68,7 +76,7 @@ class Scratch:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet to the shared checkpoint folder and read again: the lineage ends there."""
-    return Scratch(df.sparkSession).written(df, name)
+    return Scratch(df.sparkSession).written(df, name, wide=True)
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillmask.llm.columns import blocks, buffers
+from quillmask.llm.columns import blocks, buffers, frugal
 
 BATCH_BYTES = 4 << 20
 PART_BYTES = 4 << 20
@@ -185,4 +185,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", bytes_col: str
                 names = [f.name for f in rows.schema if f.name != text]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets)), pa.array(counter.counts(column))], [*names, bytes_col, tokens_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
