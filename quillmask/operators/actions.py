@@ -196,3 +196,13 @@ def redaction_manifest(screen: DataFrame, dictionary: DataFrame, opaque: DataFra
         F.coalesce("masked_elements", none).alias("masked_elements"), F.size(F.coalesce("masked_elements", none)).alias("masked_element_count"), regions.alias("opaque_regions"),
     )
     return out.withColumn("json", F.to_json(F.struct(*[c for c in out.columns if c != key])))
+
+
+def payload_json(payload: Column) -> Column:
+    """A payload as it is sent: null fields are left out."""
+    return F.to_json(payload, {"ignoreNullFields": "true"})
+
+
+def unused_tokens(legend: Column, shown: Column) -> Column:
+    """Tokens of a legend (a map) that a text does not hold."""
+    return F.array_except(F.map_keys(legend), tokens_in(shown))

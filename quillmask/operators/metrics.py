@@ -67,6 +67,22 @@ def run_table(steps: DataFrame) -> DataFrame:
     )
 
 
+def detections_by_type(rows: DataFrame, spans: str = "spans", most: int = 8) -> DataFrame:
+    """The most frequent types of detections (type, n), by falling number, then by name: a report of at most ``most`` rows."""
+    return counts_desc(rows.select(F.explode(spans).alias("s")).select("s.type"), "type").limit(most)
+
+
+def counts_desc(rows: DataFrame, column: str) -> DataFrame:
+    """How many rows have each value, by falling number, then by value."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+
+
+def step_deltas(steps: DataFrame, columns: tuple[str, ...] = ("bytes", "tokens_est")) -> DataFrame:
+    """The steps with the change of each column since the step before of its run (``d_...``, null at the first)."""
+    w = Window.partitionBy("run_id").orderBy("step")
+    return steps.withColumns({f"d_{c}": F.col(c) - F.lag(c).over(w) for c in columns})
+
+
 def outcome_histogram(steps: DataFrame) -> DataFrame:
     return steps.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmask.functions import geometry
+from quillmask.functions import geometry, patterns, spans
 from quillmask.functions.ner import to_spans
 from quillmask.functions.patterns import BY_NAME, rule_spans
 from quillmask.operators import actions, change, dictionary, gate, images, metrics, scoring, screen
@@ -305,10 +305,17 @@ def a09_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.micro_macro(scoring.score_sites(run(spark, sf_dir, SITE_MASKED), run(spark, sf_dir, SITE_TRUE), run(spark, sf_dir, SITE_BENIGN)))
 
 
-@query("SELECT page_id % 5 AS template, count(*) AS pages, avg(strlen(html)) AS raw_mean, avg(strlen(url)) AS safe_mean, floor((100 * (1 - avg(strlen(url)) / avg(strlen(html)))) * 10 + 0.5) / 10 AS reduction_pct FROM pages GROUP BY 1")
+MAILS = "SELECT c_custkey % 5 AS template, 'Write to c' || c_custkey || '@example.com about ' || c_name || ' of ' || c_mktsegment AS raw FROM {customer}"
+
+
+@query(f"""SELECT template, count(*) AS pages, avg(strlen(raw)) AS raw_mean, avg(strlen(safe)) AS safe_mean, floor((100 * (1 - avg(strlen(safe)) / avg(strlen(raw)))) * 10 + 0.5) / 10 AS reduction_pct
+           FROM (SELECT *, regexp_replace(raw, 'c[0-9]+@example[.]com', '<EMAIL_1>') AS safe FROM ({MAILS})) GROUP BY 1""")
 def a13_byte_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("template"), F.col("html").alias("raw"), F.col("url").alias("safe"))
-    return scoring.byte_reduction(p)
+    """Bytes of texts before and after their addresses are detected and replaced by tokens."""
+    d = run(spark, sf_dir, MAILS)
+    found = patterns.detect_patterns(F.col("raw"))
+    tokens = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(F.lit("<"), m["type"], F.lit("_1>")).alias("token")))
+    return scoring.byte_reduction(d.select("template", "raw", spans.redact(F.col("raw"), tokens).alias("safe")))
 
 
 CARDS = "SELECT CASE c_custkey % 3 WHEN 0 THEN 'PAN' ELSE 'NAME' END AS type, c_name AS value, 'Name: ' || c_name AS before, CASE c_custkey % 5 WHEN 0 THEN 'x ' || lower(c_name) ELSE 'x' END AS after FROM {customer}"
@@ -396,9 +403,9 @@ def f16_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT k, count(DISTINCT px * 1000 + py) / 10000 AS share FROM (SELECT k, px, unnest(range(greatest(0, floor(y - 4)::BIGINT), least(100, ceil(y + h + 4)::BIGINT))) AS py
-             FROM (SELECT *, unnest(range(greatest(0, floor(x - 4)::BIGINT), least(100, ceil(x + w + 4)::BIGINT))) AS px FROM ({BOXES}) WHERE k % 20 = 0)) GROUP BY k""")
+             FROM (SELECT *, unnest(range(greatest(0, floor(x - 4)::BIGINT), least(100, ceil(x + w + 4)::BIGINT))) AS px FROM ({BOXES}))) GROUP BY k""")
 def a16_masked_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of a 100 x 100 frame under the boxes of every order, without counting pixels; the SQL counts those of every 20th."""
+    """The share of a 100 x 100 frame under the boxes of every order, without counting pixels, which the SQL does."""
     d = run(spark, sf_dir, BOXES).groupBy("k").agg(F.collect_list(geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("b"))
     return d.select("k", geometry.union_share(F.col("b"), F.lit(100), F.lit(100)).alias("share"))
 
@@ -409,9 +416,9 @@ def p16_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.usable_regions(d, least=20).select("k", "i")
 
 
-@query(f"SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY y, x, i) AS place FROM ({BOXES}) QUALIFY count(*) OVER (PARTITION BY k, x, y) = 1")
+@query(f"SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY y, x, i) AS place FROM ({BOXES})")
 def l02_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of all boxes, equal ones by line; the SQL leaves out boxes that share their corner."""
+    """Places of all boxes; those that share their corner go by line."""
     d = run(spark, sf_dir, BOXES).select("k", "i", geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("box"))
     return images.reading_order(d, image="k", tie="i").select("k", "i", "place")
 
