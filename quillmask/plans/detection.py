@@ -72,6 +72,40 @@ def _rule(column: str, rule: str, extra: str = "") -> None:
     query(f"SELECT k, {column} AS value, CAST(instr(text, '{lead}' || {column}) + {len(lead)} - 1 AS INT) AS start FROM ({TEXTS}) t {extra}")(one)
 
 
+def _next_digit(column: str) -> str:
+    """An identifier with another last digit."""
+    return f"substr({column}, 1, length({column}) - 1) || CAST((CAST(substr({column}, length({column}), 1) AS INT) + 1) % 10 AS STRING)"
+
+
+#: For a rule a text with a right identifier and one with a near miss.
+NEAR = (
+    ("email", "'mail ' || email", "'mail user@host' || CAST(k AS STRING)"),
+    ("upi", "'to ' || upi", "'to ' || upi || '.in'"),
+    ("gstin", "'GST ' || gstin", "'GST ' || substr(gstin, 1, 14) || CASE WHEN substr(gstin, 15, 1) = 'A' THEN 'B' ELSE 'A' END"),
+    ("pan", "'PAN ' || pan", "'PAN ' || lower(pan)"),
+    ("aadhaar", "'no ' || aadhaar", f"'no ' || {_next_digit('aadhaar')}"),
+    ("card", "'card ' || card", f"'card ' || {_next_digit('card')}"),
+    ("ifsc", "'IFSC ' || ifsc", "'IFSC HDFC1' || substr(ifsc, 6)"),
+    ("phone", "'mobile ' || phone", "'mobile 5' || substr(phone, 2)"),
+    ("vehicle", "'car ' || vehicle", "'car XX' || substr(vehicle, 3)"),
+    ("passport", "'passport ' || passport", "'passport K0' || substr(passport, 3)"),
+    ("ip", "'host ' || ip", "'host 10.' || CAST(256 + k % 700 AS STRING) || '.1.7'"),
+    ("birth_numeric", "'dob 05/02/1990'", "'dob 31/02/1990'"),
+    ("account_labelled", "'account no ' || account", "'order of ' || account"),
+    ("pincode", "'at Pune, ' || pincode", "'a sum of ' || pincode"),
+)
+NEAR_TEXTS = " UNION ALL ".join(f"SELECT k, '{rule}' AS rule, CASE WHEN (k + {j}) % 2 = 0 THEN {good} ELSE {bad} END AS text, (k + {j}) % 2 = 0 AS found FROM ({IDENTIFIERS}) i{j}" for j, (rule, good, bad) in enumerate(NEAR))
+
+
+@query(f"SELECT k, rule, found FROM ({NEAR_TEXTS}) x")
+def f36_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right identifiers are found by their rule, near misses (another check digit, border, place or label) are not."""
+    found = F.lit(None).cast("boolean")
+    for rule, _, _ in NEAR:
+        found = F.when(F.col("rule") == rule, F.size(patterns.rule_spans(F.col("text"), patterns.BY_NAME[rule])) > 0).otherwise(found)
+    return run(spark, sf_dir, NEAR_TEXTS).select("k", "rule", found.alias("found"))
+
+
 def _placed() -> tuple:
     from quillmask.plans.common import PLACED
 
