@@ -17,6 +17,7 @@ from quillmask.functions.patterns import SPANS, detect_patterns, no_spans
 from quillmask.functions.spans import enough_letters, known_values, merge_spans, not_boilerplate, not_site_contact, redact, shift_spans, trim_span
 from quillmask.functions.text import blank, fixed, host_of, normalize_value, round3
 from quillmask.operators.dictionary import number_values
+from quillmask.session import cut_lineage
 
 Detector = Callable[[Column], Column]
 ELEMENT = (
@@ -79,10 +80,11 @@ def sanitize(elements: DataFrame, detectors: tuple[Detector, ...] = (), known: s
 
     Screen: scope, id, role, label, field_type, value, state, options, bbox,
     fingerprint, accepts, nodeId. Hits in options are replaced, but are no
-    detections.
+    detections. Detection runs when this is called; its result is kept in the
+    shared folder of ``spark.checkpoint.dir``.
     """
-    # dealt by scope, as the joins below want it; it also keeps the detectors' expressions from being copied upwards
-    marked = detected(elements, detectors, known).repartition("scope")
+    # kept once, as dictionary, screen and detections all read it: pages are parsed and texts searched a single time
+    marked = cut_lineage(detected(elements, detectors, known))
     dictionary = number_values(found_values(marked))
     tokens = dictionary.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "norm"), "token"))).alias("tokens"))
     marked = marked.join(tokens, "scope", "left")
@@ -122,10 +124,9 @@ def sanitize_text(texts: DataFrame, scope: str = "scope", text: str = "text") ->
     """Plain texts (a task, say) with their values replaced, and the dictionary: a screen of one element."""
     none = F.lit(None).cast("string")
     own = spans_of(F.col(text), none, F.lit(False), F.lit(False), none, F.lit(""))
-    # generated where they are detected: with a projection between, the optimiser copies the whole expression for each field
-    each = texts.select(F.col(scope).alias("scope"), F.explode(own).alias("s"))
+    spans = cut_lineage(texts.select(F.col(scope).alias("scope"), F.col(text).alias("text"), own.alias("spans")))
+    each = spans.select("scope", F.explode("spans").alias("s"))
     dictionary = number_values(each.select("scope", "s.type", "s.value", F.col("s.start").alias("pos")))
-    spans = texts.select(F.col(scope).alias("scope"), F.col(text).alias("text"), own.alias("spans"))
     tokens = dictionary.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "norm"), "token"))).alias("tokens"))
     named = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.col("tokens"), F.concat_ws(":", s["type"], normalize_value(s["value"]))).alias("token")))
     return spans.join(tokens, "scope", "left").select("scope", F.when(F.size("spans") == 0, F.col("text")).otherwise(redact(F.col("text"), named)).alias("safe")), dictionary

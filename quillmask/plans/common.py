@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where the input has fewer partitions than there are cores: for work that costs more than a shuffle of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A shared SQL text over the tables it names in braces."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}

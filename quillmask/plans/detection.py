@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmask.functions import checksums, fields, patterns, text
 from quillmask.functions.spans import merge_spans, redact, rehydrate, subtract_spans, trim_span, unknown_tokens
 from quillmask.operators.actions import raw_types
-from quillmask.plans.common import IDENTIFIERS, TEXTS, TRUTH, gstin_char, luhn_digit, luhn_sum, oracle, padded, run, table, verhoeff_digit, verhoeff_sum
+from quillmask.plans.common import IDENTIFIERS, TEXTS, TRUTH, gstin_char, luhn_digit, luhn_sum, oracle, padded, run, spread, table, verhoeff_digit, verhoeff_sum
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -56,7 +56,7 @@ def c4_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS ({TEXTS}) SELECT k, type, value, CAST(start AS INT) AS start, CAST(start + length(value) AS INT) AS stop, CAST(confidence AS DOUBLE) AS confidence FROM ({TRUTH}) x")
 def d18_detect_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules and their resolution over texts that hold one identifier of each kind."""
-    found = run(spark, sf_dir, TEXTS).select("k", F.explode(patterns.detect_patterns(F.col("text"))).alias("s"))
+    found = spread(run(spark, sf_dir, TEXTS)).select("k", F.explode(patterns.detect_patterns(F.col("text"))).alias("s"))
     return found.select("k", "s.type", "s.value", "s.start", F.col("s.end").alias("stop"), "s.confidence")
 
 
@@ -154,7 +154,7 @@ def d16_account_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of every document, counted by type."""
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(patterns.detect_patterns(F.col("text"))).alias("s"))
+    found = spread(docs).select("doc_id", F.explode(patterns.detect_patterns(F.col("text"))).alias("s"))
     return found.groupBy("s.type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 

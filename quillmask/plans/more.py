@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmask.functions import geometry, ner, patterns, pixels, spans, text
 from quillmask.operators import actions, change, images, metrics, scoring, screen
-from quillmask.plans.common import oracle, run, table
+from quillmask.plans.common import oracle, run, spread, table
 from quillmask.sources.pages import element_rows, observed, opaque_rows
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -151,7 +151,7 @@ LINKED = """SELECT page_id, replace(replace(unnest(regexp_extract_all(html, '<a
 @query(f"""SELECT page_id, count(*) AS truth, count_if(name NOT LIKE '%e%') AS found, count_if(name NOT LIKE '%e%' AND name NOT LIKE '%o%' AND trim(name) <> '') AS label_ok FROM ({LINKED}) GROUP BY page_id""")
 def a14_screen_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages on a screen that lacks those with an e and shows another label for those with an o."""
-    seen = observed(table(spark, sf_dir, "pages"))
+    seen = observed(spread(table(spark, sf_dir, "pages")))
     links = seen.select("page_id", F.explode("elements").alias("e")).filter("e.role = 'link'").select("page_id", "e.nodeId", F.col("e.name").alias("label"))
     shown = links.filter(~F.col("label").contains("e")).withColumn("label", F.when(F.col("label").contains("o"), "...").otherwise(F.concat(F.lit(" To  "), "label")))
     return scoring.screen_recall(links, shown)
@@ -160,7 +160,7 @@ def a14_screen_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x05_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redaction manifests of the screens of all pages."""
-    seen = observed(table(spark, sf_dir, "pages"))
+    seen = observed(spread(table(spark, sf_dir, "pages")))
     shown, words, _ = screen.sanitize(element_rows(seen))
     return actions.redaction_manifest(shown, words, opaque_rows(seen)).select("scope", "masked_element_count", "opaque_regions", "json")
 
@@ -208,7 +208,7 @@ def x09_image_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, replace(replace(unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)), '&amp;', '&'), '&quot;', '"') AS name FROM pages""")
 def s07_link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accessible names of the links of every page."""
-    seen = observed(table(spark, sf_dir, "pages"))
+    seen = observed(spread(table(spark, sf_dir, "pages")))
     return seen.select("page_id", F.explode("elements").alias("e")).filter("e.role = 'link'").select("page_id", "e.name")
 
 

@@ -9,7 +9,7 @@ from quillmask.functions import geometry, patterns, spans
 from quillmask.functions.ner import to_spans
 from quillmask.functions.patterns import BY_NAME, rule_spans
 from quillmask.operators import actions, change, dictionary, gate, images, metrics, scoring, screen
-from quillmask.plans.common import STEPS, TEXTS, TRUTH, oracle, run, table
+from quillmask.plans.common import STEPS, TEXTS, TRUTH, oracle, run, spread, table
 from quillmask.sources.pages import element_rows, observed
 from quillmask.streaming.sessions import quiet_sessions, windowed_steps
 
@@ -377,7 +377,7 @@ def f15_dirty_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def f12_observation_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of pages as they are observed."""
-    seen = observed(table(spark, sf_dir, "pages"))
+    seen = observed(spread(table(spark, sf_dir, "pages")))
     box = {"x": F.lit(10.0), "y": F.lit(40.0), "w": F.lit(400.0), "h": F.lit(24.0)}
     elements = F.transform("elements", lambda e: F.struct(*(e[k].alias(k) for k in ("nodeId", "role", "name", "text", "value", "checked", "disabled", "context")), *(v.alias(k) for k, v in box.items())))
     return seen.select("page_id", change.observation_key(F.col("url"), F.lit(1280), F.lit(800), elements, F.array().cast("array<string>")).alias("key"))
@@ -451,7 +451,7 @@ def f25_entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, len(regexp_extract_all(html, '<a href')) AS links, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")
 def s01_observe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and headings among the observed elements of every page."""
-    seen = observed(table(spark, sf_dir, "pages"))
+    seen = observed(spread(table(spark, sf_dir, "pages")))
     count = lambda role: F.size(F.filter("elements", lambda e: e["role"] == role)).cast("bigint")
     return seen.select("page_id", count("link").alias("links"), count("heading").alias("headings"))
 
@@ -459,14 +459,14 @@ def s01_observe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x01_sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screens of all pages with their values replaced by tokens."""
-    shown, _, _ = screen.sanitize(element_rows(observed(table(spark, sf_dir, "pages"))))
+    shown, _, _ = screen.sanitize(element_rows(observed(spread(table(spark, sf_dir, "pages")))))
     return shown.groupBy("scope").agg(F.count("*").alias("elements"), F.sum(F.length("label")).alias("label_chars"))
 
 
 @query(f"WITH t AS ({TEXTS}) SELECT CAST(k AS STRING) AS scope, count(*) AS entries FROM ({TRUTH}) x GROUP BY k")
 def x15_sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary entries of texts, one scope each."""
-    _, words = screen.sanitize_text(run(spark, sf_dir, TEXTS).withColumn("scope", F.col("k").cast("string")))
+    _, words = screen.sanitize_text(spread(run(spark, sf_dir, TEXTS)).withColumn("scope", F.col("k").cast("string")))
     return words.groupBy("scope").agg(F.count("*").alias("entries"))
 
 
