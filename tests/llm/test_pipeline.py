@@ -55,3 +55,21 @@ def test_rows_that_share_an_id_but_not_the_text_stay(spark):
     rows = [(1, a), (1, a), (1, b), (2, a)]
     docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert sorted((r.doc_id, r.text) for r in cp.near_duplicates_stage(spark, docs, D).collect()) == [(1, a), (1, b)]
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and further columns of clashing names."""
+    good = [r.text for r in spark.read.parquet(f"{D}/labels.parquet").filter("quality = 1").join(spark.read.parquet(f"{D}/documents.parquet"), "doc_id").orderBy("doc_id").limit(6).collect()]
+    rows = [(0, good[0]), (0, good[0]), (0, good[1]), (None, good[2]), (None, None), (1, None), (2, ""), (3, " ".join(good) * 30), (4, good[3]), (5, good[3]), (6, good[4])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS q_kept", "'x' AS sig", "2 AS q_score", "3 AS line", "4 AS component_id").repartition(3)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, D).collect()
+        if name == "quality_rules":
+            assert {r.text for r in out} >= {good[0], good[1], good[2]} and not any(not r.text for r in out)
+        if name == "line_dedup":
+            assert sum(r.doc_id is None for r in out) == 2 and any(r.text == good[1] for r in out)
+        if name == "jaccard_join":
+            assert sorted(str(r.doc_id) for r in out if r.text == good[3]) == ["4"] and {good[0], good[1], good[2]} <= {r.text for r in out}
+        if name == "packing":
+            assert sum(r.doc_id is None for r in out) >= 2
