@@ -2,6 +2,12 @@
 
 Each stage works on all that its predecessor kept. All but the last return
 documents (doc_id, text, lang, source, n_chars); the last returns pieces.
+
+Defined results: null texts count as empty, which the rules reject; rows
+without doc_id pass all stages, as nothing is matched with them; rows repeated
+with one id and text become one at the near duplicates; rows that share an id
+but not the text are documents of their own; other columns of the input are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
