@@ -42,8 +42,8 @@ def test_masked_share_of_all_orders_equals_pixels(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
-def test_masked_share_equals_sql_where_the_sql_counts(spark):
-    df = catalog.QUERIES["a16_masked_share"](spark, D).filter("k % 20 = 0")
+def test_masked_share_equals_sql(spark):
+    df = catalog.QUERIES["a16_masked_share"](spark, D)
     out = duckdb.sql(catalog.ORACLE_SQL["a16_masked_share"].replace("FROM lineitem", f"FROM '{D}/lineitem.parquet'"))
     assert digest(df.columns, [list(r) for r in df.collect()]) == digest(out.columns, out.fetchall())
 
