@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions.text import escape_html, fixed
+from quillmask.session import cut_lineage
 
 STEP_SCHEMA = (
     "run_id string, step int, ts bigint, origin string, outcome string, action string, reused boolean, elements int, opaque int, placeholders int, image_detections int, "
@@ -16,23 +17,42 @@ STEP_COLUMNS = [f.split()[0] for f in STEP_SCHEMA.split(", ")]
 STAGES = ("observe", "sanitize", "vision", "gate", "server", "validate", "confirm", "execute", "total")
 
 
-def linear_quantile(c: Column, q: float) -> Column:
-    """Between the two values around place (n - 1) q; 0 without values."""
-    return F.coalesce(F.percentile(c, F.lit(q)), F.lit(0.0))
-
-
-def _ranked(c: Column, place: Column) -> Column:
-    return F.try_element_at(F.array_sort(F.collect_list(c)), place.cast("int"))
-
-
-def floor_quantile(c: Column, q: float) -> Column:
-    """The value at place min(n - 1, floor(q n))."""
-    return _ranked(c, F.least(F.count(c) - 1, F.floor(F.count(c) * q)) + 1)
-
-
-def ceil_quantile(c: Column, q: float) -> Column:
-    """The value at place ceil(q n) - 1."""
-    return _ranked(c, F.greatest(F.ceil(F.count(c) * q), F.lit(1)))
+#: Where a quantile stands among n sorted values, as places from 0: between two of them, at floor(q n), or at ceil(q n) - 1.
+PLACES = {
+    "linear": lambda n, q: (F.floor((n - 1) * q), F.ceil((n - 1) * q)),
+    "floor": lambda n, q: (F.least(n - 1, F.floor(n * q)),) * 2,
+    "ceil": lambda n, q: (F.greatest(F.ceil(n * q), F.lit(1)) - 1,) * 2,
+}
+
+
+def quantiles(rows: DataFrame, by: str, value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact quantiles of each group, a row per value of ``by``; ``wanted`` maps a column's name to (kind, q), kinds as in ``PLACES``.
+
+    Values are counted before they are shuffled, dealt by ranges of (group,
+    value), and numbered range by range: a group of any size is shared by many
+    tasks. Nulls are no values; a group without values has null.
+    """
+    counted = rows.groupBy(by, value).agg(F.count(value).alias("n")).repartitionByRange(by, value)
+    ranges = cut_lineage(counted.withColumn("part", F.spark_partition_id()))  # kept, as a second run might draw other ranges
+    w = Window.partitionBy(by).orderBy("part")
+    sizes = ranges.groupBy(by, "part").agg(F.sum("n").alias("size"))  # a row per group and range
+    sizes = sizes.withColumns({"before": F.sum("size").over(w) - F.col("size"), "total": F.sum("size").over(Window.partitionBy(by))})
+    sizes = sizes.select(F.col(by).alias("_by"), F.col("part").alias("_part"), "before", "total")
+    ranked = ranges.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("part") == F.col("_part")))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("upto", upto)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("n") <= place) & (place < F.col("upto")), F.col(value)))
+
+    n, picked, columns = F.col("total"), [], [F.col(by)]
+    for name, (kind, q) in wanted.items():
+        low, high = PLACES[kind](n, q)
+        picked += [at(low).alias(f"{name}_low"), at(high).alias(f"{name}_high")]
+        part = (F.col("total") - 1) * q - F.floor((F.col("total") - 1) * q)
+        between = F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part
+        columns.append((between if kind == "linear" else F.col(f"{name}_low")).alias(name))
+    return ranked.groupBy(by).agg(F.max("total").alias("total"), *picked).select(*columns)
 
 
 def _stage(name: str) -> Column:
@@ -40,16 +60,17 @@ def _stage(name: str) -> Column:
 
 
 def summarize_steps(steps: DataFrame) -> DataFrame:
-    """One row: runs, steps, shares of reused and image steps, blocked, payload means, totals, and p50 and p95 of every stage."""
+    """One row: runs, steps, shares of reused and image steps, blocked, payload means, totals, and p50 and p95 of every stage (0 without steps)."""
     n = F.greatest(F.lit(1), F.count(F.lit(1)))
-    columns = [
+    out = steps.agg(
         F.count_distinct("run_id").alias("runs"), F.count(F.lit(1)).alias("steps"), (100 * F.count_if(F.col("reused")) / n).alias("reused_pct"), (100 * F.count_if(F.col("image_sent")) / n).alias("image_pct"),
         F.count_if(F.col("outcome") == "blocked").alias("blocked"), (F.coalesce(F.sum("bytes"), F.lit(0)) / n).alias("bytes_mean"), (F.coalesce(F.sum("tokens_est"), F.lit(0)) / n).alias("tokens_mean"),
         F.coalesce(F.sum("tokens_est"), F.lit(0)).alias("tokens_total"), F.greatest(F.lit(0.0), F.max("model_load_ms")).alias("model_load_ms"),
-    ]
-    for s in STAGES:
-        columns += [linear_quantile(_stage(s), 0.5).alias(f"{s}_p50"), linear_quantile(_stage(s), 0.95).alias(f"{s}_p95")]
-    return steps.agg(*columns)
+    )
+    times = steps.select(F.inline(F.array(*(F.struct(F.lit(s).alias("stage"), _stage(s).alias("ms")) for s in STAGES))))
+    found = quantiles(times, "stage", "ms", {"p50": ("linear", 0.5), "p95": ("linear", 0.95)})
+    one = lambda s, p: F.coalesce(F.max(F.when(F.col("stage") == s, F.col(p))), F.lit(0.0)).alias(f"{s}_{p}")
+    return out.crossJoin(found.agg(*(one(s, p) for s in STAGES for p in ("p50", "p95"))))  # two single rows
 
 
 def summarize_runs(steps: DataFrame) -> DataFrame:
@@ -114,17 +135,26 @@ def csv_lines(steps: DataFrame) -> DataFrame:
     return steps.withColumn("line", F.concat_ws(",", *(csv_cell(F.col(c), kinds[c]) for c in STEP_COLUMNS)))
 
 
-def dashboard(steps: DataFrame) -> DataFrame:
-    """One row with column ``html``: headline numbers, stage times and a table of runs."""
-    one = lambda c, d=1: fixed(F.col(c), d)
-    s = summarize_steps(steps)
+def dashboard(steps: DataFrame, most: int = 500) -> DataFrame:
+    """One row with column ``html``: headline numbers, stage times and a table of runs.
+
+    The table is a report of the first ``most`` runs by id, and says how many
+    more there are; ``run_table`` has them all.
+    """
+    one = lambda c, d=1: F.when(F.lit(d == 0), F.floor(F.col(c) + 0.5).cast("string")).otherwise(fixed(F.col(c), d))
+    tasks = summarize_runs(steps).select(F.lit(True).alias("all"), "ms_task")
+    task = quantiles(tasks, "all", "ms_task", {"task_p50": ("linear", 0.5), "task_p95": ("linear", 0.95)}).agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("task_p50", "task_p95")))
+    card = lambda *parts: [F.lit("<b>"), *parts, F.lit("</b>")]
     cards = F.concat(
-        F.lit("<section><b>"), F.col("steps").cast("string"), F.lit(" steps / "), F.col("runs").cast("string"), F.lit(" runs</b><b>"), one("total_p50", 0), F.lit(" / "), one("total_p95", 0), F.lit(" ms</b><b>"),
-        one("reused_pct"), F.lit("% reused</b><b>"), one("image_pct"), F.lit("% images</b><b>"), F.col("blocked").cast("string"), F.lit(" blocked</b></section>"),
+        F.lit("<section>"), *card(F.col("steps").cast("string"), F.lit(" steps / "), F.col("runs").cast("string"), F.lit(" runs")), *card(one("total_p50", 0), F.lit(" / "), one("total_p95", 0), F.lit(" ms a step")),
+        *card(one("task_p50", 0), F.lit(" / "), one("task_p95", 0), F.lit(" ms a task")), *card(one("reused_pct"), F.lit("% reused")), *card(one("image_pct"), F.lit("% images")),
+        *card(one("bytes_mean", 0), F.lit(" B / "), one("tokens_mean", 0), F.lit(" tok")), *card(F.col("blocked").cast("string"), F.lit(" blocked")), *card(one("model_load_ms", 0), F.lit(" ms warm-up")), F.lit("</section>"),
     )
     stages = F.concat(F.lit("<table>"), *(x for k in STAGES for x in (F.lit(f"<tr><td>{k}</td><td>"), one(f"{k}_p50"), F.lit("</td><td>"), one(f"{k}_p95"), F.lit("</td></tr>"))), F.lit("</table>"))
     cells = [F.col("run_id"), F.col("origin"), *(F.col(c).cast("string") for c in ("steps", "reused", "images", "placeholders", "bytes")), one("ms_task", 0), F.col("outcome")]
     row = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), escape_html(F.coalesce(c, F.lit(""))), F.lit("</td>")) for c in cells), F.lit("</tr>"))
-    runs = run_table(steps).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_id", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
-    page = F.when(F.col("steps") == 0, "<p>No metrics yet.</p>").otherwise(F.concat(cards, stages, F.lit("<table>"), F.col("rows"), F.lit("</table>")))
-    return s.crossJoin(runs).select(page.alias("html"))
+    listed = run_table(steps).orderBy("run_id").limit(most).agg(F.count(F.lit(1)).alias("listed"), F.transform(F.array_sort(F.collect_list(F.struct("run_id", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    rest = F.col("runs") - F.col("listed")
+    more = F.when(rest > 0, F.concat(F.lit("<p>"), rest.cast("string"), F.lit(" more runs</p>"))).otherwise("")
+    page = F.when(F.col("steps") == 0, "<p>No metrics yet.</p>").otherwise(F.concat(cards, stages, F.lit("<table>"), F.array_join("rows", ""), F.lit("</table>"), more))
+    return summarize_steps(steps).crossJoin(task).crossJoin(listed).select(page.alias("html"))  # three single rows

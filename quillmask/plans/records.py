@@ -207,8 +207,7 @@ def a05_run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, quantile_cont(value, 0.95) AS linear, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1] AS low, list_sort(list(value))[ceil(count(*) * 0.95)::BIGINT] AS high FROM events GROUP BY event_type""")
 def a01_a02_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(metrics.linear_quantile(v, 0.95).alias("linear"), metrics.floor_quantile(v, 0.95).alias("low"), metrics.ceil_quantile(v, 0.95).alias("high"))
+    return metrics.quantiles(table(spark, sf_dir, "events"), "event_type", "value", {k: (kind, 0.95) for k, kind in (("linear", "linear"), ("low", "floor"), ("high", "ceil"))})
 
 
 @query(f"SELECT outcome, count(*) AS n FROM ({STEPS}) GROUP BY outcome")
@@ -233,7 +232,22 @@ def s13_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.csv_lines(run(spark, sf_dir, STEPS)).select("run_id", "step", F.substring_index("line", ",", 15).alias("head"))
 
 
-@query()
+def _whole(c: str) -> str:
+    return f"floor({c} + 0.5)::BIGINT::VARCHAR"
+
+
+STAGE_ROWS = " || ".join(f"'<tr><td>{s}</td><td>' || printf('%.1f', quantile_cont(ms_{s}, 0.5)) || '</td><td>' || printf('%.1f', quantile_cont(ms_{s}, 0.95)) || '</td></tr>'" for s in metrics.STAGES)
+
+
+@query(f"""WITH s AS ({STEPS}),
+           r AS (SELECT run_id, max_by(origin, step) AS origin, count(*) AS steps, count_if(reused) AS reused, count_if(image_sent) AS images, max(placeholders) AS placeholders, sum(bytes)::BIGINT AS bytes, sum(ms_total) AS ms_task,
+                        max_by(outcome, step) AS outcome, row_number() OVER (ORDER BY run_id) AS place FROM s GROUP BY run_id),
+           t AS (SELECT string_agg('<tr><td>' || concat_ws('</td><td>', run_id, origin, steps, reused, images, placeholders, bytes, {_whole('ms_task')}, outcome) || '</td></tr>', '' ORDER BY run_id) AS listed FROM r WHERE place <= 500),
+           k AS (SELECT {_whole('quantile_cont(ms_task, 0.5)')} || ' / ' || {_whole('quantile_cont(ms_task, 0.95)')} AS task, count(*) AS runs FROM r),
+           o AS (SELECT '<section><b>' || count(*) || ' steps / ' || count(DISTINCT run_id) || ' runs</b><b>' || {_whole('quantile_cont(ms_total, 0.5)')} || ' / ' || {_whole('quantile_cont(ms_total, 0.95)')} || ' ms a step</b><b>' AS a,
+                        '</b><b>' || printf('%.1f', 100.0 * count_if(reused) / count(*)) || '% reused</b><b>' || printf('%.1f', 100.0 * count_if(image_sent) / count(*)) || '% images</b><b>' || {_whole('avg(bytes)')} || ' B / ' || {_whole('avg(tokens_est)')}
+                        || ' tok</b><b>' || count_if(outcome = 'blocked') || ' blocked</b><b>' || {_whole('max(model_load_ms)')} || ' ms warm-up</b></section>' AS b, {STAGE_ROWS} AS c FROM s)
+           SELECT a || task || ' ms a task' || b || '<table>' || c || '</table><table>' || listed || '</table>' || CASE WHEN runs > 500 THEN '<p>' || (runs - 500) || ' more runs</p>' ELSE '' END AS html FROM o, k, t""")
 def x14_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.dashboard(run(spark, sf_dir, STEPS))
 
@@ -300,7 +314,15 @@ def x11_score_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("site", "positives", "tp", "fn", "fp", "type_ok", "benign_masked")
 
 
-@query()
+@query(f"""WITH m AS (SELECT *, {NORM} AS m FROM ({SITE_MASKED})), p AS (SELECT row_number() OVER () AS r, *, {NORM} AS p FROM ({SITE_TRUE})), b AS (SELECT row_number() OVER () AS r, site, {NORM} AS b FROM ({SITE_BENIGN})),
+           hit AS (SELECT p.r, p.site, m.token FROM p JOIN m ON m.site = p.site AND (m.m = p.p OR (length(p.p) >= 6 AND contains(m.m, p.p)) OR (length(m.m) >= 6 AND contains(p.p, m.m)))),
+           c AS (SELECT site, count(*) AS positives, count_if(EXISTS (SELECT 1 FROM hit h WHERE h.r = p.r)) AS tp FROM p GROUP BY site),
+           f AS (SELECT site, count(*) AS fp FROM m WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.site = m.site AND h.token = m.token) GROUP BY site),
+           n AS (SELECT site, count(*) AS tn FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.site = b.site AND (contains(b.b, m.m) OR contains(m.m, b.b))) GROUP BY site),
+           j AS (SELECT tp, positives - tp AS fn, coalesce(fp, 0) AS fp, coalesce(tn, 0) AS tn, positives FROM c LEFT JOIN f USING (site) LEFT JOIN n USING (site)),
+           t AS (SELECT sum(tp)::BIGINT AS tp, sum(fn)::BIGINT AS fn, sum(fp)::BIGINT AS fp, sum(tn)::BIGINT AS tn, sum(positives)::BIGINT AS positives,
+                        avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END) AS macro_precision, avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END) AS macro_recall FROM j)
+           SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM t""")
 def a09_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.micro_macro(scoring.score_sites(run(spark, sf_dir, SITE_MASKED), run(spark, sf_dir, SITE_TRUE), run(spark, sf_dir, SITE_BENIGN)))
 
