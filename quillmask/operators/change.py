@@ -41,6 +41,13 @@ def mark_repeated(actions: DataFrame, session: str = "session_id", order: str =
     return actions.withColumn("repeated", ~first & same[0] & same[1] & same[2])
 
 
+def step_times(marks: DataFrame, run: str = "run_id", order: str = "step", names: tuple[str, ...] = ("observe", "sanitize", "vision", "gate", "server", "validate", "confirm", "execute")) -> DataFrame:
+    """Times of steps from the clock at their marks (array ``marks``: the start, then the end of each stage that was reached), as ms_<stage> and ms_total; stages not reached took 0."""
+    at = lambda i: F.try_element_at("marks", F.lit(i))
+    stages = [F.coalesce(at(i + 2) - at(i + 1), F.lit(0.0)).alias(f"ms_{n}") for i, n in enumerate(names)]
+    return marks.select(run, order, *stages, F.coalesce(F.try_element_at("marks", F.lit(-1)) - at(1), F.lit(0.0)).alias("ms_total"))
+
+
 def last_rows(history: DataFrame, n: int = 10, session: str = "session_id", order: str = "step") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))
     return history.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")

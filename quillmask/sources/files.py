@@ -35,20 +35,21 @@ def write_steps(steps: DataFrame, path: str) -> None:
 
 def write_store(steps: DataFrame, path: str) -> None:
     """The keyed store: Parquet in STORE_BUCKETS folders by a hash of the run, appended to; a later row with one (run_id, step) replaces an earlier one when read."""
-    steps.withColumn("bucket", _bucket(F.col("run_id"))).write.mode("append").partitionBy("bucket").parquet(path)
+    steps.withColumn("bucket", store_bucket(F.col("run_id"))).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 #: Folders of a keyed store, whatever the number of runs.
 STORE_BUCKETS = 64
 
 
-def _bucket(run_id: Column) -> Column:
+def store_bucket(run_id: Column) -> Column:
+    """The folder of a run."""
     return F.pmod(F.xxhash64(run_id.cast("string")), F.lit(STORE_BUCKETS)).cast("int")
 
 
 def read_store(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
-    rows = rows if run_id is None else rows.filter((F.col("bucket") == _bucket(F.lit(run_id))) & (F.col("run_id") == run_id))
+    rows = rows if run_id is None else rows.filter((F.col("bucket") == store_bucket(F.lit(run_id))) & (F.col("run_id") == run_id))
     return upsert(rows.drop("bucket")).orderBy("ts", "step")
 
 

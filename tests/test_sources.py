@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillmask.operators import dictionary, metrics, screen
+from quillmask.operators import change, dictionary, metrics, screen
 from quillmask.operators.actions import redaction_manifest
 from quillmask.plans.common import STEPS, run
 from quillmask.sources import files, pages
@@ -94,6 +95,73 @@ def test_payload_stream_and_counters(spark, tmp_path):
     assert tuple(sessions.gate_counters(v).first()) == ("s", 1, True)
 
 
+@pytest.fixture(autouse=True)
+def _no_empty_batches(spark):
+    """Streams with timeouts run empty batches for ever, so that one that takes all there is would not end."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def _in_batches(spark, tmp_path, batches, schema, make):
+    """The rows that a stream gives when each batch is a file of its own."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = make(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert not q.exception(), i
+    return spark.read.parquet(f"{tmp_path}/out").collect()
+
+
+def test_screen_and_gate_state_lives_across_batches(spark, tmp_path):
+    batches = [[("a", 2, "y"), ("a", 1, "x"), ("b", 1, "y")], [("a", 3, "y"), ("b", 2, None)], [("b", 3, None), ("a", 4, "x")]]
+    got = {(r.session_id, r.step): r.reused for r in _in_batches(spark, tmp_path / "k", batches, "session_id string, step long, key string", sessions.mark_reused_stream)}
+    assert got == {("a", 1): False, ("a", 2): False, ("a", 3): True, ("a", 4): False, ("b", 1): False, ("b", 2): False, ("b", 3): False}
+    batches = [[("a", 1, False), ("a", 2, True)], [("a", 3, False), ("b", 1, None)]]
+    got = {(r.session_id, r.step): r.blocked for r in _in_batches(spark, tmp_path / "g", batches, "session_id string, step long, pass boolean", sessions.gate_stream)}
+    assert got == {("a", 1): 1, ("a", 2): 1, ("a", 3): 2, ("b", 1): 1}
+
+
+def test_histories_and_caches_live_across_batches(spark, tmp_path):
+    schema = "session_id string, step long, op string, element_id string, text string"
+    steps = [("a", i, "click", f"e{i}", None) for i in range(7)]
+    rows = _in_batches(spark, tmp_path / "h", [steps[:3], steps[3:]], schema, lambda s: sessions.histories(s, most=2))
+    got = {r.step: [json.loads(x)["element_id"] for x in r.history] for r in rows}
+    assert got == {i: [f"e{j}" for j in range(max(0, i - 2), i)] for i in range(7)}
+    keys = [("a", i, k) for i, k in enumerate("xyxzxyz")]
+    rows = _in_batches(spark, tmp_path / "c", [keys[:4], keys[4:]], "session_id string, pos long, key string", lambda s: sessions.cached(s, capacity=2))
+    assert {r.pos: r.hit for r in rows} == {0: False, 1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
+
+
+def test_tokens_are_numbered_across_batches(spark, tmp_path):
+    batches = [[("s", 1, "PAN", "a", "A"), ("s", 2, "PAN", "b", "B"), ("s", 3, "IP", "1", "1")], [("s", 4, "PAN", "c", "C"), ("s", 5, "PAN", "a", "A"), ("s", 6, "DONE", None, None), ("s", 7, "PAN", "c", "C")]]
+    rows = _in_batches(spark, tmp_path, batches, "session_id string, pos long, type string, norm string, value string", sessions.number_tokens)
+    assert {r.pos: r.token for r in rows} == {1: "<PAN_1>", 2: "<PAN_2>", 3: "<IP_1>", 4: "<PAN_3>", 5: "<PAN_1>", 7: "<PAN_1>"}
+
+
+def test_metrics_stream_is_a_store(spark, tmp_path):
+    steps = run(spark, D, STEPS)
+    steps.write.parquet(f"{tmp_path}/in")
+    q = sessions.append_metrics(spark.readStream.schema(steps.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/cp")
+    q.processAllAvailable()
+    q.stop()
+    one = steps.first().run_id
+    assert files.read_store(spark, f"{tmp_path}/store").count() == steps.count() and files.read_store(spark, f"{tmp_path}/store", one).count() == steps.filter(F.col("run_id") == one).count()
+
+
+def test_quantiles_by_place(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 1, 9, 3)] + [(None, 2.0), ("b", None)]
+    wanted = {"m": ("linear", 0.5), "low": ("floor", 0.5), "high": ("ceil", 0.5), "top": ("linear", 1.0)}
+    got = {r.g: tuple(r)[1:] for r in metrics.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", wanted).collect()}
+    assert got == {"a": (2.0, 3.0, 1.0, 9.0), None: (2.0, 2.0, 2.0, 2.0), "b": (None, None, None, None)}
+
+
+def test_times_from_marks(spark):
+    marks = spark.createDataFrame([("r", 1, [10.0, 11.5, 14.0]), ("r", 2, [1.0]), ("r", 3, None)], "run_id string, step int, marks array<double>")
+    got = {r.step: (r.ms_observe, r.ms_sanitize, r.ms_vision, r.ms_total) for r in change.step_times(marks).collect()}
+    assert got == {1: (1.5, 2.5, 0.0, 4.0), 2: (0.0, 0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0, 0.0)}
+
+
 def test_empty_metrics(spark):
     empty = spark.createDataFrame([], metrics.STEP_SCHEMA)
     assert metrics.summarize_steps(empty).first().total_p95 == 0
