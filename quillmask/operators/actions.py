@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmask.functions.checksums import digits_only, luhn_valid
 from quillmask.functions.fields import wanted_type
 from quillmask.functions.patterns import detect_patterns
-from quillmask.functions.text import TOKEN, ascii_edges, blank, tokens_in
+from quillmask.functions.text import TOKEN, ascii_edges, blank, fixed, tokens_in
 
 # Operations, verbs with consequences, roles and field types that the rules name.
 OPERATIONS = "click type select scroll wait done ask_user need_visual".split()
@@ -141,8 +141,18 @@ def loop_note(action: Column, last: Column, legend: Column, element: Column) ->
     return F.when(action.isNull(), F.lit(None)).when(repeats, "repeats").when(unknown, "unknown_placeholder").when(writes, "not_an_input").when(clicks, "click_on_text_field")
 
 
+#: Fixed value: the prompt's line on the guess of an image classifier, around label, score and margin.
+HINT = (
+    "\nOptional local image classifier (experimental, five fixed UI states): ", "; cosine score ", ", top-two margin ",
+    ". May be wrong; use the elements and masked image as primary evidence.",
+)
+
+
 def render_screen(requests: DataFrame, most: int = 150) -> DataFrame:
-    """Requests with column ``prompt``: the screen as text, with legend, unused tokens and the last ten actions."""
+    """Requests with column ``prompt``: the screen as text, with legend, unused tokens and the last ten actions.
+
+    A column ``semantic_hint`` (label, score, margin) is told where the request has an image too (column ``has_image``).
+    """
     quote = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), "(?s)^\\{\"v\":(.*)\\}$", 1)
     quote_all = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, quote), ", "), F.lit("]"))
     flags = lambda e: F.map_keys(F.map_filter(e["state"], lambda k, v: v))
@@ -166,9 +176,15 @@ def render_screen(requests: DataFrame, most: int = 150) -> DataFrame:
     unused = words(F.array_except(F.map_keys("legend"), used), "(all used)")
     last = F.slice("history", F.greatest(F.size("history") - 9, F.lit(1)), 10)
     done = F.transform(last, lambda h: F.rtrim(F.concat(F.lit("- "), h["op"], F.lit(" "), F.coalesce(h["element_id"], F.lit("")), F.lit(" "), F.coalesce(h["text"], F.lit("")))))
+    hint = F.lit("")
+    if "semantic_hint" in requests.columns:
+        h = F.col("semantic_hint")
+        told = F.concat(F.lit(HINT[0]), h["label"], F.lit(HINT[1]), fixed(h["score"], 3), F.lit(HINT[2]), fixed(h["margin"], 3), F.lit(HINT[3]))
+        hint = F.coalesce(F.when(h.isNotNull() & F.col("has_image"), told), F.lit(""))
+    # the words between the parts are fixed values: a planner's prompt
     prompt = F.concat(
         F.lit("Task: "), F.col("task"), F.lit("\nSite: "), F.col("url_origin"), F.lit("\nLegend (placeholder=type): "), shown, F.lit("\nNot used yet: "), unused,
-        F.lit("\n\nElements:\n"), F.array_join(lines, "\n"), F.lit("\n\nDone so far:\n"), F.when(F.size(done) > 0, F.array_join(done, "\n")).otherwise("(none)"), F.lit("\n\nNext action JSON:"),
+        F.lit("\n\nElements:\n"), F.array_join(lines, "\n"), hint, F.lit("\n\nDone so far:\n"), F.when(F.size(done) > 0, F.array_join(done, "\n")).otherwise("(none)"), F.lit("\n\nNext action JSON:"),
     )
     return requests.withColumn("prompt", prompt)
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions.fields import accepted_types, dom_rule_type
 from quillmask.functions.patterns import SPANS, detect_patterns, no_spans
 from quillmask.functions.spans import enough_letters, known_values, merge_spans, not_boilerplate, not_site_contact, redact, shift_spans, trim_span
-from quillmask.functions.text import blank, fixed, host_of, normalize_value, round3
+from quillmask.functions.text import blank, fixed, host_of, normalize_value, origin_of, round3
 from quillmask.operators.dictionary import number_values
 from quillmask.session import cut_lineage
 
@@ -25,6 +25,8 @@ ELEMENT = (
     "htmlName string, htmlId string, placeholder string, disabled boolean, checked boolean, context string, options array<string>, boilerplate boolean, contact string, "
     "x double, y double, w double, h double, viewport_w double, viewport_h double"
 )
+#: Fixed value: what a planner is told of a region that it cannot read.
+OPAQUE_NOTE = ": pixels not in this list; use need_visual to see it"
 #: Fields of an element in the order in which their values are met.
 PARTS = ("value", "name", "text")
 
@@ -79,12 +81,15 @@ def sanitize(elements: DataFrame, detectors: tuple[Detector, ...] = (), known: s
     """Screen elements, dictionary and detections of observed elements (columns of ``ELEMENT``).
 
     Screen: scope, id, role, label, field_type, value, state, options, bbox,
-    fingerprint, accepts, nodeId. Hits in options are replaced, but are no
-    detections. Detection runs when this is called; its result is kept in the
+    fingerprint, accepts, nodeId. Detections are numbered d1, d2, ... within a
+    scope. Hits in options are replaced, but are no detections; nor are those
+    in the alternative texts of opaque regions, which are rows with a ``kind``
+    (null or no such column: an element). Detection runs when this is called; its result is kept in the
     shared folder of ``spark.checkpoint.dir``.
     """
     # kept once, as dictionary, screen and detections all read it: pages are parsed and texts searched a single time
-    marked = cut_lineage(detected(elements, detectors, known))
+    kinds = elements if "kind" in elements.columns else elements.withColumn("kind", F.lit(None).cast("string"))
+    marked = cut_lineage(detected(kinds, detectors, known))
     dictionary = number_values(found_values(marked))
     tokens = dictionary.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "type", "norm"), "token"))).alias("tokens"))
     marked = marked.join(tokens, "scope", "left")
@@ -95,6 +100,8 @@ def sanitize(elements: DataFrame, detectors: tuple[Detector, ...] = (), known: s
 
     label, text = safe(F.col("name"), F.col("name_spans")), safe(F.col("text"), F.col("text_spans"))
     shown = F.when(blank(F.col("text")) | (F.col("text") == F.col("name")), label).when(blank(label), text).otherwise(F.concat(label, F.lit(" | "), text))
+    opaque = F.col("kind").isNotNull()
+    shown = F.when(opaque, F.concat(F.when(blank(label), F.col("kind")).otherwise(label), F.lit(" ("), "kind", F.lit(OPAQUE_NOTE), F.lit(")"))).otherwise(shown)
     sides = [round3(F.col("x") / F.col("viewport_w")), round3(F.col("y") / F.col("viewport_h")), round3(F.col("w") / F.col("viewport_w")), round3(F.col("h") / F.col("viewport_h"))]
     state = F.map_concat(F.when(F.coalesce("disabled", F.lit(False)), F.create_map(F.lit("disabled"), F.lit(True))).otherwise(F.create_map().cast("map<string,boolean>")), F.when(F.col("checked").isNotNull(), F.create_map(F.lit("checked"), F.col("checked"))).otherwise(F.create_map().cast("map<string,boolean>")))
     screen = marked.select(
@@ -107,13 +114,21 @@ def sanitize(elements: DataFrame, detectors: tuple[Detector, ...] = (), known: s
         state.alias("state"),
         F.when(F.size("option_spans") > 0, F.zip_with("options", "option_spans", safe)).alias("options"),
         F.array(*sides).alias("bbox"),
-        accepted_types(F.col("rule"), F.col("inputType"), F.col("autocomplete")).alias("accepts"),
+        F.when(opaque, F.array().cast("array<string>")).otherwise(accepted_types(F.col("rule"), F.col("inputType"), F.col("autocomplete"))).alias("accepts"),
         "nodeId",
         "pos",
     ).withColumn("fingerprint", F.concat_ws("|", "role", "label", F.array_join(F.transform("bbox", lambda v: fixed(v)), ",")))
     hits = F.concat(*(_placed(p, k) for k, p in enumerate(PARTS)))
-    detections = marked.select("scope", "pos", "nodeId", F.explode(hits).alias("h")).select("scope", "pos", "nodeId", F.col("h.k").alias("part"), "h.at", "h.s.type", "h.s.source", "h.s.confidence")
-    return screen, dictionary, detections
+    place = F.row_number().over(Window.partitionBy("scope").orderBy("pos", "h.k", "h.at", "h.s.type"))
+    detections = marked.filter(~opaque).select("scope", "pos", "nodeId", F.explode(hits).alias("h")).withColumn("id", F.concat(F.lit("d"), place.cast("string")))
+    return screen, dictionary, detections.select("scope", "id", "pos", "nodeId", F.col("h.k").alias("part"), "h.at", "h.s.type", "h.s.source", "h.s.confidence")
+
+
+def wire_screen(screen: DataFrame, pages: DataFrame) -> DataFrame:
+    """What leaves the device, a row per scope of ``pages`` (scope, url): url_origin and elements, without nodes, fingerprints and accepted types."""
+    fields = ["id", "role", "label", "field_type", "value", "state", "options", "bbox"]
+    lists = screen.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json(F.struct(*fields)).alias("e")))), lambda x: x["e"]).alias("elements"))
+    return pages.select("scope", origin_of(F.col("url")).alias("url_origin")).join(lists, "scope", "left").withColumn("elements", F.coalesce("elements", F.array().cast("array<string>")))
 
 
 def _placed(part: str, k: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmask.functions import geometry, ner, patterns, pixels, spans, text
 from quillmask.operators import actions, change, images, metrics, scoring, screen
 from quillmask.plans.common import oracle, run, spread, table
-from quillmask.sources.pages import element_rows, observed, opaque_rows
+from quillmask.sources.pages import observed, opaque_rows, screen_rows
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -161,7 +161,7 @@ def a14_screen_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x05_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redaction manifests of the screens of all pages."""
     seen = observed(spread(table(spark, sf_dir, "pages")))
-    shown, words, _ = screen.sanitize(element_rows(seen))
+    shown, words, _ = screen.sanitize(screen_rows(seen))
     return actions.redaction_manifest(shown, words, opaque_rows(seen)).select("scope", "masked_element_count", "opaque_regions", "json")
 
 

@@ -9,8 +9,8 @@ from quillmask.functions import geometry, patterns, spans
 from quillmask.functions.ner import to_spans
 from quillmask.functions.patterns import BY_NAME, rule_spans
 from quillmask.operators import actions, change, dictionary, gate, images, metrics, scoring, screen
-from quillmask.plans.common import STEPS, TEXTS, TRUTH, oracle, run, spread, table
-from quillmask.sources.pages import element_rows, observed
+from quillmask.plans.common import IDENTIFIERS, PLACED, STEPS, TEXTS, TRUTH, oracle, run, spread, table
+from quillmask.sources.pages import observed, screen_rows
 from quillmask.streaming.sessions import quiet_sessions, windowed_steps
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -155,11 +155,14 @@ def x07_plan_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '(none)' WHEN 1 THEN '- type e1 <PAN_1>' WHEN 2 THEN '- type e1 <PAN_1>' || chr(10) || '- type e2 <EMAIL_1>' ELSE '- type e1 <PAN_1>' || chr(10) || '- type e2 <EMAIL_1>' || chr(10) || '- click e4' END AS done,
-                 CASE c_custkey % 4 WHEN 0 THEN '<PAN_1>, <EMAIL_1>' WHEN 1 THEN '<EMAIL_1>' ELSE '(all used)' END AS unused, CASE WHEN c_custkey % 2 = 0 THEN 'e2 textbox "E-mail" type=text value="set"' ELSE 'e2 textbox "E-mail" type=text' END AS second FROM customer""")
+                 CASE c_custkey % 4 WHEN 0 THEN '<PAN_1>, <EMAIL_1>' WHEN 1 THEN '<EMAIL_1>' ELSE '(all used)' END AS unused, CASE WHEN c_custkey % 2 = 0 THEN 'e2 textbox "E-mail" type=text value="set"' ELSE 'e2 textbox "E-mail" type=text' END AS second,
+                 CASE WHEN c_custkey % 3 = 0 THEN 'form; cosine score ' || printf('%.3f', 0.5 + (c_custkey % 4) / 8) || ', top-two margin 0.125' ELSE '' END AS hint FROM customer""")
 def f30_render_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("prompt")
     part = lambda pattern: F.regexp_extract(p, pattern, 1)
-    return actions.render_screen(_requests(spark, sf_dir)).select("k", part("(?s)Done so far:\n(.*)\n\nNext action").alias("done"), part("Not used yet: (.*)").alias("unused"), part("(?m)^(e2 .*)$").alias("second"))
+    hint = F.struct(F.lit("form").alias("label"), (0.5 + F.col("k") % 4 / 8).alias("score"), F.lit(0.125).alias("margin"))
+    requests = _requests(spark, sf_dir).withColumns({"semantic_hint": F.when(F.col("k") % 2 < 2, hint), "has_image": F.col("k") % 3 == 0})
+    return actions.render_screen(requests).select("k", part("(?m)^Optional local image classifier [^:]*: (.*)\\. May be").alias("hint"), part("(?s)Done so far:\n(.*)\n\nNext action").alias("done"), part("Not used yet: (.*)").alias("unused"), part("(?m)^(e2 .*)$").alias("second"))
 
 
 @query("SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'repeats' WHEN 1 THEN 'unknown_placeholder' WHEN 2 THEN 'not_an_input' WHEN 3 THEN 'click_on_text_field' END AS note FROM customer")
@@ -396,13 +399,20 @@ def f15_dirty_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.dirty_tiles(d)
 
 
-@query()
+LINE = "concat_ws(chr(1), 'n1', 'textbox', c_name, '', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END, '', CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE '' END, '', (c_custkey % 7)::VARCHAR || ',20,200,12')"
+
+
+@query(f"""WITH RECURSIVE h(k, t, i, v) AS (SELECT c_custkey, 'https://a.example.com/' || c_custkey || '|1280x800' || {LINE} || CASE WHEN c_custkey % 5 = 0 THEN 'n9' ELSE '' END, 1, 2166136261::BIGINT FROM customer
+           UNION ALL SELECT k, t, i + 1, (xor(v, ascii(t[i])::BIGINT) * 16777619) & 4294967295 FROM h WHERE i <= length(t))
+           SELECT k, '1.' || (k % 5 = 0)::INT || '.' || lower(to_hex(v)) AS key FROM h WHERE i = length(t) + 1""")
 def f12_observation_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of pages as they are observed."""
-    seen = observed(spread(table(spark, sf_dir, "pages")))
-    box = {"x": F.lit(10.0), "y": F.lit(40.0), "w": F.lit(400.0), "h": F.lit(24.0)}
-    elements = F.transform("elements", lambda e: F.struct(*(e[k].alias(k) for k in ("nodeId", "role", "name", "text", "value", "checked", "disabled", "context")), *(v.alias(k) for k, v in box.items())))
-    return seen.select("page_id", change.observation_key(F.col("url"), F.lit(1280), F.lit(800), elements, F.array().cast("array<string>")).alias("key"))
+    """Keys of screens of one field and, for some, an opaque region; boxes count in steps of two pixels."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("boolean")
+    value = {"nodeId": F.lit("n1"), "role": F.lit("textbox"), "name": F.col("c_name"), "text": F.lit(""), "value": F.when(k % 2 == 0, F.col("c_mktsegment")), "checked": none, "disabled": F.when(k % 3 == 0, True), "context": none}
+    box = {"x": k % 7 * 2 + 0.9, "y": F.lit(39.0), "w": F.lit(400.0), "h": F.lit(24.5)}
+    elements = F.array(F.struct(*(v.alias(n) for n, v in {**value, **box}.items())))
+    url = F.concat(F.lit("https://a.example.com/"), k.cast("string"))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), change.observation_key(url, F.lit(1280), F.lit(800), elements, F.when(k % 5 == 0, F.array(F.lit("n9"))).otherwise(F.array().cast("array<string>"))).alias("key"))
 
 
 # ---- boxes
@@ -481,15 +491,82 @@ def s01_observe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x01_sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screens of all pages with their values replaced by tokens."""
-    shown, _, _ = screen.sanitize(element_rows(observed(spread(table(spark, sf_dir, "pages")))))
+    shown, _, _ = screen.sanitize(screen_rows(observed(spread(table(spark, sf_dir, "pages")))))
     return shown.groupBy("scope").agg(F.count("*").alias("elements"), F.sum(F.length("label")).alias("label_chars"))
 
 
-@query(f"WITH t AS ({TEXTS}) SELECT CAST(k AS STRING) AS scope, count(*) AS entries FROM ({TRUTH}) x GROUP BY k")
+SAFE = " || ".join(f"'{lead}' || " + (f"CASE WHEN dob_valid THEN '<{t}_1>' ELSE dob END" if c == "dob" else f"'<{t}_1>'") for c, t, lead, _ in PLACED)
+
+
+@query(f"SELECT CAST(k AS STRING) AS scope, 13 + dob_valid::INT AS entries, {SAFE} || ' end' AS safe FROM ({TEXTS}) t")
 def x15_sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary entries of texts, one scope each."""
-    _, words = screen.sanitize_text(spread(run(spark, sf_dir, TEXTS)).withColumn("scope", F.col("k").cast("string")))
-    return words.groupBy("scope").agg(F.count("*").alias("entries"))
+    """Texts with their values replaced, one scope each, and the number of dictionary entries."""
+    safe, words = screen.sanitize_text(spread(run(spark, sf_dir, TEXTS)).withColumn("scope", F.col("k").cast("string")))
+    return safe.join(words.groupBy("scope").agg(F.count("*").alias("entries")), "scope", "left")
+
+
+def _screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A screen for each customer: two fields with a rule, a text, a list and an image."""
+    d = spread(run(spark, sf_dir, IDENTIFIERS)).withColumn("even", F.col("k") % 2 == 0)
+    e = lambda n, tag, role, name, value="", kind=None, input_type=None, options=None: F.struct(
+        F.lit(n).alias("pos"), F.lit(f"n{n}").alias("nodeId"), F.lit(tag).alias("tag"), F.lit(role).alias("role"), (F.lit(name) if isinstance(name, str) else name).alias("name"), (F.lit(value) if isinstance(value, str) else value).alias("value"),
+        F.lit(input_type).cast("string").alias("inputType"), F.lit(kind).cast("string").alias("kind"), (F.lit(None) if options is None else options).cast("array<string>").alias("options"),
+    )
+    said = F.concat(F.lit("mobile "), "phone", F.lit(" or "), "email")
+    rows = F.array(
+        e(1, "input", "textbox", "Email", F.col("email"), input_type="email"), e(2, "input", "textbox", "PAN", F.when(F.col("even"), F.col("pan")).otherwise("")), e(3, "p", "text", said),
+        e(4, "select", "combobox", "Pay from", options=F.array(F.concat(F.lit("account no "), "account"), F.lit("none"))), e(5, "img", "image", F.when(F.col("even"), F.concat(F.lit("Card of "), "email")).otherwise(""), kind="img"),
+    )
+    empty = {n: F.lit(None).cast("string") for n in ("autocomplete", "htmlName", "htmlId", "placeholder", "context", "contact")}
+    flags = {"disabled": F.lit(None).cast("boolean"), "checked": F.lit(None).cast("boolean"), "boilerplate": F.lit(False)}
+    box = {k: F.lit(v) for k, v in {"x": 10.0, "y": 10.0, "w": 400.0, "h": 24.0, "viewport_w": 1280.0, "viewport_h": 800.0}.items()}
+    out = d.select(F.col("k").cast("string").alias("scope"), F.lit("https://www.site.example.com/a").alias("url"), F.explode(rows).alias("e")).select("scope", "url", "e.*")
+    return out.withColumns({**empty, **flags, **box, "text": F.lit("")})
+
+
+SCREENS = f"""SELECT k, n, 'e' || n AS id, ['textbox', 'textbox', 'text', 'combobox', 'image'][n] AS role,
+                    CASE n WHEN 1 THEN 'Email' WHEN 2 THEN 'PAN' WHEN 3 THEN 'mobile <PHONE_1> or <EMAIL_1>' WHEN 4 THEN 'Pay from'
+                           ELSE CASE WHEN k % 2 = 0 THEN 'Card of <EMAIL_1>' ELSE 'img' END || ' (img: pixels not in this list; use need_visual to see it)' END AS label,
+                    CASE WHEN n = 1 THEN '<EMAIL_1>' WHEN n = 2 AND k % 2 = 0 THEN '<PAN_1>' ELSE '' END AS value, CASE WHEN n = 4 THEN ['account no <ACCOUNT_1>', 'none'] END AS options
+             FROM (SELECT k, unnest([1, 2, 3, 4, 5]) AS n FROM ({IDENTIFIERS}) i)"""
+
+
+@query(f"SELECT k::VARCHAR AS scope, id, role, label, value, array_to_string(options, '; ') AS options, role || '|' || label || '|0.01,0.01,0.31,0.03' AS fingerprint FROM ({SCREENS})")
+def x01_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string of the sanitised screens of customers, known by construction."""
+    shown, _, _ = screen.sanitize(_screens(spark, sf_dir))
+    return shown.select("scope", "id", "role", "label", "value", F.array_join("options", "; ").alias("options"), "fingerprint")
+
+
+@query(f"""SELECT k::VARCHAR AS scope, 'd' || row_number() OVER (PARTITION BY k ORDER BY j) AS id, 'n' || [1, 2, 3, 3][j] AS "nodeId", ['EMAIL', 'PAN', 'PHONE', 'EMAIL'][j] AS type, j = 2 AS ruled
+           FROM (SELECT k, unnest([1, 2, 3, 4]) AS j FROM ({IDENTIFIERS}) i) WHERE j <> 2 OR k % 2 = 0""")
+def w03_detection_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered detections of the same screens; options and images have none."""
+    _, _, found = screen.sanitize(_screens(spark, sf_dir))
+    return found.select("scope", "id", "nodeId", "type", (F.col("source") == "dom_rule").alias("ruled"))
+
+
+@query(f"""SELECT k::VARCHAR AS scope, 'https://www.site.example.com' AS url_origin, 5 AS n,
+                  '~"id":"e2","role":"textbox","label":"PAN","value":"' || CASE WHEN k % 2 = 0 THEN '<PAN_1>' ELSE '' END || '","state":~~,"bbox":[0.008,0.013,0.313,0.03]~' AS second FROM ({IDENTIFIERS}) i""")
+def p03_wire_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leaves the device of these screens: the origin, and elements without nodes, fingerprints and accepted types (braces shown as ~)."""
+    rows = _screens(spark, sf_dir)
+    shown, _, _ = screen.sanitize(rows)
+    sent = screen.wire_screen(shown, rows.filter("pos = 1").select("scope", "url"))
+    return sent.select("scope", "url_origin", F.size("elements").alias("n"), F.translate(F.col("elements")[1], "{}", "~~").alias("second"))
+
+
+MASKED = """'[' || CASE WHEN k % 2 = 0 THEN '~"element_id":"e1","tokens":["<EMAIL_1>"]~,~"element_id":"e2","tokens":["<PAN_1>"]~' ELSE '~"element_id":"e1","tokens":["<EMAIL_1>"]~' END
+            || ',~"element_id":"e3","tokens":["<PHONE_1>","<EMAIL_1>"]~,~"element_id":"e4","tokens":["<ACCOUNT_1>"]~' || CASE WHEN k % 2 = 0 THEN ',~"element_id":"e5","tokens":["<EMAIL_1>"]~' ELSE '' END || ']'"""
+
+
+@query(f"""SELECT k::VARCHAR AS scope, '~"scheme":"{actions.SCHEME}","placeholder_format":"<TYPE_N>","legend":~"<ACCOUNT_1>":"ACCOUNT","<EMAIL_1>":"EMAIL"' || CASE WHEN k % 2 = 0 THEN ',"<PAN_1>":"PAN"' ELSE '' END
+                  || ',"<PHONE_1>":"PHONE"~,"masked_elements":' || {MASKED} || ',"masked_element_count":' || CASE WHEN k % 2 = 0 THEN 5 ELSE 3 END || ',"opaque_regions":1~' AS json FROM ({IDENTIFIERS}) i""")
+def x05_manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redaction manifests of these screens, whole (braces shown as ~)."""
+    rows = _screens(spark, sf_dir)
+    shown, words, _ = screen.sanitize(rows)
+    return actions.redaction_manifest(shown, words, rows.filter("kind is not null").select("scope")).select("scope", F.translate("json", "{}", "~~").alias("json"))
 
 
 # ---- windows over events: an extension

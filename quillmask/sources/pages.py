@@ -262,3 +262,14 @@ def element_rows(seen: DataFrame) -> DataFrame:
 
 def opaque_rows(seen: DataFrame) -> DataFrame:
     return seen.select(F.col("page_id").cast("string").alias("scope"), F.posexplode("opaque").alias("at", "o")).select("scope", "at", "o.*")
+
+
+def screen_rows(seen: DataFrame) -> DataFrame:
+    """The elements of pages, then their opaque regions as rows with a ``kind``, whose name is the alternative text."""
+    after = seen.select(F.col("page_id").cast("string").alias("scope"), "url", F.size("elements").alias("n"), F.posexplode("opaque").alias("at", "o"))
+    box = {"x": 10.0, "y": 10.0, "w": 400.0, "h": 24.0, "viewport_w": 1280.0, "viewport_h": 800.0}
+    regions = after.select(
+        "scope", (F.col("n") + F.col("at") + 1).alias("pos"), "url", "o.nodeId", F.col("o.kind").alias("kind"), F.lit("image").alias("role"), F.coalesce("o.name", F.lit("")).alias("name"),
+        F.lit("").alias("text"), F.lit("").alias("value"), F.lit(False).alias("boilerplate"), *(F.lit(v).alias(k) for k, v in box.items()),
+    )
+    return element_rows(seen).unionByName(regions, allowMissingColumns=True)

@@ -39,6 +39,12 @@ def test_sanitized_form(spark):
     assert found.filter("source = 'dom_rule'").count() == 2
     manifest = redaction_manifest(shown, words, pages.opaque_rows(seen)).first()
     assert manifest.masked_element_count == 5 and manifest.opaque_regions == 1 and json.loads(manifest.json)["legend"]["<PAN_1>"] == "PAN"
+    assert [r.id for r in found.orderBy("pos", "part", "at").collect()] == [f"d{i + 1}" for i in range(found.count())]
+    whole, words_too, _ = screen.sanitize(pages.screen_rows(seen))
+    image = whole.filter("id = 'e10'").first()
+    assert image.label.startswith("Card of <EMAIL_1> (img: pixels") and image.role == "image" and image.accepts == [] and whole.count() == 10 and words_too.count() == 5
+    sent = screen.wire_screen(whole, seen.select(F.col("page_id").cast("string").alias("scope"), "url")).first()
+    assert sent.url_origin == "https://www.y.in" and len(sent.elements) == 10 and "nodeId" not in sent.elements[0] and "98765" not in "".join(sent.elements)
     imported = dictionary.import_dictionary(words.select("scope", "token", "type", "value"))
     assert {r.n for r in imported.collect()} == {1} and dictionary.entries(words).count() == 1
 
