@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions.text import TOKEN, normalize_value
+from quillmask.operators.ranks import row_numbers
 
 
-def number_values(found: DataFrame, scope: str = "scope", order: str = "pos") -> DataFrame:
+def number_values(found: DataFrame, scope: str = "scope", order: str = "pos", wide: bool = False) -> DataFrame:
     """A dictionary (scope, token, type, value, norm, n): values are numbered within scope and type as they first come.
 
     ``found`` has scope, type, value and an order column. Values of one normal
-    form share a token, and the first spelling is kept. The window is over
-    distinct values of one scope and type, after a partial aggregation.
+    form share a token, and the first spelling is kept. The numbering is over
+    distinct values, after a partial aggregation: by a window, which suits
+    scopes as small as a page or a session, or, with ``wide``, by ranges, for
+    scopes that may hold a large part of all values.
     """
     first = found.withColumn("norm", normalize_value(F.col("value"))).groupBy(scope, "type", "norm").agg(F.min(F.struct(order, "value")).alias("first"))
-    n = F.row_number().over(Window.partitionBy(scope, "type").orderBy(F.col(f"first.{order}"), "norm"))
-    return first.withColumn("n", n).select(scope, F.format_string("<%s_%d>", "type", "n").alias("token"), "type", F.col("first.value").alias("value"), "norm", "n")
+    first = first.select(scope, "type", "norm", F.col(f"first.{order}").alias("_first"), "first.value")
+    if wide:
+        numbered = row_numbers(first, [scope, "type"], ["_first", "norm"]).withColumn("n", F.col("n").cast("int"))
+    else:
+        numbered = first.withColumn("n", F.row_number().over(Window.partitionBy(scope, "type").orderBy("_first", "norm")))
+    return numbered.select(scope, F.format_string("<%s_%d>", "type", "n").alias("token"), "type", "value", "norm", "n")
 
 
 def import_dictionary(rows: DataFrame, scope: str = "scope") -> DataFrame:

@@ -41,13 +41,13 @@ def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT scope, '<EMAIL_' || n || '>' AS token, 'EMAIL' AS type, value, norm, n::INT AS n FROM ({NUMBERED})")
 def w01_number_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary of the e-mail addresses of each source."""
-    return dictionary.number_values(_mails(spark, sf_dir))
+    return dictionary.number_values(_mails(spark, sf_dir), wide=True)  # a source may hold a third of all rows
 
 
 @query(f"SELECT m.doc_id, m.value, '<EMAIL_' || d.n || '>' AS token FROM ({MAILS}) m JOIN ({NUMBERED}) d ON d.scope = m.source AND d.norm = regexp_replace(lower(m.value), '[\\s\\-_.()/+,:]', '', 'g')")
 def j01_assign_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _mails(spark, sf_dir)
-    return dictionary.assign_tokens(found, dictionary.number_values(found)).select("doc_id", "value", "token")
+    return dictionary.assign_tokens(found, dictionary.number_values(found, wide=True)).select("doc_id", "value", "token")
 
 
 TOKEN_TEXTS = "SELECT c_custkey AS k, CAST(c_custkey % 4 AS STRING) AS scope, 'a <PAN_' || CAST(c_custkey % 5 AS STRING) || '> b <NAME_1> c' AS text FROM {customer}"

@@ -162,6 +162,14 @@ def test_quantiles_by_place(spark):
     assert got == {"a": (2.0, 3.0, 1.0, 9.0), None: (2.0, 2.0, 2.0, 2.0), "b": (None, None, None, None)}
 
 
+def test_wide_scopes_are_numbered_alike(spark):
+    rows = [(None if i % 7 == 0 else "s", "PAN" if i % 3 else "IP", f"V-{i * 37 % 90}", i // 2) for i in range(400)]
+    found = spark.createDataFrame(rows, "scope string, type string, value string, pos int").repartition(5)
+    plain, wide = (sorted(map(str, dictionary.number_values(found, wide=w).collect())) for w in (False, True))
+    assert plain == wide and len(wide) > 90
+    assert dictionary.number_values(found.limit(0), wide=True).count() == 0
+
+
 def test_times_from_marks(spark):
     marks = spark.createDataFrame([("r", 1, [10.0, 11.5, 14.0]), ("r", 2, [1.0]), ("r", 3, None)], "run_id string, step int, marks array<double>")
     got = {r.step: (r.ms_observe, r.ms_sanitize, r.ms_vision, r.ms_total) for r in change.step_times(marks).collect()}
