@@ -65,26 +65,50 @@ def leak_counters(pages: DataFrame) -> DataFrame:
     )
 
 
-def same_value(a: Column, b: Column) -> Column:
-    """Normal forms that are equal, or of which one of six or more characters is in the other."""
-    return (a == b) | ((F.length(b) >= 6) & a.contains(b)) | ((F.length(a) >= 6) & b.contains(a))
+def within_values(inner: DataFrame, outer: DataFrame, key: str, least: int) -> DataFrame:
+    """The distinct (key, inner, outer) where a value is part of another, or equal to it, from distinct (key, inner) and (key, outer).
+
+    Only inner values of ``least`` or more characters count. An outer value
+    gives its parts of those lengths that its key's inner values have, and the
+    parts meet the inner values by equality: no pair is formed that isn't a
+    match. Meant for values of fields, not for whole texts.
+    """
+    long = inner.filter(F.length("inner") >= least)
+    lengths = long.select(key, F.length("inner").alias("n")).distinct()
+    slots = outer.withColumn("size", F.length("outer")).join(lengths, key).filter(F.col("n") <= F.col("size"))
+    parts = F.transform(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1), lambda i: F.substring(F.col("outer"), i, F.col("n")))
+    return slots.select(key, "outer", F.explode(F.array_distinct(parts)).alias("inner")).join(long, [key, "inner"]).select(key, "inner", "outer")
 
 
 def score_sites(masked: DataFrame, positives: DataFrame, benign: DataFrame, key: str = "site") -> DataFrame:
     """Per site: positives, tp, fn, fp, tn, benign_masked, type_ok and rates, from masked and annotated values (key, type, value).
 
-    Pairs are only formed within a site, whose annotations are a handful.
+    Two values are the same if their normal forms are equal, or one of six or
+    more characters is in the other; a benign value is masked if either holds
+    the other. Distinct values are matched, then counted by their rows. Of
+    several masked values that fit, the least token gives the type.
     """
     norm = normalize_value(F.col("value"))
     m = masked.select(key, F.col("token"), F.col("type").alias("m_type"), norm.alias("m"))
-    p = positives.withColumn("row", F.monotonically_increasing_id()).select(key, "row", F.col("type").alias("p_type"), norm.alias("p"))
-    hits = p.join(m, key).filter(same_value(F.col("m"), F.col("p")))
-    first = hits.groupBy(key, "row").agg(F.min_by(F.col("m_type") == F.col("p_type"), "token").alias("type_ok"))
-    positive = p.join(first, [key, "row"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("positives"), F.count("type_ok").alias("tp"), F.count_if(F.col("type_ok").isNull()).alias("fn"), F.count_if(F.col("type_ok")).alias("type_ok"))
-    false = m.join(hits.select(key, "token").distinct(), [key, "token"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("fp"))
-    b = benign.withColumn("row", F.monotonically_increasing_id()).select(key, "row", norm.alias("b"))
-    touched = b.join(m, key).filter(F.col("b").contains(F.col("m")) | F.col("m").contains(F.col("b"))).select(key, "row").distinct().withColumn("hit", F.lit(True))
-    negative = b.join(touched, [key, "row"], "left").groupBy(key).agg(F.count_if(F.col("hit").isNull()).alias("tn"), F.count("hit").alias("benign_masked"))
+    p = positives.select(key, F.col("type").alias("p_type"), norm.alias("p"))
+    b = benign.select(key, norm.alias("b"))
+    m_values = m.groupBy(key, "m").agg(F.min(F.struct("token", "m_type")).alias("first"))
+    p_values, b_values = p.select(key, "p").distinct(), b.select(key, "b").distinct()
+
+    def either(others: DataFrame, name: str, least: int) -> DataFrame:
+        inner, outer = m_values.select(key, F.col("m").alias("inner")), others.select(key, F.col(name).alias("outer"))
+        one = within_values(inner, outer, key, least).select(key, F.col("inner").alias("m"), F.col("outer").alias(name))
+        two = within_values(outer.withColumnRenamed("outer", "inner"), inner.withColumnRenamed("inner", "outer"), key, least).select(key, F.col("outer").alias("m"), F.col("inner").alias(name))
+        return one.unionByName(two)
+
+    equal = m_values.select(key, "m").join(p_values.withColumn("m", F.col("p")), [key, "m"])
+    hits = either(p_values, "p", 6).unionByName(equal).distinct()
+    first = hits.join(m_values, [key, "m"]).groupBy(key, "p").agg(F.min("first").alias("first"))
+    ok = F.col("first.m_type") == F.col("p_type")
+    positive = p.join(first, [key, "p"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("positives"), F.count("first").alias("tp"), F.count_if(F.col("first").isNull()).alias("fn"), F.count_if(ok).alias("type_ok"))
+    false = m.join(hits.select(key, "m").distinct(), [key, "m"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("fp"))
+    touched = either(b_values, "b", 0).select(key, "b").distinct().withColumn("hit", F.lit(True))
+    negative = b.join(touched, [key, "b"], "left").groupBy(key).agg(F.count_if(F.col("hit").isNull()).alias("tn"), F.count("hit").alias("benign_masked"))
     out = positive.join(false, key, "left").join(negative, key, "left").na.fill(0, ["fp", "tn", "benign_masked"])
     return with_rates(out, F.lit(None)).withColumn("type_accuracy", F.when(F.col("tp") > 0, F.col("type_ok") / F.col("tp")))
 

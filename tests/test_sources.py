@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillmask.operators import change, dictionary, metrics, screen
+from quillmask.operators import change, dictionary, metrics, scoring, screen
 from quillmask.operators.actions import redaction_manifest
 from quillmask.plans.common import STEPS, run
 from quillmask.sources import files, pages
@@ -170,6 +170,15 @@ def test_wide_scopes_are_numbered_alike(spark):
     assert dictionary.number_values(found.limit(0), wide=True).count() == 0
 
 
+def test_values_within_values(spark):
+    inner, outer = ["", "a", "ab", "abcdef", "xyz", "ba"], ["", "ab", "abab", "zabcdefz", "q"]
+    i, o = (spark.createDataFrame([("s", v) for v in vs] + [("t", vs[1])], f"site string, {n} string") for vs, n in ((inner, "inner"), (outer, "outer")))
+    for least in (0, 2, 6):
+        got = sorted(tuple(r) for r in scoring.within_values(i, o, "site", least).collect())
+        want = [("s", x, y) for x in inner for y in outer if len(x) >= least and x in y] + [("t", x, y) for x, y in [(inner[1], outer[1])] if len(x) >= least and x in y]
+        assert got == sorted(want)
+
+
 def test_times_from_marks(spark):
     marks = spark.createDataFrame([("r", 1, [10.0, 11.5, 14.0]), ("r", 2, [1.0]), ("r", 3, None)], "run_id string, step int, marks array<double>")
     got = {r.step: (r.ms_observe, r.ms_sanitize, r.ms_vision, r.ms_total) for r in change.step_times(marks).collect()}
