@@ -36,7 +36,8 @@ def p04_known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", F.explode(spans.known_values(t, e)).alias("s")).select("k", "s.value", "s.start", F.col("s.end").alias("stop"))
 
 
-@query("""SELECT c_custkey AS k, NOT (c_custkey % 3 = 0 AND (c_custkey % 2 = 0 OR c_custkey % 5 = 0)) AS mail, NOT (c_custkey % 3 = 1 AND c_custkey % 2 = 0) AS tel, c_custkey % 7 = 0 OR c_custkey % 2 <> 0 AS model FROM customer""")
+@query("""SELECT c_custkey AS k, NOT (c_custkey % 3 = 0 AND (c_custkey % 2 = 0 OR c_custkey % 5 = 0)) AS mail, NOT (c_custkey % 3 = 1 AND c_custkey % 2 = 0) AS tel, c_custkey % 7 = 0 OR c_custkey % 2 <> 0 AS model,
+                 c_custkey % 4 <> 1 AS letters FROM customer""")
 def p05_p07_span_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which spans stay: site contacts in boilerplate or of the page's domain go, as do model spans in boilerplate that are no values."""
     k = F.col("k")
@@ -44,9 +45,11 @@ def p05_p07_span_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     boiler = k % 2 == 0
     one = lambda t, v, s: patterns.span(F.lit(t), F.lit(0), F.lit(5), v, F.lit(s), F.lit(0.9))
     mail = one("EMAIL", F.when(k % 5 == 0, "a@in.site.com").otherwise("a@other.com"), "pattern")
+    short = F.when(k % 4 == 0, one("NAME", F.lit("Ravi"), "ner")).when(k % 4 == 1, one("NAME", F.lit("- a."), "ner")).when(k % 4 == 2, one("NAME", F.lit("- a."), "pattern")).otherwise(one("NAME", F.lit("A. B9"), "ner"))
     return _customers(spark, sf_dir).select(
         "k", spans.not_site_contact(mail, contact, boiler, F.lit("site.com")).alias("mail"), spans.not_site_contact(one("PHONE", F.lit("9"), "pattern"), contact, boiler, F.lit("site.com")).alias("tel"),
         spans.not_boilerplate(one("NAME", F.lit("Ravi"), "ner"), k % 7 == 0, boiler).alias("model"),
+        spans.enough_letters(short).alias("letters"),
     )
 
 

@@ -468,16 +468,16 @@ def p17_f19_mask_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- models and pages
 
 
-@query("SELECT c_custkey AS k, CASE c_custkey % 2 WHEN 0 THEN 'Ravi Kumar' ELSE '12, Hill Road' END AS value, CASE c_custkey % 2 WHEN 0 THEN 'NAME' ELSE 'ADDRESS' END AS type FROM customer")
+@query("SELECT c_custkey AS k, CASE c_custkey % 2 WHEN 0 THEN 'Ravi Kumar' ELSE '12, Hill Road' END AS value, CASE c_custkey % 2 WHEN 0 THEN 'NAME' ELSE 'ADDRESS' END AS type, 0.8 AS confidence FROM customer")
 def f25_entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token entities merged to spans; an address takes its house number along."""
     k = F.col("c_custkey") % 2
     text = F.when(k == 0, "met Ravi Kumar today").otherwise("at 12, Hill Road now")
     tokens = F.when(k == 0, F.array(*map(F.lit, ["met", "ravi", "ku", "##mar", "today"]))).otherwise(F.array(*map(F.lit, ["at", "12", ",", "hill", "road"])))
     e = lambda kind, i, s: F.struct(F.lit(kind).alias("entity"), F.lit(s).alias("score"), F.lit(i).alias("index"), F.lit("").alias("word"))
-    ents = F.when(k == 0, F.array(e("B-PERSON", 2, 0.9), e("B-PERSON", 3, 0.8), e("I-PERSON", 4, 0.7))).otherwise(F.array(e("B-LOCATION", 4, 0.9), e("I-LOCATION", 5, 0.9)))
+    ents = F.when(k == 0, F.array(e("B-PERSON", 2, 0.9), e("B-PERSON", 3, 0.8), e("I-PERSON", 4, 0.7))).otherwise(F.array(e("B-LOCATION", 4, 0.9), e("I-LOCATION", 5, 0.7)))
     d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(to_spans(text, tokens, ents)).alias("s"))
-    return d.select("k", "s.value", "s.type")
+    return d.select("k", "s.value", "s.type", F.round("s.confidence", 6).alias("confidence"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a href')) AS links, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")
