@@ -79,16 +79,18 @@ def _filter_of(keys: DataFrame) -> DataFrame:
     return full.select("zero", F.transform("a", lambda x: x["m"]).alias("bits")).join(widths, "zero")
 
 
-def canary_hits(payloads: DataFrame, canaries: DataFrame, key: str = "id", payload: str = "payload", canary: str = "canary") -> DataFrame:
-    """(key, canary) for payloads that hold a canary as it stands or in normal form, as in :func:`scan`.
+def canary_hits(payloads: DataFrame, canaries: DataFrame, key: str = "id", payload: str = "payload", canary: str = "canary", normalized: bool = True) -> DataFrame:
+    """(key, canary) for payloads that hold a canary as it stands or in normal form, as in :func:`scan`; only as it stands without ``normalized``.
 
-    A join by equality: a canary is looked for only in payloads that share a
+    A row for each payload and distinct canary in it, also where payloads share
+    their key. A join by equality: a canary is looked for only in payloads that share a
     window of its normal form, the one that the fewest canaries have; candidates
     are then tested. Windows are as wide as the canary allows; a canary without
     a normal form is in every payload. A filter of fixed size thins out the
     payloads' windows first.
     """
-    forms = canaries.select(canary).filter(F.col(canary).isNotNull()).distinct().withColumn("form", _key_form(F.col(canary)))
+    form = _key_form if normalized else lambda c: c
+    forms = canaries.select(canary).filter(F.col(canary).isNotNull()).distinct().withColumn("form", form(F.col(canary)))
     width = F.lit(0)
     for n in sorted(WINDOWS):
         width = F.when(F.length("form") >= n, n).otherwise(width)
@@ -103,10 +105,12 @@ def canary_hits(payloads: DataFrame, canaries: DataFrame, key: str = "id", paylo
     texts = payloads.filter(F.col(payload).isNotNull()).select(F.col(key).alias("k"), F.col(payload).alias("p"))
     none = F.array().cast("array<long>")
     asked_for = lambda n, found: F.when(F.array_contains("widths", n), found).otherwise(none)
-    windows = F.concat(asked_for(0, F.array(F.lit(0).cast("long"))), *(asked_for(n, _windows(_key_form(F.col("p")), n)) for n in WINDOWS))
+    windows = F.concat(asked_for(0, F.array(F.lit(0).cast("long"))), *(asked_for(n, _windows(form(F.col("p")), n)) for n in WINDOWS))
     bit = lambda w: F.expr("bits")[F.floor(F.pmod(w, F.lit(FILTER_BITS)) / 64).cast("int")].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(w, F.lit(FILTER_BITS)) % 64).cast("int")))
     left = texts.withColumn("zero", F.length("p").cast("long") * 0).join(F.broadcast(_filter_of(keys)), "zero")
     left = left.select("k", F.explode(F.array_distinct(F.filter(windows, lambda w: bit(w) != 0))).alias("w"))
     asked = left.join(keys, "w").select(F.col("k").alias("hit"), canary).distinct()
-    held = F.col("p").contains(F.col(canary)) | normalize_value(F.col("p")).contains(normalize_value(F.col(canary)))
-    return texts.join(asked, F.col("k").eqNullSafe(F.col("hit"))).filter(held).select(F.col("k").alias(key), canary).distinct()
+    held = F.col("p").contains(F.col(canary))
+    if normalized:
+        held = held | normalize_value(F.col("p")).contains(normalize_value(F.col(canary)))
+    return texts.join(asked, F.col("k").eqNullSafe(F.col("hit"))).filter(held).select(F.col("k").alias(key), canary)

@@ -26,3 +26,21 @@ def test_hits_equal_scan(spark):
     want = [(r.id, r.canary) for r in each.filter(F.exists(gate.scan(F.col("payload"), F.lit(None), F.array("canary"), "payload"), lambda h: h["kind"] == "canary")).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {(2, CANARIES[0]), (3, CANARIES[0]), (4, CANARIES[0]), (5, "CANARY-7"), (5, "ab"), (7, "-.-"), (None, "CANARY-7")} <= set(got)
+
+
+def test_hits_as_they_stand(spark, tmp_path):
+    """The query equals its SQL where passages stand in other case or spacing, texts are repeated or share an id."""
+    import duckdb
+
+    from quillmask import catalog
+
+    docs = [(k, p) for k, p in PAYLOADS if k is not None] + [(1, "CANARY-7 and the Quick-Brown fox, jumps over"), (9, "CANARY-7"), (9, "CANARY-7"), (9, "canary-7")]
+    items = [*enumerate(CANARIES), (90, CANARIES[1]), (91, ""), (92, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = [tuple(r) for r in catalog.QUERIES["j05_canaries"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(catalog.ORACLE_SQL["j05_canaries"]).fetchall())
+    assert got.count((9, 1)) == 2 and (2, 0) not in got
