@@ -71,9 +71,32 @@ def round3(c: Column) -> Column:
     return F.floor(c * 1000 + 0.5) / 1000
 
 
-def fixed(c: Column, digits: int = 2) -> Column:
-    """A number with a fixed number of decimals and no grouping."""
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+def fixed(c: Column, digits: int = 2, even: bool = False) -> Column:
+    """A number with a fixed number of decimals (one at least) and no grouping, rounded by its exact value.
+
+    Of two that are as near, the one further from 0, with ``even`` the one with
+    an even last digit. (``format_string`` rounds the shortest decimal text of
+    the number, so that 0.35, which is a little less, becomes 0.4.)
+    """
+    scale = 10**digits
+
+    def rounded(x: Column) -> Column:
+        ones = F.floor(F.abs(x))
+        size = F.abs(x) - ones
+        product = size * float(scale)
+        whole = F.floor(product)
+        above = product - whole
+        high = size * float((1 << 27) + 1) - (size * float((1 << 27) + 1) - size)  # the upper half of the bits: its multiple is exact
+        left = (high * float(scale) - product) + (size - high) * float(scale)  # what the product lost
+        tie = whole % 2 == 1 if even else F.lit(True)
+        return ones * scale + whole + F.when((above > 0.5) | ((above == 0.5) & ((left > 0) | ((left == 0) & tie))), 1).otherwise(0)
+
+    def shown(x: Column) -> Column:
+        cut = lambda n: F.concat(F.when(x < 0, "-").otherwise(""), F.substring(n, F.lit(1), F.length(n) - digits), F.lit("."), F.right(n, F.lit(digits)))
+        plain = let(rounded(x).cast("string"), lambda n: let(F.when(F.length(n) > digits, n).otherwise(F.lpad(n, digits + 1, "0")), cut))
+        return F.when(F.abs(x) < float(1 << 52), plain).otherwise(F.format_string(f"%.{digits}f", x))  # larger ones have halves at most
+
+    return let(c.cast("double"), shown)
 
 
 FNV_START, FNV_PRIME, MASK = 0x811C9DC5, 0x01000193, 0xFFFFFFFF

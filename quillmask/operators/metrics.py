@@ -25,6 +25,16 @@ PLACES = {
 }
 
 
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """low * (1 - part) + high * part, the first product unrounded: what lies between equal values is that value, to the last bit."""
+    upper = lambda x: x * float((1 << 27) + 1) - (x * float((1 << 27) + 1) - x)
+    rest = 1 - part
+    a, b = low * rest, high * part
+    lost = upper(low) * upper(rest) - a + upper(low) * (rest - upper(rest)) + (low - upper(low)) * upper(rest) + (low - upper(low)) * (rest - upper(rest))
+    total = a + b
+    return F.nanvl(total + ((a - (total - (total - a))) + (b - (total - a)) + lost), total)
+
+
 def quantiles(rows: DataFrame, by: str, value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Exact quantiles of each group, a row per value of ``by``; ``wanted`` maps a column's name to (kind, q), kinds as in ``PLACES``.
 
@@ -50,7 +60,7 @@ def quantiles(rows: DataFrame, by: str, value: str, wanted: dict[str, tuple[str,
         low, high = PLACES[kind](n, q)
         picked += [at(low).alias(f"{name}_low"), at(high).alias(f"{name}_high")]
         part = (F.col("total") - 1) * q - F.floor((F.col("total") - 1) * q)
-        between = F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part
+        between = _between(F.col(f"{name}_low").cast("double"), F.col(f"{name}_high").cast("double"), part)
         columns.append((between if kind == "linear" else F.col(f"{name}_low")).alias(name))
     return ranked.groupBy(by).agg(F.max("total").alias("total"), *picked).select(*columns)
 
@@ -73,18 +83,27 @@ def summarize_steps(steps: DataFrame) -> DataFrame:
     return out.crossJoin(found.agg(*(one(s, p) for s in STAGES for p in ("p50", "p95"))))  # two single rows
 
 
+def _running(steps: DataFrame) -> DataFrame:
+    """The steps with their run's time so far: added step by step, as sums of doubles depend on the order."""
+    return steps.withColumn("_so_far", F.sum(_stage("total")).over(Window.partitionBy("run_id").orderBy("step")))
+
+
+def _task_time() -> Column:
+    return F.coalesce(F.max_by("_so_far", "step"), F.sum(_stage("total"))).alias("ms_task")
+
+
 def summarize_runs(steps: DataFrame) -> DataFrame:
     """One row per run: steps, the outcome of the last, whole and server time, whether any step was blocked."""
-    return steps.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("steps"), F.max_by("outcome", "step").alias("outcome"), F.sum(_stage("total")).alias("ms_task"), F.sum(_stage("server")).alias("ms_server"), F.bool_or(F.col("outcome") == "blocked").alias("blocked")
+    return _running(steps).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("steps"), F.max_by("outcome", "step").alias("outcome"), _task_time(), F.sum(_stage("server")).alias("ms_server"), F.bool_or(F.col("outcome") == "blocked").alias("blocked")
     )
 
 
 def run_table(steps: DataFrame) -> DataFrame:
     """The dashboard's row per run."""
-    return steps.groupBy("run_id").agg(
+    return _running(steps).groupBy("run_id").agg(
         F.max_by("origin", "step").alias("origin"), F.count(F.lit(1)).alias("steps"), F.count_if(F.col("reused")).alias("reused"), F.count_if(F.col("image_sent")).alias("images"),
-        F.max("placeholders").alias("placeholders"), F.sum("bytes").alias("bytes"), F.sum(_stage("total")).alias("ms_task"), F.max_by("outcome", "step").alias("outcome"),
+        F.max("placeholders").alias("placeholders"), F.sum("bytes").alias("bytes"), _task_time(), F.max_by("outcome", "step").alias("outcome"),
     )
 
 
@@ -141,7 +160,7 @@ def dashboard(steps: DataFrame, most: int = 500) -> DataFrame:
     The table is a report of the first ``most`` runs by id, and says how many
     more there are; ``run_table`` has them all.
     """
-    one = lambda c, d=1: F.when(F.lit(d == 0), F.floor(F.col(c) + 0.5).cast("string")).otherwise(fixed(F.col(c), d))
+    one = lambda c, d=1: F.when(F.lit(d == 0), F.floor(F.col(c) + 0.5).cast("string")).otherwise(fixed(F.col(c), max(d, 1), even=True))
     tasks = summarize_runs(steps).select(F.lit(True).alias("all"), "ms_task")
     task = quantiles(tasks, "all", "ms_task", {"task_p50": ("linear", 0.5), "task_p95": ("linear", 0.95)}).agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("task_p50", "task_p95")))
     card = lambda *parts: [F.lit("<b>"), *parts, F.lit("</b>")]
