@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, frugal, hash_spans, mix, release_memory, segments, spans
+from quillmask.llm.columns import STEP_KEYS, U64, blocks, buffers, frugal, hash_spans, mix, segments, spans
+from quillmask.llm.tables import trim_driver
 
 BITS = 18
 TRAIN_ROWS = 6000
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     got = texts.mapInArrow(frugal(run), "doc_id long, label int, at binary, value binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     model = train_ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in got])
     del got
-    release_memory()
+    trim_driver(docs.sparkSession)
     return model
 
 

@@ -8,6 +8,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,24 @@ from quillmask.session import shared_checkpoint_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Gives what the driver has freed back to the system: of its Python, its Java heap and, by glibc, of what its JVM allocates
+    besides that (compilers and class data leave some hundred MB there after many plans). Whether the JVM knows the latter."""
+    release_memory()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    known = jvm.java.lang.Class.forName
+    types, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for k, (kind, value) in enumerate((("javax.management.ObjectName", jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")), ("java.lang.String", "systemTrimNativeHeap"), ("[Ljava.lang.Object;", array(jvm.java.lang.Object, 0)), ("[Ljava.lang.String;", array(jvm.java.lang.String, 0)))):
+        types[k], values[k] = known(kind), value
+    try:
+        # by the interface's method, as the server's own class is not open
+        known("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except (Py4JError, PySparkException):
+        return False
+    return True
+
+
 class Scratch:
     """Tables of one computation in the shared checkpoint folder: lineage ends at each, and it can go after its last reader."""
 
@@ -57,8 +77,7 @@ class Scratch:
         for b in self.sent:
             b.destroy()
         self.sent = []
-        release_memory()
-        self.spark.sparkContext._jvm.System.gc()
+        trim_driver(self.spark)
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes written tables that nothing will read again."""

@@ -5,7 +5,7 @@ import pytest
 
 from quillmask.llm import jaccard_join as jj
 from quillmask.llm.set_index import HOT_SETS
-from quillmask.llm.tables import Scratch, components
+from quillmask.llm.tables import Scratch, components, trim_driver
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -82,3 +82,7 @@ def test_components_by_stars(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jj.jaccard_components(df).collect() == []
+
+
+def test_driver_gives_back_what_its_jvm_allocates(spark):
+    assert trim_driver(spark)
