@@ -43,8 +43,10 @@ from quillmask.llm.tables import Scratch, components, may_hold
 CENTRE_SETS = 2048
 #: Longs of a document's bit pattern.
 LONGS = 8
-#: Rounds in which sets look for a link to one set of another component, before all pairs left are looked at.
-ROUNDS = 3
+#: Rounds in which sets look for a link to one set of another component, before all pairs left are looked at: to one that
+#: stands for a group, then to the one whose bit pattern is nearest.
+ROUNDS = 2
+NEAREST_ROUNDS = 2
 
 SetsOf = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -192,29 +194,33 @@ def similarity_components(pairs: DataFrame, groups: DataFrame, texts: DataFrame,
         several = rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
         return scratch.written(rows.join(several, "g", "left_semi"), "mixed")
 
-    for k in range(ROUNDS):
-        members = mixed(members)
+    def by_stands(members: DataFrame, k: int) -> DataFrame:
+        """For the sets of each group one of them that stands for it, by chance mostly of the largest component there; and all pairs of short lists."""
         open_ = apart(pairs, "a", "b")
-        # one set stands for each group; by chance it is mostly of the largest component there
         stands = members.groupBy("g").agg(F.max(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "n", *bit_names(longs))).alias("s"))
         stands = stands.select("g", F.col("s.id").alias("y"), F.col("s.root").alias("y_root"), F.col("s.n").alias("m"), *(F.col(f"s.{b}").alias(f"y_{b}") for b in bit_names(longs)))
         met = members.join(stands, "g").filter((F.col("root") != F.col("y_root")) & compatible(F.col("n"), F.col("m"))).filter(within_bits(bit_names(longs), bit_names(longs, "y_"), "n", "m"))
         met = met.groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("lists"))
-        met = met.union(open_.select(F.col("a").alias("x"), F.col("b").alias("y"), "lists")).union(open_.select(F.col("b").alias("x"), F.col("a").alias("y"), "lists"))
-        if done is not None:
-            met = met.join(both_ways(done).toDF("x", "y"), ["x", "y"], "left_anti")
-        asked = scratch.written(best_of(met), "asked")
-        tried = asked.count()
-        if not tried:
-            break
-        found = verify(asked, "round")
-        done = found if done is None else done.unionByName(found)
-        hits = found.filter(LINK).count()
-        if hits:
-            roots = components(done.filter(LINK), scratch)
-        if hits * 10 <= tried:
-            break
-    if roots is None:
+        return met.union(open_.select(F.col("a").alias("x"), F.col("b").alias("y"), "lists")).union(open_.select(F.col("b").alias("x"), F.col("a").alias("y"), "lists"))
+
+    for nearest, rounds in ((False, ROUNDS), (True, NEAREST_ROUNDS)):
+        for k in range(rounds):
+            members = mixed(members)
+            met = block_pairs(members.withColumn("tag", F.col("root")), longs, nearest=True) if nearest else by_stands(members, k)
+            if done is not None:
+                met = met.join(both_ways(done).toDF("x", "y"), ["x", "y"], "left_anti")
+            asked = scratch.written(best_of(met), "asked")
+            tried = asked.count()
+            if not tried:
+                break
+            found = verify(asked, "round")
+            done = found if done is None else done.unionByName(found)
+            hits = found.filter(LINK).count()
+            if hits:
+                roots = components(done.filter(LINK), scratch)
+            if hits * 10 <= tried:
+                break
+    if done is None:  # no two sets can be similar
         return scratch.written(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), "roots")
     # all pairs left of different components
     members = mixed(members)

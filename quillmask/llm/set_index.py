@@ -337,9 +337,12 @@ def within_bits(x: list[str], y: list[str], n: str, m: str) -> Column:
     return (NUM + DEN) * differing <= (DEN - NUM) * (F.col(n) + F.col(m))
 
 
-def block_pairs(entries: DataFrame, longs: int, block_sets: int = BLOCK_SETS) -> DataFrame:
+def block_pairs(entries: DataFrame, longs: int, block_sets: int = BLOCK_SETS, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of sets of one group with different tags that sizes, positions and bit patterns allow.
 
+    With ``nearest``, rows (x, y, lists) instead: of the pairs of two blocks, for each tag only the one whose bit patterns
+    differ least for their sizes (x is of that tag; lists grows with the likeness), so rows follow the tags, not the pairs.
+
     ``entries``: (g, id, n, at, tag, b0 ...). A group is cut into blocks by
     bands of size and a hash, of about ``block_sets`` sets each. Two blocks
     meet in one task unless their bounds rule out all their pairs: the least
@@ -360,6 +363,8 @@ def block_pairs(entries: DataFrame, longs: int, block_sets: int = BLOCK_SETS) ->
     asked = met.select("g", "key", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select("g", "key", "s.band", "s.block", "s.side")
     dealt = asked.join(entries, ["g", "band", "block"]).select("key", "side", "id", "n", "rest", "tag", *bit_names(longs)).repartition("key").sortWithinPartitions("key")
 
+    meet = _nearest_met if nearest else _all_met
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         now = None
@@ -368,18 +373,37 @@ def block_pairs(entries: DataFrame, longs: int, block_sets: int = BLOCK_SETS) ->
             edges = _runs(rows[0]) if rows.shape[1] else [0]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if held and now != rows[0, a]:
-                    yield from _meeting(np.concatenate(held, axis=1))
+                    yield from meet(np.concatenate(held, axis=1))
                     held = []
                 now = rows[0, a]
                 held.append(rows[1:, a:b])
         if held:
-            yield from _meeting(np.concatenate(held, axis=1))
+            yield from meet(np.concatenate(held, axis=1))
+
+    return dealt.mapInArrow(frugal(run), "x long, y long, lists double" if nearest else "a long, b long")
+
+
+def _all_met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for x, y, _ in _meeting(rows):
+        p, q = x[1], y[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+
 
-    return dealt.mapInArrow(frugal(run), "a long, b long")
+def _nearest_met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    best = np.zeros((3, 0), np.int64), np.zeros(0)
+    for x, y, differing in _meeting(rows):
+        like = 1 - differing / (x[2] + y[2])
+        sides = np.concatenate([best[0], [x[4], x[1], y[1]], [y[4], y[1], x[1]]], axis=1)
+        like = np.concatenate([best[1], like, like])
+        order = np.lexsort((sides[2], sides[1], -like, sides[0]))
+        first = order[_runs(sides[0][order])[:-1]]
+        best = sides[:, first], like[first]
+    if len(best[1]):
+        yield pa.RecordBatch.from_arrays([pa.array(best[0][1]), pa.array(best[0][2]), pa.array(best[1])], ["x", "y", "lists"])
 
 
-def _meeting(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of the sets of two blocks (rows: side, id, n, rest, tag, bit patterns); of side 2: of one block with itself."""
+def _meeting(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of the sets of two blocks (rows: side, id, n, rest, tag, bit patterns), and in how many bits they differ; of side 2: of one block with itself."""
     x, y = rows[:, rows[0] != 1], rows[:, rows[0] != 0]
     for a in range(0, x.shape[1], 256):
         part = x[:, a : a + 256]
@@ -389,6 +413,5 @@ def _meeting(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(5, rows.shape[0]):
             differing += np.bitwise_count((part[k][i] ^ y[k][j]).view(U64))
         fits = (NUM + DEN) * differing <= (DEN - NUM) * (part[2][i] + y[2][j])
-        p, q = part[1][i[fits]], y[1][j[fits]]
-        if len(p):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+        if fits.any():
+            yield part[:5, i[fits]], y[:5, j[fits]], differing[fits]

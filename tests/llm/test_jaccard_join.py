@@ -84,5 +84,26 @@ def test_empty_table(spark):
     assert jj.jaccard_components(df).collect() == []
 
 
+def test_large_groups_of_several_components_leave_few_pairs(spark, monkeypatch):
+    """Texts in one long chain: each is similar to a few others of its lists only, so no set can stand for a list."""
+    rng = random.Random(5)
+    words, rows = [f"w{k}" for k in range(150)], []
+    for i in range(400):
+        words[rng.randrange(150)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    left, written = [], Scratch.written
+
+    def counted(self, df, name, wide=False):
+        out = written(self, df, name, wide)
+        if name == "open":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "written", counted)
+    found = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows)
+    assert sum(left) < 100
+
+
 def test_driver_gives_back_what_its_jvm_allocates(spark):
     assert trim_driver(spark)
