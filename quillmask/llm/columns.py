@@ -114,7 +114,8 @@ def segments(offsets: np.ndarray, data: np.ndarray, limit: int = SEGMENT) -> Ite
 
 def spans(offsets: np.ndarray, data: np.ndarray, a: int, b: int, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, from ``a``, of the words in data[a:b]; with ``kinds`` (a class per byte, 0: none), of runs of one class."""
-    kind = (~IS_SPACE).astype(np.uint8)[data[a:b]] if kinds is None else kinds[data[a:b]]
+    part = data[a:b]
+    kind = (part != 32) & (part - np.uint8(9) > 4) if kinds is None else kinds[part]  # the latter: IS_SPACE without a lookup
     change = np.empty(b - a + 1, bool)
     change[0] = change[-1] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
@@ -128,7 +129,9 @@ def spans(offsets: np.ndarray, data: np.ndarray, a: int, b: int, kinds: np.ndarr
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit hash of each data[start:end]."""
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((_LOWER_KEYS if lower else _BYTE_KEYS)[data] * _power("up", _BASE, len(data)), out=sums[1:])
+    keys = (_LOWER_KEYS if lower else _BYTE_KEYS)[data]
+    keys *= _power("up", _BASE, len(data))
+    np.cumsum(keys, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data) + 1)[starts] + (ends - starts).astype(U64))
 
 
@@ -164,10 +167,13 @@ def shingle_table(column: pa.Array, k: int = 5, least: int = 1) -> tuple[np.ndar
         if not total:
             continue
         start = np.arange(total) + np.repeat(first[:-1] - (np.cumsum(many) - many), many)
-        windows = U64(width) + words[: len(words) - width + 1] * STEP_KEYS[0]
-        for i in range(1, width):
-            windows += words[i : len(words) - width + 1 + i] * STEP_KEYS[i]
-        hashes.append(mix(windows[start]))
+        # where few words start a shingle of this width, only these are looked at
+        few = total * 4 < len(words)
+        n_windows = total if few else len(words) - width + 1
+        windows = np.full(n_windows, width, U64)
+        for i in range(width):
+            windows += (words[start + i] if few else words[i : n_windows + i]) * STEP_KEYS[i]
+        hashes.append(mix(windows if few else windows[start]))
         rows.append(np.repeat(np.arange(n), many))
     if not hashes:
         return np.zeros(n + 1, np.int64), np.zeros(0, U64)
