@@ -22,7 +22,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def trim_driver(spark: SparkSession) -> bool:
     """Gives what the driver has freed back to the system: of its Python, its Java heap and, by glibc, of what its JVM allocates
-    besides that (compilers and class data leave some hundred MB there after many plans). Whether the JVM knows the latter."""
+    besides that. Whether the JVM knows the latter."""
     release_memory()
     jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
     jvm.System.gc()
